@@ -32,14 +32,17 @@ from vigil.session import checkpoint_dir
 def number_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "seq",
                   partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in by] + list(order)
-    tagged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_row_id", F.monotonically_increasing_id())
-                .withColumn("_part", F.shiftright("_row_id", 33)))
-    checkpoint_dir(spark)
-    tagged = tagged.checkpoint(eager=True)
+    # Materialise the input once: the range partitioner samples its input before the
+    # shuffle, which would otherwise run the whole upstream plan a second time.
+    source = df.checkpoint(eager=True)
+    tagged = (source.repartitionByRange(n, *keys)
+                    .sortWithinPartitions(*keys)
+                    .withColumn("_row_id", F.monotonically_increasing_id())
+                    .withColumn("_part", F.shiftright("_row_id", 33))
+                    .checkpoint(eager=True))
     spans = (tagged.groupBy(*by, "_part")
                    .agg(F.count(F.lit(1)).alias("_n"), F.min("_row_id").alias("_first")))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

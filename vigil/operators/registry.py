@@ -167,6 +167,16 @@ def config_int(config: DataFrame, name: str) -> Column:
     return config_value(config, name).try_cast("int")
 
 
+def config_field(name: str) -> str:
+    return name.replace(".", "__")
+
+
+def config_struct(config: DataFrame, names) -> Column:
+    """All ``names`` as one struct (NULL field = setting absent), as a scalar subquery."""
+    return config.select(F.struct(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(config_field(n))
+                                    for n in names])).scalar()
+
+
 def operator_lookup(config: DataFrame, operators: DataFrame) -> DataFrame:
     """For every ``*.notify_operator`` setting, the operator's mail address
     (NULL when the operator is missing)."""

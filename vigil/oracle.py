@@ -205,7 +205,7 @@ def policy_sql(n: int) -> str:
 def report_sql() -> str:
     nums = sorted(POLICY_SQL)
     return _policy_ctes(nums) + """select server_id,
-  row_number() over (partition by server_id order by processing_order,
+  row_number() over (partition by server_id order by processing_order, policy_no,
     case when db_level then lower(db_name) end nulls first, case when db_level then db_name end nulls first,
     stmt_no, log_order desc nulls last, log_date nulls first, db_name nulls first, message) as seq,
   policy_no, policy_name, db_name, message

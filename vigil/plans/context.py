@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from vigil.operators import registry as reg
 
 
+# Settings the built-in policies read.
+CONFIG_KEYS = ("pol.allow_sharepoint", "pol.allowed_max_vlf", "pol.required_maxdop", "pol.mirr_safety_level",
+               "pol.mirr_conn_timeout", "pol.mirr_partner_name")
+
+
 @dataclass
 class CheckContext:
     inputs: object                      # anything with .fx(name) -> DataFrame
@@ -33,11 +38,16 @@ class CheckContext:
     def frame(self, name: str) -> DataFrame:
         return self.inputs.fx(name)
 
+    def with_cfg(self, df: DataFrame) -> DataFrame:
+        """Attach every known setting as one struct column ``_cfg``: a single scalar
+        subquery (one small job per query), referenced by ``cfg`` / ``cfg_int``."""
+        return df.withColumn("_cfg", reg.config_struct(self.config, CONFIG_KEYS))
+
     def cfg(self, name: str) -> Column:
-        return reg.config_value(self.config, name)
+        return F.col("_cfg").getField(reg.config_field(name))
 
     def cfg_int(self, name: str) -> Column:
-        return reg.config_int(self.config, name)
+        return self.cfg(name).try_cast("int")
 
     def as_of_col(self) -> Column:
         return F.lit(self.as_of).cast("timestamp_ntz")

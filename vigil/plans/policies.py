@@ -146,6 +146,7 @@ def scan_databases(ctx: CheckContext, numbers) -> DataFrame | None:
         srv = ctx.frame("servers").select("server_id", F.col("collation").alias("srv_collation"),
                                           F.col("product_version").alias("srv_product_version"))
         d = d.join(srv, "server_id", "left")
+    d = ctx.with_cfg(d)
     rules = _database_rules(ctx)
     flat = [(p, s, cond, msg) for p in numbers for s, cond, msg in rules[p]]
     hits = _inline_rules(d, flat)
@@ -285,7 +286,7 @@ def pol_16(ctx):
     required = ctx.cfg_int("pol.required_maxdop")
     running = (ctx.frame("options").filter(F.col("configuration_id") == MAXDOP_OPTION)
                                    .select("server_id", F.col("value_in_use").cast("int").alias("running")))
-    s = ctx.frame("servers").select("server_id").join(running, "server_id", "left")
+    s = ctx.with_cfg(ctx.frame("servers").select("server_id").join(running, "server_id", "left"))
     msg = (F.when(required.isNull(), F.lit("pol.required_maxdop is not set."))
             .when(required != F.col("running"),
                   F.format_string("Must be set to %d, but currently is %d.", required, F.col("running"))))
@@ -342,6 +343,7 @@ def pol_20(ctx):
                                   & ~F.lower(F.col("pattern")).isin([n.lower() for n in REPORT_SERVER_DBS]))
                .select("pattern", F.lower("pattern").alias("k")))
     dbs = ctx.frame("databases").filter(F.col("collation_name") == SHAREPOINT_COLLATION).select("server_id", "name")
+    dbs = ctx.with_cfg(dbs)
     j = dbs.join(pats, F.lower(F.col("name")) == F.col("k")).filter(F.coalesce(allow, F.lit(0)) == 1)
     return _violations(j, db_level=False, policy_no=20, db_name=F.col("pattern"),
                        message=F.lit("This exclusion for policy 3 is not needed, since the database has "

@@ -55,7 +55,7 @@ def report_order():
     statement by statement; log lines by generation (older first) then time."""
     db_key = F.when(F.col("db_level"), F.lower(F.col("db_name")))
     db_key2 = F.when(F.col("db_level"), F.col("db_name"))
-    return [F.col("processing_order").asc(), db_key.asc_nulls_first(), db_key2.asc_nulls_first(),
+    return [F.col("processing_order").asc(), F.col("policy_no").asc(), db_key.asc_nulls_first(), db_key2.asc_nulls_first(),
             F.col("stmt_no").asc(), F.col("log_order").desc_nulls_last(), F.col("log_date").asc_nulls_first(),
             F.col("db_name").asc_nulls_first(), F.col("message").asc()]
 
