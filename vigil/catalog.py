@@ -1,16 +1,32 @@
-"""Registered queries: name -> (spark, data_dir) -> DataFrame, and their DuckDB twins."""
+"""Registered queries: name -> (spark, data_dir) -> DataFrame, and their DuckDB twins.
+
+Every query reads the driver's tables (through the fixture views) over their
+whole extent.  Operators whose only input is a fixed configuration table
+(module versions, filter text, operator lookup, bound CHECK) are covered by
+tests/ instead, see README.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigil import oracle
+from vigil import oracle, oracle_more
+from vigil.operators import quality as q
+from vigil.operators import registry as reg
+from vigil.operators import selection as sel
+from vigil.operators import snapshots as snap
+from vigil.plans import policies as pol
 from vigil.plans import report as rpt
 from vigil.plans.context import CheckContext
-from vigil.plans.policies import ALL_POLICIES
+from vigil.session import scratch_dir
+from vigil.sources import files as src_files
+from vigil.sources import volumes as src_vol
 from vigil.sources.tables import FleetInputs
+from vigil.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,13 +39,167 @@ def _policy_query(n: int) -> Query:
     return lambda spark, d: rpt.policy_result(context(spark, d), n)
 
 
+# ---------------------------------------------------------------- framework
+
+def _registered_report(spark, d):
+    """P1 end to end: register the built-in set into the fixture registry, then run."""
+    inputs = FleetInputs(spark, d)
+    specs = reg.default_policies()
+    new = reg.registry_frame(spark, specs)
+    registry, exclusions = reg.register(inputs.fx("registry"), inputs.fx("exclusions"), new,
+                                        reg.exclusion_requests(spark, specs))
+    return rpt.policy_report(CheckContext(inputs, registry=registry, exclusions=exclusions))
+
+
+CUSTOM_POLICY = reg.PolicySpec(30, "Databases must not be read-only", False, False)
+
+
+def read_only_policy(ctx: CheckContext) -> DataFrame:
+    """Example user policy: built from the catalog like any built-in."""
+    d = ctx.frame("databases").filter(F.col("is_read_only"))
+    return pol.db_violations(d, CUSTOM_POLICY.number, F.lit("READ_ONLY=ON"))
+
+
+def _custom(spark, d):
+    ctx = context(spark, d)
+    pol.register_policy(ctx, CUSTOM_POLICY, read_only_policy)
+    return rpt.policy_result(ctx, CUSTOM_POLICY.number)
+
+
+# ---------------------------------------------------------------- selection
+
+def _select(pattern: str, kind: str = "expand", skip_read_only: bool = False) -> Query:
+    def run(spark, d):
+        i = FleetInputs(spark, d)
+        args = (pattern, i.fx("databases"), i.fx("servers"), i.fx("config"))
+        if kind == "expand":
+            return sel.expand(*args)
+        if kind == "for_each":
+            return sel.for_each(*args, skip_read_only=skip_read_only)
+        return sel.affected_list(*args)
+    return run
+
+
+# ---------------------------------------------------------------- snapshots
+
+def _activity(spark, d):
+    i = FleetInputs(spark, d)
+    req = i.fx("requests")
+    return snap.activity_snapshot(req.drop("sql_text"), i.fx("sessions"),
+                                  req.select("server_id", "session_id", "request_id", "sql_text"),
+                                  i.fx("jobs"), i.fx("job_steps"), i.fx("databases"))
+
+
+def _retention(spark, d):
+    i = FleetInputs(spark, d)
+    as_of = i.table("events").select(F.max("ts")).scalar()
+    return snap.retained(_activity(spark, d), "snap_time_stamp", snap.ACTIVITY_RETENTION_DAYS, as_of)
+
+
+def _backup(spark, d):
+    ctx = context(spark, d)
+    i = ctx.inputs
+    days = reg.config_int(i.fx("config"), "maint.backup_retention_days")
+    return snap.backup_expiry(i.fx("backup_files"), i.fx("databases"), i.fx("retention_overrides"), days,
+                              ctx.as_of_col())
+
+
+def _volume_scan(spark, d):
+    path = scratch_dir(spark, f"volumes-xml-{uuid.uuid4().hex}")
+    src_vol.write_volumes_xml(FleetInputs(spark, d).fx("volumes"), path)
+    return src_vol.read_volumes_xml(spark, path)
+
+
+def _dq_unique(spark, d):
+    i = FleetInputs(spark, d)
+    return (q.duplicate_keys(i.fx("databases"), ["server_id", F.lower("name")], "databases(server_id, name)")
+             .unionByName(q.duplicate_keys(i.fx("files"), ["server_id", "db_key", "file_id"],
+                                           "files(server_id, db_key, file_id)")))
+
+
+def _dq_fk(spark, d):
+    i = FleetInputs(spark, d)
+    req = q.orphans(i.fx("requests").select("server_id", "database_id"),
+                    i.fx("databases"), ["server_id", "database_id"])
+    steps = q.orphans(i.fx("job_steps").select("server_id", "job_key"), i.fx("jobs"), ["server_id", "job_key"])
+    return (req.select(F.lit("requests -> databases").alias("constraint_name"), "server_id",
+                       F.col("database_id").cast("bigint").alias("key_id"))
+               .unionByName(steps.select(F.lit("job_steps -> jobs").alias("constraint_name"), "server_id",
+                                         F.col("job_key").alias("key_id"))))
+
+
+# ---------------------------------------------------------------- streams (batch twins)
+
+def _xe(spark, d):
+    return FleetInputs(spark, d).fx("xe_events")
+
+
+def _alert_matches(spark, d):
+    return ev.alert_match(_xe(spark, d), ev.alert_rules(spark, reg.MAINT_DB))
+
+
+def _alert_throttle(spark, d):
+    """Batch twin of ST5: the same keyed-state code, drained with availableNow."""
+    base = scratch_dir(spark, f"alert-throttle-{uuid.uuid4().hex}")
+    stream = ev.stream_fixture(spark, d, "xe_events")
+    out = ev.alert_throttle(ev.alert_match(stream, ev.alert_rules(spark, reg.MAINT_DB)))
+    ev.run_available_now(out, base + "/out", base + "/ckpt")
+    return (spark.read.schema(ev.THROTTLE_OUT).parquet(base + "/out")
+                 .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+def _ntz(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
 QUERIES: dict[str, Query] = {
     "policy_report": lambda spark, d: rpt.policy_report(context(spark, d)),
+    "policy_eligibility": lambda spark, d: reg.eligible_databases(
+        FleetInputs(spark, d).fx("databases"), FleetInputs(spark, d).fx("registry"),
+        FleetInputs(spark, d).fx("exclusions")),
+    "filter_intersect": lambda spark, d: rpt.policy_report(context(spark, d), "1,3,9,99"),
+    "filter_except": lambda spark, d: rpt.policy_report(context(spark, d), "1,2,5,19,22", invert=True),
+    "register_policies": _registered_report,
+    "policy_counts": lambda spark, d: rpt.policy_counts(rpt.policy_report(context(spark, d))),
+    "report_html": lambda spark, d: rpt.report_html(rpt.policy_report(context(spark, d))),
+    "custom_policy": _custom,
+    "select_system": _select("*system"),
+    "select_user": _select("*user"),
+    "select_all": _select("*"),
+    "select_list": _select("list(master, DB_4,DB_4 ,tempdb,)"),
+    "select_list_config": _select("list($usedefinition)"),
+    "select_exact": _select("ReportServer"),
+    "for_each_online": _select("*user", "for_each"),
+    "for_each_writable": _select("*user", "for_each", skip_read_only=True),
+    "for_each_list": _select("*", "list"),
+    "csv_rows": lambda spark, d: sel.csv_rows(FleetInputs(spark, d).table("documents"), "doc_id", "text"),
+    "dq_unique": _dq_unique,
+    "dq_fk": _dq_fk,
+    "activity_snapshot": _activity,
+    "job_inventory": lambda spark, d: snap.job_inventory(FleetInputs(spark, d).fx("jobs"),
+                                                         FleetInputs(spark, d).fx("categories")),
+    "step_inventory": lambda spark, d: snap.step_inventory(FleetInputs(spark, d).fx("job_steps"),
+                                                           FleetInputs(spark, d).fx("jobs")),
+    "snapshot_retention": _retention,
+    "disk_space": lambda spark, d: snap.disk_space(FleetInputs(spark, d).fx("volumes"),
+                                                   FleetInputs(spark, d).fx("volume_bounds")),
+    "backup_retention": _backup,
+    "file_plan": lambda spark, d: snap.file_plan(FleetInputs(spark, d).fx("files"), FleetInputs(spark, d).fx("databases")),
+    "job_log_names": lambda spark, d: pol.nonconforming_steps(context(spark, d)),
+    "volume_scan": _volume_scan,
+    "file_listing": lambda spark, d: src_files.list_files(spark, d, "*.parquet"),
+    "xe_waits": lambda spark, d: ev.wait_filter(_xe(spark, d)),
+    "xe_events": lambda spark, d: ev.session_filter(_xe(spark, d)),
+    "alert_match": _alert_matches,
+    "alert_throttle": _alert_throttle,
+    "activity_rollup": lambda spark, d: _ntz(ev.activity_rollup(_activity(spark, d)), "window_start", "window_end"),
+    "perf_rollup": lambda spark, d: _ntz(ev.perf_rollup(FleetInputs(spark, d).fx("perf_samples")), "window_start"),
 }
-ORACLE: dict[str, str] = {
-    "policy_report": oracle.report_sql(),
-}
+ORACLE: dict[str, str] = {"policy_report": oracle.report_sql()}
+ORACLE.update(oracle_more.sql())
 
-for _n in ALL_POLICIES:
+for _n in pol.ALL_POLICIES:
     QUERIES[f"pol_{_n:02d}"] = _policy_query(_n)
     ORACLE[f"pol_{_n:02d}"] = oracle.policy_sql(_n)

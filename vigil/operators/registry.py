@@ -134,9 +134,8 @@ def policy_filter(registry: DataFrame, policy_filter: str | None, invert: bool =
 
 def filter_text(selected: DataFrame) -> DataFrame:
     """The effective filter as comma-joined text, 'NULL' when empty (ordered by number)."""
-    return selected.agg(
-        F.coalesce(F.listagg(F.col("policy_no").cast("string"), F.lit(","))
-                   .withinGroup(F.col("policy_no")), F.lit("NULL")).alias("effective_filter"))
+    return selected.agg(F.expr("coalesce(listagg(cast(policy_no as string), ',') within group (order by policy_no), "
+                               "'NULL')").alias("effective_filter"))
 
 
 def active_policies(registry: DataFrame, selected: DataFrame) -> DataFrame:

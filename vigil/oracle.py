@@ -186,9 +186,9 @@ POLICY_VIEWS = ["fx_servers", "fx_databases", "fx_files", "fx_error_log", "fx_jo
                 "fx_categories", "fx_options", "fx_services", "fx_logins", "fx_config", "fx_retention_overrides"]
 
 
-def _policy_ctes(numbers) -> str:
+def _policy_ctes(numbers, extra_views=()) -> str:
     body = "\nunion all\n".join(f"select * from ({POLICY_SQL[n]}) p{n}" for n in numbers)
-    return (duckdb_with(POLICY_VIEWS)
+    return (duckdb_with(POLICY_VIEWS + list(extra_views))
             + f", cfg as ({CFG}),\nregistry as ({registry_values()}),\nexcl as ({exclusion_values()}),\n"
             + f"v as ({body}),\n"
             + """elig as (select v.*, r.policy_name, r.processing_order, r.is_active from v join registry r on r.policy_no = v.policy_no

@@ -63,6 +63,23 @@ def _violations(df: DataFrame, *, db_level: bool, policy_no: Column | int | None
         c(message).cast("string").alias("message"))
 
 
+def db_violations(df: DataFrame, policy_no: int, message: Column, stmt_no: int = 1) -> DataFrame:
+    """Rows of a database-catalog frame (``server_id, name, state``) as violations of a
+    database-level policy -- the helper user policies build on."""
+    return _violations(df, db_level=True, policy_no=policy_no, db_name=F.col("name"), db_state=F.col("state"),
+                       stmt_no=stmt_no, message=message)
+
+
+def register_policy(ctx: CheckContext, spec, build: Callable[[CheckContext], DataFrame]) -> None:
+    """User extension: add a policy to the run's registry (if its number is new) with
+    its exclusions and the function that builds its violations."""
+    from vigil.operators import registry as reg
+    new = reg.registry_frame(ctx.spark, [spec])
+    ctx.registry, ctx.exclusions = reg.register(ctx.registry, ctx.exclusions, new,
+                                                reg.exclusion_requests(ctx.spark, [spec]))
+    ctx.extra[spec.number] = build
+
+
 def _inline_rules(df: DataFrame, rules: list[tuple[int, int, Column, Column]]) -> DataFrame:
     """Rows of ``df`` -> one row per broken rule (policy, stmt, message).
 

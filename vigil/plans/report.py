@@ -93,9 +93,9 @@ def report_html(report: DataFrame) -> DataFrame:
                               F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell("seq"), cell("policy_name"), cell("db_name"), cell("message"), F.lit("</tr>"))
     head = ("<table><tr><th>Order</th><th>Policy Name</th><th>Affected DB</th><th>Message</th></tr>")
-    return (report.groupBy("server_id")
+    return (report.withColumn("_row", row).groupBy("server_id")
                   .agg(F.count(F.lit(1)).alias("n_messages"),
-                       F.listagg(row, F.lit("")).withinGroup(F.col("seq")).alias("rows"))
+                       F.expr("listagg(_row, '') within group (order by seq)").alias("rows"))
                   .select("server_id", "n_messages",
                           F.concat(F.lit(head), F.col("rows"), F.lit("</table>")).alias("html")))
 

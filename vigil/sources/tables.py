@@ -41,3 +41,25 @@ class FleetInputs:
         if "fx_" + item in FIXTURE_SQL:
             return self.fx(item)
         raise AttributeError(item)
+
+
+class SnapshotInputs:
+    """Production form: one parquet table per catalog (``<root>/<name>``, e.g.
+    ``databases``, ``files``, ``error_log``), columns as in FIXTURES.md, each
+    partitioned by snapshot date.  Same interface as ``FleetInputs``."""
+
+    def __init__(self, spark: SparkSession, root: str, snapshot_date: str | None = None):
+        self.spark = spark
+        self.root = root
+        self.snapshot_date = snapshot_date
+        self._frames: dict[str, DataFrame] = {}
+
+    def fx(self, name: str) -> DataFrame:
+        name = name[3:] if name.startswith("fx_") else name
+        if name not in self._frames:
+            df = self.spark.read.parquet(os.path.join(self.root, name))
+            if self.snapshot_date and "snapshot_date" in df.columns:
+                # partition pruning: only the requested snapshot folder is listed and read
+                df = df.filter(df.snapshot_date == self.snapshot_date).drop("snapshot_date")
+            self._frames[name] = df
+        return self._frames[name]
