@@ -12,7 +12,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,8 +30,6 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = get_session(f"local[{cpus}]", app="vigil-bench", shuffle_partitions=int(cpus) * 2)
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vigil-bench-ckpt-"))
     checkpoint_dir(spark)
     times: dict[str, float] = {}
     for name in names:

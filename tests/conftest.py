@@ -17,8 +17,6 @@ def spark():
     from vigil.session import checkpoint_dir, get_session
     s = get_session("local[4]", app="vigil-tests", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vigil-test-ckpt-"))
     checkpoint_dir(s)
     yield s
 

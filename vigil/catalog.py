@@ -31,8 +31,20 @@ from vigil.streaming import events as ev
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_INPUTS: dict[tuple[int, str], FleetInputs] = {}
+
+
+def inputs(spark: SparkSession, data_dir: str) -> FleetInputs:
+    """One input catalog per (session, folder): plans are reused, nothing is cached
+    beyond what ``FleetInputs`` persists."""
+    key = (id(spark), data_dir)
+    if key not in _INPUTS:
+        _INPUTS[key] = FleetInputs(spark, data_dir)
+    return _INPUTS[key]
+
+
 def context(spark: SparkSession, data_dir: str, **kw) -> CheckContext:
-    return CheckContext(FleetInputs(spark, data_dir), **kw)
+    return CheckContext(inputs(spark, data_dir), **kw)
 
 
 def _policy_query(n: int) -> Query:
@@ -43,12 +55,12 @@ def _policy_query(n: int) -> Query:
 
 def _registered_report(spark, d):
     """P1 end to end: register the built-in set into the fixture registry, then run."""
-    inputs = FleetInputs(spark, d)
+    src = inputs(spark, d)
     specs = reg.default_policies()
     new = reg.registry_frame(spark, specs)
-    registry, exclusions = reg.register(inputs.fx("registry"), inputs.fx("exclusions"), new,
+    registry, exclusions = reg.register(src.fx("registry"), src.fx("exclusions"), new,
                                         reg.exclusion_requests(spark, specs))
-    return rpt.policy_report(CheckContext(inputs, registry=registry, exclusions=exclusions))
+    return rpt.policy_report(CheckContext(src, registry=registry, exclusions=exclusions))
 
 
 CUSTOM_POLICY = reg.PolicySpec(30, "Databases must not be read-only", False, False)
@@ -70,7 +82,7 @@ def _custom(spark, d):
 
 def _select(pattern: str, kind: str = "expand", skip_read_only: bool = False) -> Query:
     def run(spark, d):
-        i = FleetInputs(spark, d)
+        i = inputs(spark, d)
         args = (pattern, i.fx("databases"), i.fx("servers"), i.fx("config"))
         if kind == "expand":
             return sel.expand(*args)
@@ -83,7 +95,7 @@ def _select(pattern: str, kind: str = "expand", skip_read_only: bool = False) ->
 # ---------------------------------------------------------------- snapshots
 
 def _activity(spark, d):
-    i = FleetInputs(spark, d)
+    i = inputs(spark, d)
     req = i.fx("requests")
     return snap.activity_snapshot(req.drop("sql_text"), i.fx("sessions"),
                                   req.select("server_id", "session_id", "request_id", "sql_text"),
@@ -91,7 +103,7 @@ def _activity(spark, d):
 
 
 def _retention(spark, d):
-    i = FleetInputs(spark, d)
+    i = inputs(spark, d)
     as_of = i.table("events").select(F.max("ts")).scalar()
     return snap.retained(_activity(spark, d), "snap_time_stamp", snap.ACTIVITY_RETENTION_DAYS, as_of)
 
@@ -106,19 +118,19 @@ def _backup(spark, d):
 
 def _volume_scan(spark, d):
     path = scratch_dir(spark, f"volumes-xml-{uuid.uuid4().hex}")
-    src_vol.write_volumes_xml(FleetInputs(spark, d).fx("volumes"), path)
+    src_vol.write_volumes_xml(inputs(spark, d).fx("volumes"), path)
     return src_vol.read_volumes_xml(spark, path)
 
 
 def _dq_unique(spark, d):
-    i = FleetInputs(spark, d)
+    i = inputs(spark, d)
     return (q.duplicate_keys(i.fx("databases"), ["server_id", F.lower("name")], "databases(server_id, name)")
              .unionByName(q.duplicate_keys(i.fx("files"), ["server_id", "db_key", "file_id"],
                                            "files(server_id, db_key, file_id)")))
 
 
 def _dq_fk(spark, d):
-    i = FleetInputs(spark, d)
+    i = inputs(spark, d)
     req = q.orphans(i.fx("requests").select("server_id", "database_id"),
                     i.fx("databases"), ["server_id", "database_id"])
     steps = q.orphans(i.fx("job_steps").select("server_id", "job_key"), i.fx("jobs"), ["server_id", "job_key"])
@@ -131,7 +143,7 @@ def _dq_fk(spark, d):
 # ---------------------------------------------------------------- streams (batch twins)
 
 def _xe(spark, d):
-    return FleetInputs(spark, d).fx("xe_events")
+    return inputs(spark, d).fx("xe_events")
 
 
 def _alert_matches(spark, d):
@@ -157,8 +169,8 @@ def _ntz(df: DataFrame, *cols: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "policy_report": lambda spark, d: rpt.policy_report(context(spark, d)),
     "policy_eligibility": lambda spark, d: reg.eligible_databases(
-        FleetInputs(spark, d).fx("databases"), FleetInputs(spark, d).fx("registry"),
-        FleetInputs(spark, d).fx("exclusions")),
+        inputs(spark, d).fx("databases"), inputs(spark, d).fx("registry"),
+        inputs(spark, d).fx("exclusions")),
     "filter_intersect": lambda spark, d: rpt.policy_report(context(spark, d), "1,3,9,99"),
     "filter_except": lambda spark, d: rpt.policy_report(context(spark, d), "1,2,5,19,22", invert=True),
     "register_policies": _registered_report,
@@ -174,19 +186,19 @@ QUERIES: dict[str, Query] = {
     "for_each_online": _select("*user", "for_each"),
     "for_each_writable": _select("*user", "for_each", skip_read_only=True),
     "for_each_list": _select("*", "list"),
-    "csv_rows": lambda spark, d: sel.csv_rows(FleetInputs(spark, d).table("documents"), "doc_id", "text"),
+    "csv_rows": lambda spark, d: sel.csv_rows(inputs(spark, d).table("documents"), "doc_id", "text"),
     "dq_unique": _dq_unique,
     "dq_fk": _dq_fk,
     "activity_snapshot": _activity,
-    "job_inventory": lambda spark, d: snap.job_inventory(FleetInputs(spark, d).fx("jobs"),
-                                                         FleetInputs(spark, d).fx("categories")),
-    "step_inventory": lambda spark, d: snap.step_inventory(FleetInputs(spark, d).fx("job_steps"),
-                                                           FleetInputs(spark, d).fx("jobs")),
+    "job_inventory": lambda spark, d: snap.job_inventory(inputs(spark, d).fx("jobs"),
+                                                         inputs(spark, d).fx("categories")),
+    "step_inventory": lambda spark, d: snap.step_inventory(inputs(spark, d).fx("job_steps"),
+                                                           inputs(spark, d).fx("jobs")),
     "snapshot_retention": _retention,
-    "disk_space": lambda spark, d: snap.disk_space(FleetInputs(spark, d).fx("volumes"),
-                                                   FleetInputs(spark, d).fx("volume_bounds")),
+    "disk_space": lambda spark, d: snap.disk_space(inputs(spark, d).fx("volumes"),
+                                                   inputs(spark, d).fx("volume_bounds")),
     "backup_retention": _backup,
-    "file_plan": lambda spark, d: snap.file_plan(FleetInputs(spark, d).fx("files"), FleetInputs(spark, d).fx("databases")),
+    "file_plan": lambda spark, d: snap.file_plan(inputs(spark, d).fx("files"), inputs(spark, d).fx("databases")),
     "job_log_names": lambda spark, d: pol.nonconforming_steps(context(spark, d)),
     "volume_scan": _volume_scan,
     "file_listing": lambda spark, d: src_files.list_files(spark, d, "*.parquet"),
@@ -195,7 +207,7 @@ QUERIES: dict[str, Query] = {
     "alert_match": _alert_matches,
     "alert_throttle": _alert_throttle,
     "activity_rollup": lambda spark, d: _ntz(ev.activity_rollup(_activity(spark, d)), "window_start", "window_end"),
-    "perf_rollup": lambda spark, d: _ntz(ev.perf_rollup(FleetInputs(spark, d).fx("perf_samples")), "window_start"),
+    "perf_rollup": lambda spark, d: _ntz(ev.perf_rollup(inputs(spark, d).fx("perf_samples")), "window_start"),
 }
 ORACLE: dict[str, str] = {"policy_report": oracle.report_sql()}
 ORACLE.update(oracle_more.sql())

@@ -15,8 +15,10 @@ instead:
 Steps 3 and 5 read the tagged rows twice.  Recomputing them would resample the
 range bounds from an input whose row order is not stable, giving different
 partition ids (and running the whole upstream plan twice), so the tagged rows are
-checkpointed once to the shared ``spark.checkpoint.dir`` -- this also cuts the
-lineage, so a lost executor does not replay every upstream scan.
+written once as parquet under the shared ``spark.checkpoint.dir`` -- this also
+cuts the lineage, so a lost executor does not replay every upstream scan.  (The
+partitioner seeds its sample with the RDD id, so two recomputations would not
+even agree on the bounds.)
 """
 
 from __future__ import annotations
@@ -26,23 +28,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.session import checkpoint_dir
+from vigil.session import materialize
 
 
 def number_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "seq",
                   partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in by] + list(order)
     # Materialise the input once: the range partitioner samples its input before the
     # shuffle, which would otherwise run the whole upstream plan a second time.
-    source = df.checkpoint(eager=True)
+    source = materialize(df, "numbering-input")
     tagged = (source.repartitionByRange(n, *keys)
                     .sortWithinPartitions(*keys)
                     .withColumn("_row_id", F.monotonically_increasing_id())
-                    .withColumn("_part", F.shiftright("_row_id", 33))
-                    .checkpoint(eager=True))
+                    .withColumn("_part", F.shiftright("_row_id", 33)))
+    tagged = materialize(tagged, "numbering-tagged")
     spans = (tagged.groupBy(*by, "_part")
                    .agg(F.count(F.lit(1)).alias("_n"), F.min("_row_id").alias("_first")))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

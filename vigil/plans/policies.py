@@ -337,9 +337,13 @@ def pol_19(ctx):
                .filter(~F.lower(F.col("pattern")).isin([n.lower() for n in REPORT_SERVER_DBS])
                        & (F.instr("pattern", "%") == 0) & (F.instr("pattern", "[") == 0)
                        & (F.instr("pattern", "]") == 0))
-               .withColumn("rx", like_to_regex("pattern")))
-    # theta join: the pattern list is the small, broadcast side (nested loop over it)
-    hit = dbs.join(F.broadcast(pats), F.regexp_like(F.col("name"), F.col("rx"))).select("server_id", "pattern")
+               .withColumn("rx", like_to_regex("pattern"))
+               .withColumn("n", F.length("pattern")))
+    # Without "%" a LIKE pattern matches names of exactly its length: that length is
+    # the hash key of a broadcast join (bounded pattern list), the regex its residual.
+    hit = (dbs.join(F.broadcast(pats), (F.length(F.col("name")) == F.col("n"))
+                    & F.regexp_like(F.col("name"), F.col("rx")))
+              .select("server_id", "pattern"))
     a = _missing_per_server(ctx, pats, hit, "pattern")
     a = _violations(a, db_level=False, policy_no=19, db_name=F.col("pattern"), stmt_no=1,
                     message=F.lit("The database cannot be found, but an entry exists in "
