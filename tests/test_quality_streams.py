@@ -63,3 +63,29 @@ def test_alert_throttle_suppresses_within_delay(spark):
     ev.run_available_now(ev.alert_throttle(stream), src + "/out", src + "/ck")
     got = sorted(r.event_id for r in spark.read.parquet(src + "/out").collect())
     assert got == [0, 3, 5, 100, 101]     # 3600 s after 0, then 7300 (>= 3600 after 3600); 10800 - 7300 < 3600
+
+
+def test_log_policies_on_a_streamed_log_equal_batch(spark):
+    from conftest import FrameInputs
+    from vigil.plans import policies as P
+    from vigil.plans.context import CheckContext
+    base = tempfile.mkdtemp(prefix="vigil-log-")
+    stream = ev.stream_fixture(spark, SMALL, "error_log")
+    ctx = CheckContext(FrameInputs(spark, {"error_log": stream}))
+    ev.run_available_now(P.scan_logs(ctx, [21, 25]), base + "/out", base + "/ck")
+    got = spark.read.parquet(base + "/out")
+    want = P.scan_logs(CheckContext(FleetInputs(spark, SMALL)), [21, 25])
+    assert got.count() > 0 and _sorted(got) == _sorted(want.select(got.columns))
+
+
+def test_report_sink_replaces_only_its_run_date(spark):
+    from vigil.plans import report as rpt
+    from vigil.plans.context import CheckContext
+    path = tempfile.mkdtemp(prefix="vigil-report-") + "/report"
+    rep = rpt.policy_report(CheckContext(FleetInputs(spark, SMALL)), "6,9")
+    rpt.write_report(rep, path, "2024-01-01")
+    rpt.write_report(rep.filter("policy_no = 6"), path, "2024-01-02")
+    rpt.write_report(rep.filter("policy_no = 9"), path, "2024-01-02")      # replaces that day only
+    back = spark.read.parquet(path)
+    counts = {str(r.run_date): r["count"] for r in back.groupBy("run_date").count().collect()}
+    assert counts == {"2024-01-01": rep.count(), "2024-01-02": rep.filter("policy_no = 9").count()}

@@ -124,8 +124,8 @@ where not exists (select 1 from fx_exclusions x where x.policy_no = r.policy_no
         "filter_except": _report_with("and policy_no not in (1, 2, 5, 19, 22)") + "select * from rep",
         "register_policies": _report_with(registry=reg_sql, excl=exc_sql) + "select * from rep",
         "policy_counts": _report_with() + "select server_id, count(*) as n_messages from rep group by server_id",
-        "report_html": _report_with() + f"""select server_id, count(*) as n_messages,
-  {head} || string_agg({html_row}, '' order by seq) || '</table>' as html from rep group by server_id""",
+        "report_html": _report_with() + f"""select server_id, (seq - 1) // 1000 + 1 as page, count(*) as n_messages,
+  {head} || string_agg({html_row}, '' order by seq) || '</table>' as html from rep group by server_id, (seq - 1) // 1000 + 1""",
         "custom_policy": w(["fx_databases"], """select server_id, 30 as policy_no, name as db_name, 1 as stmt_no,
   'READ_ONLY=ON' as message from fx_databases where is_read_only"""),
         "dq_unique": w(["fx_databases", "fx_files"], """select 'databases(server_id, name)' as constraint_name,

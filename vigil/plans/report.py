@@ -83,20 +83,22 @@ def _escape_html(c):
                      F.lit(">"), F.lit("&gt;"))
 
 
-def report_html(report: DataFrame) -> DataFrame:
-    """One HTML table per server, rows in report order.
+HTML_PAGE_ROWS = 1000
 
-    ``listagg ... within group (order by seq)`` concatenates inside the aggregate;
-    the text of one server grows with its messages (the mail body it replaces).
-    """
+
+def report_html(report: DataFrame, page_rows: int = HTML_PAGE_ROWS) -> DataFrame:
+    """The report as HTML tables, rows in report order, one table per page of
+    ``page_rows`` messages of a server -- a server with millions of messages still
+    gives bounded groups (``listagg ... within group (order by seq)`` per page)."""
     cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(_escape_html(F.col(c).cast("string")), F.lit("")),
                               F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell("seq"), cell("policy_name"), cell("db_name"), cell("message"), F.lit("</tr>"))
     head = ("<table><tr><th>Order</th><th>Policy Name</th><th>Affected DB</th><th>Message</th></tr>")
-    return (report.withColumn("_row", row).groupBy("server_id")
+    page = ((F.col("seq") - 1) / F.lit(page_rows)).cast("bigint") + 1
+    return (report.withColumn("_row", row).withColumn("page", page).groupBy("server_id", "page")
                   .agg(F.count(F.lit(1)).alias("n_messages"),
                        F.expr("listagg(_row, '') within group (order by seq)").alias("rows"))
-                  .select("server_id", "n_messages",
+                  .select("server_id", "page", "n_messages",
                           F.concat(F.lit(head), F.col("rows"), F.lit("</table>")).alias("html")))
 
 
