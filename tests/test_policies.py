@@ -81,3 +81,19 @@ def test_report_numbering_order(spark):
         by_server.setdefault(r.server_id, []).append(r.policy_no)
     # processing order == policy number for the built-in registry
     assert all(v == sorted(v) for v in by_server.values())
+
+
+def test_unneeded_sharepoint_exclusion(spark):
+    from vigil.operators import registry as reg
+    dbs = spark.createDataFrame([(1, 1, 1, "SP_Content", 0, "Latin1_General_CI_AS_KS_WS"),
+                                 (1, 2, 2, "Other", 0, "Latin1_General_CI_AS_KS_WS"),
+                                 (2, 1, 3, "sp_content", 0, "SQL_Latin1_General_CP1_CI_AS")],
+                                "server_id bigint, database_id int, db_key bigint, name string, state int, "
+                                "collation_name string")
+    excl = spark.createDataFrame([(3, "sp_content"), (3, "ReportServer"), (4, "Other")], reg.EXCLUSION_SCHEMA)
+    on = spark.createDataFrame([("pol.allow_sharepoint", "1")], "name string, value string")
+    off = spark.createDataFrame([("pol.allow_sharepoint", "0")], "name string, value string")
+    inputs = FrameInputs(spark, {"databases": dbs})
+    got = P.pol_20(CheckContext(inputs, exclusions=excl, config=on)).collect()
+    assert [(r.server_id, r.db_name) for r in got] == [(1, "sp_content")]
+    assert P.pol_20(CheckContext(inputs, exclusions=excl, config=off)).count() == 0

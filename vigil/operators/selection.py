@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.joins import small
+
 from vigil.functions.text import csv_items
 
 # The system databases.
@@ -43,7 +45,7 @@ def expand(pattern: str, databases: DataFrame, servers: DataFrame, config: DataF
             items = items.select(F.coalesce(cfg, F.col("body")).alias("body"))
         items = items.select(F.explode(csv_items("body")).alias("item")).select(F.lower("item").alias("k"))
         # the list is a parameter (bounded); duplicates in it duplicate rows
-        return (dbs.join(F.broadcast(items), F.lower(F.col("db_name")) == F.col("k"))
+        return (dbs.join(small(items), F.lower(F.col("db_name")) == F.col("k"))
                    .select(*SELECTION_COLUMNS))
     return dbs.filter(F.lower("db_name") == low)
 

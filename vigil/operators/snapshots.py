@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.joins import small
+
 from vigil.functions.text import boundary_days, boundary_seconds
 
 # Fixed values (must equal the reference's).
@@ -85,7 +87,7 @@ def activity_snapshot(requests: DataFrame, sessions: DataFrame, sql_text: DataFr
 def job_inventory(jobs: DataFrame, categories: DataFrame, principals: DataFrame | None = None) -> DataFrame:
     """Jobs with category (inner) and owner (left); the default description -> NULL."""
     cats = categories.select("category_id", F.col("name").alias("category"))
-    out = jobs.join(F.broadcast(cats), "category_id")
+    out = jobs.join(small(cats), "category_id")
     owner = F.lit(None).cast("string")
     if principals is not None:
         out = out.join(principals.select("server_id", "owner_sid", F.col("name").alias("owner")),
@@ -136,7 +138,7 @@ def disk_space(volumes: DataFrame, bounds: DataFrame) -> DataFrame:
                       F.col("error_pct").cast("double").alias("e"))
     used = (F.col("capacity") - F.col("free_space")) * F.lit(100.0) / F.col("capacity")
     v = volumes.withColumn("used_pct", used.cast("double"))
-    out = v.join(F.broadcast(b), F.upper(v.name) == b.k, "left")
+    out = v.join(small(b), F.upper(v.name) == b.k, "left")
     w = F.coalesce(F.col("w"), F.lit(DEFAULT_WARNING_PCT))
     e = F.coalesce(F.col("e"), F.lit(DEFAULT_ERROR_PCT))
     status = F.when(F.col("used_pct") >= e, "ERROR").when(F.col("used_pct") >= w, "WARNING").otherwise("OK")
@@ -151,7 +153,7 @@ def backup_expiry(files: DataFrame, databases: DataFrame, overrides: DataFrame,
     dbs = databases.select("server_id", "db_key", F.col("name").alias("db_name"))
     ovr = overrides.select(F.lower("db_name").alias("k"), F.col("retention_days").alias("override_days"))
     f = files.join(dbs, ["server_id", "db_key"], "left")
-    f = f.join(F.broadcast(ovr), F.lower(f.db_name) == ovr.k, "left")
+    f = f.join(small(ovr), F.lower(f.db_name) == ovr.k, "left")
     days = F.coalesce(F.col("override_days"), default_days, F.lit(DEFAULT_BACKUP_RETENTION_DAYS)).cast("int")
     return (f.withColumn("retention_days", days)
              .filter(boundary_days(F.col("last_write_time"), as_of) > F.col("retention_days"))
@@ -165,7 +167,7 @@ def file_plan(files: DataFrame, databases: DataFrame) -> DataFrame:
     targets = spark.createDataFrame([(n, s, g) for n, s, g in FILE_TARGETS],
                                     "k string, new_size_kb int, new_growth_kb int")
     dbs = (databases.select("server_id", "db_key", F.col("name").alias("db_name"))
-                    .join(F.broadcast(targets), F.lower(F.col("db_name")) == F.col("k")))
+                    .join(small(targets), F.lower(F.col("db_name")) == F.col("k")))
     f = files.select("server_id", "db_key", F.col("name").alias("file_name"),
                      (F.col("size_pages") * 8).alias("current_kb")).join(dbs, ["server_id", "db_key"])
     size_part = F.when(F.col("new_size_kb") > F.col("current_kb"),

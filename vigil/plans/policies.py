@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.joins import small
+
 from vigil.functions.text import boundary_days, ci_equal, date120, like_to_regex, safe_os_name
 from vigil.plans.context import CheckContext
 
@@ -341,7 +343,7 @@ def pol_19(ctx):
                .withColumn("n", F.length("pattern")))
     # Without "%" a LIKE pattern matches names of exactly its length: that length is
     # the hash key of a broadcast join (bounded pattern list), the regex its residual.
-    hit = (dbs.join(F.broadcast(pats), (F.length(F.col("name")) == F.col("n"))
+    hit = (dbs.join(small(pats), (F.length(F.col("name")) == F.col("n"))
                     & F.regexp_like(F.col("name"), F.col("rx")))
               .select("server_id", "pattern"))
     a = _missing_per_server(ctx, pats, hit, "pattern")

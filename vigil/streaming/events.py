@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from vigil.functions.joins import small
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,8 +66,8 @@ def alert_match(events: DataFrame, rules: DataFrame) -> DataFrame:
     by_msg = rules.filter(F.col("rule_message_id") != 0).select("alert_name", F.col("rule_message_id").alias("message_id"))
     by_sev = rules.filter(F.col("rule_severity") != 0).select("alert_name", F.col("rule_severity").alias("severity"))
     cols = ["event_id", "server_id", "ts", "alert_name", "message_id", "severity"]
-    return (events.join(F.broadcast(by_msg), "message_id").select(*cols)
-                  .unionByName(events.join(F.broadcast(by_sev), "severity").select(*cols)))
+    return (events.join(small(by_msg), "message_id").select(*cols)
+                  .unionByName(events.join(small(by_sev), "severity").select(*cols)))
 
 
 THROTTLE_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("server_id", T.LongType()),
@@ -166,3 +168,13 @@ def stream_fixture(spark: SparkSession, data_dir: str, view: str, max_files_per_
     name = view if view.startswith("fx_") else "fx_" + view
     assert references(name) == ["events"], name
     return spark.sql(FIXTURE_SQL[name], events=stream)
+
+
+def event_session(events: DataFrame, out_path: str, checkpoint: str):
+    """ST1/ST2 + S15 as a running query: the session filter over an event stream,
+    dispatched every 30 seconds to an event-file sink of at most 5 records per file.
+    Returns the started ``StreamingQuery``."""
+    return (session_filter(events).writeStream.format("parquet")
+            .option("path", out_path).option("checkpointLocation", checkpoint)
+            .option("maxRecordsPerFile", EVENT_FILE_MAX_RECORDS)
+            .outputMode("append").trigger(processingTime=DISPATCH_LATENCY).start())
