@@ -19,3 +19,30 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """``broadcast(df)`` when its estimated size is within ``limit``; otherwise the
     frame unhinted, so the planner (and AQE at runtime) picks a shuffle join."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def anti_like(df: DataFrame, name_col: str, patterns: DataFrame, keys: list[str], scope=None) -> DataFrame:
+    """Rows of ``df`` whose ``name_col`` matches none of the LIKE ``patterns`` that share
+    ``keys`` (case-insensitive) -- the exclusion test.
+
+    Plain names (no wildcard) are a broadcast hash anti join on (keys, lower(name)):
+    no regex at all.  Only wildcard patterns go through a regex, as the residual of
+    a hash anti join on ``keys``; they are rewritten once on the small side.
+    ``scope`` (a Column of ``df``) limits which rows the exclusions apply to.
+    """
+    from vigil.functions.text import has_like_wildcard, like_to_regex
+    scope = F.lit(True) if scope is None else scope
+    p = patterns.select(*[F.col(k).alias("_x_" + k) for k in keys], "pattern")
+    exact = p.filter(~has_like_wildcard("pattern")).select(*["_x_" + k for k in keys],
+                                                           F.lower("pattern").alias("_x_name")).distinct()
+    wild = p.filter(has_like_wildcard("pattern")).select(*["_x_" + k for k in keys],
+                                                         like_to_regex("pattern").alias("_x_rx"))
+    same_key = [F.col(k) == F.col("_x_" + k) for k in keys]
+    cond_exact = scope & (F.lower(F.col(name_col)) == F.col("_x_name"))
+    for c in same_key:
+        cond_exact = cond_exact & c
+    out = df.join(small(exact), cond_exact, "left_anti")
+    cond_wild = scope & F.regexp_like(F.col(name_col), F.col("_x_rx"))
+    for c in same_key:
+        cond_wild = cond_wild & c
+    return out.join(small(wild), cond_wild, "left_anti")

@@ -33,6 +33,13 @@ def like_to_regex(pattern: Column | str) -> Column:
     return F.concat(F.lit("(?isu)^(?:"), F.array_join(F.transform(tokens, token), ""), F.lit(")$"))
 
 
+def has_like_wildcard(pattern: Column | str) -> Column:
+    """True when a LIKE pattern holds ``%``, ``_`` or a bracket class; a pattern
+    without them matches exactly one name (ignoring case)."""
+    p = F.col(pattern) if isinstance(pattern, str) else pattern
+    return p.rlike(r"[%_\[]")
+
+
 def date120(c: Column | str) -> Column:
     """``convert(varchar, d, 120)``: ``yyyy-MM-dd HH:mm:ss``, fraction cut off."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.text import csv_items, like_to_regex
+from vigil.functions.joins import anti_like
+from vigil.functions.text import csv_items
 
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("policy_no", T.IntegerType(), False),
@@ -190,15 +191,11 @@ def eligible_databases(databases: DataFrame, registry: DataFrame, exclusions: Da
     LIKE pattern of that policy (case-insensitive), online when the policy asks for it.
 
     The registry's database-level rows are a bounded list; they reach each database
-    row as one scalar array (no join), the exclusion test is a broadcast hash anti
-    join keyed on the policy number with the regex as residual.
+    row as one scalar array (no join); the exclusion test is ``joins.anti_like``.
     """
     pols = (registry.filter(~F.col("is_server_level") & F.col("is_active"))
                     .select(F.sort_array(F.collect_list(F.struct("policy_no", "online_only")))).scalar())
     pairs = (databases.select("server_id", F.col("name").alias("db_name"), F.col("state").alias("db_state"),
                               F.inline(pols))
                       .filter(~F.col("online_only") | (F.col("db_state") == 0)))
-    rx = exclusions.select(F.col("policy_no").alias("x_policy_no"), like_to_regex("pattern").alias("rx"))
-    return (pairs.join(rx, (F.col("policy_no") == F.col("x_policy_no")) & F.regexp_like(F.col("db_name"), F.col("rx")),
-                       "left_anti")
-                 .select("server_id", "policy_no", "db_name"))
+    return anti_like(pairs, "db_name", exclusions, ["policy_no"]).select("server_id", "policy_no", "db_name")

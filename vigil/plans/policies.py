@@ -338,14 +338,18 @@ def pol_19(ctx):
     pats = (ctx.exclusions.select("pattern").distinct()
                .filter(~F.lower(F.col("pattern")).isin([n.lower() for n in REPORT_SERVER_DBS])
                        & (F.instr("pattern", "%") == 0) & (F.instr("pattern", "[") == 0)
-                       & (F.instr("pattern", "]") == 0))
-               .withColumn("rx", like_to_regex("pattern"))
-               .withColumn("n", F.length("pattern")))
-    # Without "%" a LIKE pattern matches names of exactly its length: that length is
-    # the hash key of a broadcast join (bounded pattern list), the regex its residual.
-    hit = (dbs.join(small(pats), (F.length(F.col("name")) == F.col("n"))
-                    & F.regexp_like(F.col("name"), F.col("rx")))
-              .select("server_id", "pattern"))
+                       & (F.instr("pattern", "]") == 0)))
+    # plain names: broadcast hash join on the lower-cased name, no regex
+    exact = pats.filter(F.instr("pattern", "_") == 0).withColumn("k", F.lower("pattern"))
+    hit_exact = dbs.join(small(exact), F.lower(F.col("name")) == F.col("k")).select("server_id", "pattern")
+    # "_" patterns match names of exactly their length: length is the hash key, the
+    # regex (rewritten once on the small side) the residual
+    wild = (pats.filter(F.instr("pattern", "_") > 0)
+                .withColumn("rx", like_to_regex("pattern")).withColumn("n", F.length("pattern")))
+    hit_wild = (dbs.join(small(wild), (F.length(F.col("name")) == F.col("n"))
+                         & F.regexp_like(F.col("name"), F.col("rx")))
+                   .select("server_id", "pattern"))
+    hit = hit_exact.unionByName(hit_wild)
     a = _missing_per_server(ctx, pats, hit, "pattern")
     a = _violations(a, db_level=False, policy_no=19, db_name=F.col("pattern"), stmt_no=1,
                     message=F.lit("The database cannot be found, but an entry exists in "

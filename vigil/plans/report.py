@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.joins import small
+from vigil.functions.joins import anti_like
 
-from vigil.functions.text import like_to_regex
 from vigil.operators import registry as reg
 from vigil.operators.numbering import number_within
 from vigil.plans.context import CheckContext
@@ -46,9 +45,7 @@ def apply_eligibility(ctx: CheckContext, v: DataFrame, selected: DataFrame | Non
         registry = registry.filter(F.col("is_active"))
     v = v.join(registry.select("policy_no", "policy_name", "processing_order", "online_only"), "policy_no")
     v = v.filter(~F.col("db_level") | ~F.col("online_only") | (F.col("db_state") == 0))
-    rx = ctx.exclusions.select(F.col("policy_no").alias("x_policy_no"), like_to_regex("pattern").alias("rx"))
-    return v.join(small(rx), (F.col("policy_no") == F.col("x_policy_no")) & F.col("db_level")
-                  & F.regexp_like(F.col("db_name"), F.col("rx")), "left_anti")
+    return anti_like(v, "db_name", ctx.exclusions, ["policy_no"], scope=F.col("db_level"))
 
 
 def report_order():
