@@ -89,3 +89,23 @@ def test_report_sink_replaces_only_its_run_date(spark):
     back = spark.read.parquet(path)
     counts = {str(r.run_date): r["count"] for r in back.groupBy("run_date").count().collect()}
     assert counts == {"2024-01-01": rep.count(), "2024-01-02": rep.filter("policy_no = 9").count()}
+
+
+def test_alert_match_stream_equals_batch(spark):
+    from vigil.operators import registry as reg
+    base = tempfile.mkdtemp(prefix="vigil-alert-")
+    rules = ev.alert_rules(spark, reg.MAINT_DB)
+    ev.run_available_now(ev.alert_match(ev.stream_fixture(spark, SMALL, "xe_events"), rules), base + "/out", base + "/ck")
+    got = spark.read.parquet(base + "/out")
+    want = ev.alert_match(FleetInputs(spark, SMALL).fx("xe_events"), rules)
+    assert got.count() > 0 and _sorted(got) == _sorted(want.select(got.columns))
+
+
+def test_list_from_unset_config_matches_nothing(spark):
+    from vigil.operators import selection as sel
+    i = FleetInputs(spark, SMALL)
+    empty_cfg = i.fx("config").filter("name <> 'base.database_list'")
+    assert sel.expand("list($usedefinition)", i.fx("databases"), i.fx("servers"), empty_cfg).count() == 0
+    assert sel.expand("list($usedefinition)", i.fx("databases"), i.fx("servers"), i.fx("config")).count() > 0
+    assert sel.expand("LIST(master)", i.fx("databases"), i.fx("servers")).count() == \
+        sel.expand("master", i.fx("databases"), i.fx("servers")).count()

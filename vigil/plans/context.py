@@ -15,6 +15,18 @@ CONFIG_KEYS = ("pol.allow_sharepoint", "pol.allowed_max_vlf", "pol.required_maxd
                "pol.mirr_conn_timeout", "pol.mirr_partner_name")
 
 
+_DEFAULTS: dict = {}
+
+
+def _defaults(spark, maint_db: str):
+    """The built-in registry and exclusion frames, built once per session."""
+    key = (id(spark), maint_db)
+    if key not in _DEFAULTS:
+        _DEFAULTS[key] = (reg.registry_frame(spark, reg.default_policies(maint_db)),
+                          reg.default_exclusions(spark, maint_db))
+    return _DEFAULTS[key]
+
+
 @dataclass
 class CheckContext:
     inputs: object                      # anything with .fx(name) -> DataFrame
@@ -28,10 +40,10 @@ class CheckContext:
     def __post_init__(self):
         spark = self.frame("servers").sparkSession
         self.spark = spark
-        if self.registry is None:
-            self.registry = reg.registry_frame(spark, reg.default_policies(self.maint_db))
-        if self.exclusions is None:
-            self.exclusions = reg.default_exclusions(spark, self.maint_db)
+        if self.registry is None or self.exclusions is None:
+            default_registry, default_exclusions = _defaults(spark, self.maint_db)
+            self.registry = default_registry if self.registry is None else self.registry
+            self.exclusions = default_exclusions if self.exclusions is None else self.exclusions
         if self.config is None:
             self.config = self.frame("config")
 
