@@ -109,3 +109,28 @@ def test_list_from_unset_config_matches_nothing(spark):
     assert sel.expand("list($usedefinition)", i.fx("databases"), i.fx("servers"), i.fx("config")).count() > 0
     assert sel.expand("LIST(master)", i.fx("databases"), i.fx("servers")).count() == \
         sel.expand("master", i.fx("databases"), i.fx("servers")).count()
+
+
+def test_event_session_query_runs_with_dispatch_trigger(spark):
+    base = tempfile.mkdtemp(prefix="vigil-session-")
+    q = ev.event_session(ev.stream_fixture(spark, SMALL, "xe_events"), base + "/out", base + "/ck")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    want = ev.session_filter(FleetInputs(spark, SMALL).fx("xe_events"))
+    assert spark.read.parquet(base + "/out").count() == want.count()
+
+
+def test_alert_throttle_across_micro_batches(spark):
+    # two files, one per trigger: the second batch must see the first batch's state
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    src = tempfile.mkdtemp(prefix="vigil-alerts2-")
+    schema = "event_id long, server_id long, ts timestamp, alert_name string"
+    spark.createDataFrame([(1, 1, t0, "A")], schema).coalesce(1).write.parquet(src + "/in/a")
+    spark.createDataFrame([(2, 1, t0 + dt.timedelta(seconds=1800), "A"), (3, 1, t0 + dt.timedelta(seconds=3600), "A")],
+                          schema).coalesce(1).write.parquet(src + "/in/b")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                   .option("recursiveFileLookup", "true").parquet(src + "/in"))
+    ev.run_available_now(ev.alert_throttle(stream), src + "/out", src + "/ck")
+    assert sorted(r.event_id for r in spark.read.parquet(src + "/out").collect()) == [1, 3]

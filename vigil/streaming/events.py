@@ -77,11 +77,16 @@ THROTTLE_STATE = T.StructType([T.StructField("last_response", T.TimestampType())
 
 def _throttle(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keep an alert's events that come at least the delay after the last response.
-    State: one timestamp per (server, alert)."""
+
+    State: one timestamp per (server, alert).  Once the watermark passes that
+    timestamp plus the delay, every later event fires anyway, so the state is
+    dropped (event-time timeout): only keys inside their delay window hold state.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
     pdf = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-    last = state.get[0] if state.exists else None
-    if last is not None:
-        last = pd.Timestamp(last)
+    last = pd.Timestamp(state.get[0]) if state.exists else None
     keep = []
     for ts in pdf["ts"]:
         fire = last is None or (ts - last).total_seconds() >= ALERT_DELAY_SECONDS
@@ -90,17 +95,19 @@ def _throttle(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterato
             last = ts
     if last is not None:
         state.update((last.to_pydatetime(),))
+        state.setTimeoutTimestamp(int(last.timestamp() * 1000) + ALERT_DELAY_SECONDS * 1000)
     yield pdf.loc[keep, ["event_id", "server_id", "alert_name", "ts"]]
 
 
-def alert_throttle(matches: DataFrame) -> DataFrame:
+def alert_throttle(matches: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """ST5: response suppression as keyed state (one timestamp per server+alert).
     Works on a stream; a batch frame is run through the same code by
-    ``run_available_now``."""
+    ``run_available_now``.  ``lateness`` is how late an event may arrive."""
     return (matches.select("event_id", "server_id", "alert_name", F.col("ts").cast("timestamp").alias("ts"))
+                   .withWatermark("ts", lateness)
                    .groupBy("server_id", "alert_name")
                    .applyInPandasWithState(_throttle, THROTTLE_OUT, THROTTLE_STATE, "append",
-                                           GroupStateTimeout.NoTimeout))
+                                           GroupStateTimeout.EventTimeTimeout))
 
 
 def activity_rollup(snapshots: DataFrame, ts_col: str = "snap_time_stamp", watermark: str | None = None) -> DataFrame:
