@@ -87,7 +87,8 @@ def _inline_rules(df: DataFrame, rules: list[tuple[int, int, Column, Column]]) -
 
     The rule array is built in a plain projection (config scalars may appear in the
     conditions; subqueries are not allowed inside higher-order functions)."""
-    hits = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(p).alias("p"), F.lit(s).alias("s"),
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    hits = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(p).alias("p"), lit(s).cast("int").alias("s"),
                                                           msg.alias("m")))
                                      for p, s, cond, msg in rules]))
     return (df.withColumn("_hits", hits)
@@ -238,11 +239,6 @@ def scan_logs(ctx: CheckContext, numbers) -> DataFrame | None:
 
 # ---------------------------------------------------------------- server level
 
-def _services(ctx: CheckContext) -> DataFrame:
-    srv = ctx.frame("servers").select("server_id", "is_clustered")
-    return ctx.frame("services").join(srv, "server_id", "left")
-
-
 def _service_label(kind: Column) -> tuple[Column, Column]:
     """(statement number, label) of a service kind: engine first, agent second."""
     stmt = F.when(kind == "engine", F.lit(1)).otherwise(F.lit(2))
@@ -250,27 +246,32 @@ def _service_label(kind: Column) -> tuple[Column, Column]:
     return stmt, label
 
 
-def pol_10(ctx):
-    s = _services(ctx).filter(F.col("kind").isin("engine", "agent"))
-    clustered = F.coalesce(F.col("is_clustered"), F.lit(False))
-    expected = F.when(clustered, F.lit(3)).otherwise(F.lit(2))
-    how = F.when(clustered, F.lit("manually")).otherwise(F.lit("automatically"))
-    stmt, label = _service_label(F.col("kind"))
-    s = s.filter(F.col("start_mode") != expected)
-    return _violations(s, db_level=False, policy_no=10, stmt_no=stmt,
-                       message=F.concat(label, F.col("service_name"), F.lit(") must be configured to start "),
-                                        how, F.lit(".")))
+SERVICE_POLICIES = (10, 11)
 
 
-def pol_11(ctx):
+def scan_services(ctx: CheckContext, numbers) -> DataFrame | None:
+    """Policies 10 (start mode) and 11 (named account) in one pass over the services."""
+    numbers = [n for n in SERVICE_POLICIES if n in set(numbers)]
+    if not numbers:
+        return None
     s = ctx.frame("services").filter(F.col("kind").isin("engine", "agent"))
-    acct = F.col("account")
-    s = s.filter((F.instr(acct, "\\") == 0) & (F.instr(acct, "@") == 0))
+    if 10 in numbers:
+        s = s.join(ctx.frame("servers").select("server_id", "is_clustered"), "server_id", "left")
     stmt, label = _service_label(F.col("kind"))
-    return _violations(s, db_level=False, policy_no=11, stmt_no=stmt,
-                       message=F.concat(label, F.col("service_name"),
-                                        F.lit(") must run under named account. Currently runs under "),
-                                        acct, F.lit(".")))
+    rules = []
+    if 10 in numbers:
+        clustered = F.coalesce(F.col("is_clustered"), F.lit(False))
+        expected = F.when(clustered, F.lit(3)).otherwise(F.lit(2))
+        how = F.when(clustered, F.lit("manually")).otherwise(F.lit("automatically"))
+        rules.append((10, stmt, F.col("start_mode") != expected,
+                      F.concat(label, F.col("service_name"), F.lit(") must be configured to start "), how, F.lit("."))))
+    if 11 in numbers:
+        acct = F.col("account")
+        rules.append((11, stmt, (F.instr(acct, "\\") == 0) & (F.instr(acct, "@") == 0),
+                      F.concat(label, F.col("service_name"),
+                               F.lit(") must run under named account. Currently runs under "), acct, F.lit("."))))
+    hits = _inline_rules(s, rules)
+    return _violations(hits, db_level=False, policy_no=F.col("p"), stmt_no=F.col("s"), message=F.col("m"))
 
 
 def pol_12(ctx):
@@ -397,33 +398,43 @@ def pol_22(ctx):
                        message=F.format_string("%d job step log name(s) do not conform to naming rules.", F.col("n")))
 
 
-def pol_23(ctx):
-    cats = (ctx.frame("categories").filter(F.startswith(F.lower(F.col("name")), F.lit("[uncategorized")))
-               .select("category_id", F.col("name").alias("category_name")))
-    j = ctx.frame("jobs").join(cats, "category_id")
-    return _violations(j, db_level=False, policy_no=23,
-                       message=F.format_string('Job "%s": Category "%s"', F.col("name"), F.col("category_name")))
+JOB_POLICIES = (23, 24)
 
 
-def pol_24(ctx):
-    j = ctx.frame("jobs").filter(~F.col("notify_level_email").isin(2, 3))
-    return _violations(j, db_level=False, policy_no=24,
-                       message=F.format_string('Job "%s": mail notification must be "on failure" or "on completion".',
-                                               F.col("name")))
+def scan_jobs(ctx: CheckContext, numbers) -> DataFrame | None:
+    """Policies 23 (uncategorized) and 24 (mail notification) in one pass over the jobs;
+    categories are a bounded lookup (broadcast after a size check)."""
+    numbers = [n for n in JOB_POLICIES if n in set(numbers)]
+    if not numbers:
+        return None
+    j = ctx.frame("jobs").select("server_id", "name", "category_id", "notify_level_email")
+    rules = []
+    if 23 in numbers:
+        cats = ctx.frame("categories").select("category_id", F.col("name").alias("category_name"))
+        j = j.join(small(cats), "category_id", "left")
+        rules.append((23, 1, F.startswith(F.lower(F.col("category_name")), F.lit("[uncategorized")),
+                      F.format_string('Job "%s": Category "%s"', F.col("name"), F.col("category_name"))))
+    if 24 in numbers:
+        rules.append((24, 1, ~F.col("notify_level_email").isin(2, 3),
+                      F.format_string('Job "%s": mail notification must be "on failure" or "on completion".',
+                                      F.col("name"))))
+    hits = _inline_rules(j, rules)
+    return _violations(hits, db_level=False, policy_no=F.col("p"), stmt_no=F.col("s"), message=F.col("m"))
 
 
 SERVER_POLICIES: dict[int, Callable[[CheckContext], DataFrame]] = {
-    10: pol_10, 11: pol_11, 12: pol_12, 13: pol_13, 14: pol_14, 16: pol_16, 17: pol_17,
-    19: pol_19, 20: pol_20, 22: pol_22, 23: pol_23, 24: pol_24,
+    12: pol_12, 13: pol_13, 14: pol_14, 16: pol_16, 17: pol_17, 19: pol_19, 20: pol_20, 22: pol_22,
 }
+SCANS = (scan_databases, scan_files, scan_logs, scan_services, scan_jobs)
 
-ALL_POLICIES = sorted(set(DB_SCAN_POLICIES) | set(FILE_POLICIES) | set(LOG_POLICIES) | set(SERVER_POLICIES))
+ALL_POLICIES = sorted(set(DB_SCAN_POLICIES) | set(FILE_POLICIES) | set(LOG_POLICIES) | set(SERVICE_POLICIES)
+                      | set(JOB_POLICIES) | set(SERVER_POLICIES))
 
 
 def raw_violations(ctx: CheckContext, numbers=None) -> DataFrame:
     """Violations of the given policies (default: all known), before eligibility."""
     numbers = set(ALL_POLICIES if numbers is None else numbers)
-    parts = [scan_databases(ctx, numbers), scan_files(ctx, numbers), scan_logs(ctx, numbers)]
+    parts = [scan(ctx, numbers) for scan in SCANS]
     parts += [SERVER_POLICIES[n](ctx) for n in sorted(numbers) if n in SERVER_POLICIES]
     parts += [ctx.extra[n](ctx) for n in sorted(numbers) if n in ctx.extra]
     parts = [p for p in parts if p is not None]
