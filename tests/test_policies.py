@@ -52,7 +52,7 @@ def test_instance_name_rule(spark):
     srv = spark.createDataFrame([(1, "HOST1", "host1"), (2, "HOST2", "HOST2/INST"), (3, "HOST3", None),
                                  (4, "HOST4", "OTHER")], "server_id bigint, machine_name string, servername string")
     ctx = CheckContext(FrameInputs(spark, {"servers": srv}))
-    got = sorted((r.server_id, r.message) for r in P.pol_13(ctx).collect())
+    got = sorted((r.server_id, r.message) for r in P.scan_servers(ctx, [13]).collect())
     assert got == [(3, "@@servername may not be null."),
                    (4, "Invalid instance name. Machine: HOST4, but instance: OTHER.")]
 

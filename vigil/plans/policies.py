@@ -274,43 +274,53 @@ def scan_services(ctx: CheckContext, numbers) -> DataFrame | None:
     return _violations(hits, db_level=False, policy_no=F.col("p"), stmt_no=F.col("s"), message=F.col("m"))
 
 
-def pol_12(ctx):
-    o = ctx.frame("options").filter((F.col("configuration_id") == PRIORITY_BOOST_OPTION)
-                                    & (F.col("value_in_use") == 1))
-    return _violations(o, db_level=False, policy_no=12,
-                       message=F.lit('The option "priority boost" must be turned off.'))
-
-
-def pol_13(ctx):
-    s = ctx.frame("servers")
-    sname, machine = F.col("servername"), F.col("machine_name")
-    bad_name = (~F.startswith(F.lower(sname), F.lower(F.concat(machine, F.lit(INSTANCE_SEPARATOR))))
-                & ~ci_equal(sname, machine))
-    msg = (F.when(sname.isNull(), F.lit("@@servername may not be null."))
-            .when(bad_name, F.concat(F.lit("Invalid instance name. Machine: "), machine,
-                                     F.lit(", but instance: "), sname, F.lit("."))))
-    return _violations(s.filter(msg.isNotNull()), db_level=False, policy_no=13, message=msg)
-
-
-def pol_14(ctx):
-    job_name = ctx.maint_db + CHECK_JOB_SUFFIX
-    jobs = (ctx.frame("jobs").filter(F.lower(F.col("name")) == job_name.lower())
-                             .groupBy("server_id").agg(F.bool_or("enabled").alias("any_enabled")))
-    s = ctx.frame("servers").select("server_id").join(jobs, "server_id", "left")
-    msg = (F.when(F.col("any_enabled").isNull(), F.lit("Job for check of user databases does not exist."))
-            .when(~F.col("any_enabled"), F.lit("Job for check of user databases is disabled.")))
-    return _violations(s.filter(msg.isNotNull()), db_level=False, policy_no=14, message=msg)
-
-
-def pol_16(ctx):
-    required = ctx.cfg_int("pol.required_maxdop")
-    running = (ctx.frame("options").filter(F.col("configuration_id") == MAXDOP_OPTION)
-                                   .select("server_id", F.col("value_in_use").cast("int").alias("running")))
-    s = ctx.with_cfg(ctx.frame("servers").select("server_id").join(running, "server_id", "left"))
-    msg = (F.when(required.isNull(), F.lit("pol.required_maxdop is not set."))
-            .when(required != F.col("running"),
-                  F.format_string("Must be set to %d, but currently is %d.", required, F.col("running"))))
-    return _violations(s.filter(msg.isNotNull()), db_level=False, policy_no=16, message=msg)
+SERVER_ROW_POLICIES = (12, 13, 14, 16)
+
+
+def scan_servers(ctx: CheckContext, numbers) -> DataFrame | None:
+    """Policies 12 (priority boost), 13 (instance name), 14 (check job) and 16 (max
+    degree of parallelism) in one pass over the servers, joined once with the two
+    options pivoted per server and once with the check-job state per server (both
+    hash aggregates, combined map-side)."""
+    numbers = [n for n in SERVER_ROW_POLICIES if n in set(numbers)]
+    if not numbers:
+        return None
+    s = ctx.frame("servers").select("server_id", "machine_name", "servername")
+    if {12, 16} & set(numbers):
+        opt = F.col("configuration_id")
+        options = (ctx.frame("options").filter(opt.isin(PRIORITY_BOOST_OPTION, MAXDOP_OPTION))
+                      .groupBy("server_id")
+                      .agg(F.max(F.when(opt == PRIORITY_BOOST_OPTION, F.col("value_in_use"))).alias("boost"),
+                           F.max(F.when(opt == MAXDOP_OPTION, F.col("value_in_use"))).cast("int").alias("maxdop")))
+        s = s.join(options, "server_id", "left")
+    if 14 in numbers:
+        job_name = (ctx.maint_db + CHECK_JOB_SUFFIX).lower()
+        jobs = (ctx.frame("jobs").filter(F.lower(F.col("name")) == job_name)
+                                 .groupBy("server_id").agg(F.bool_or("enabled").alias("any_enabled")))
+        s = s.join(jobs, "server_id", "left")
+    if 16 in numbers:
+        s = ctx.with_cfg(s)
+    rules = []
+    if 12 in numbers:
+        rules.append((12, 1, F.col("boost") == 1, F.lit('The option "priority boost" must be turned off.')))
+    if 13 in numbers:
+        sname, machine = F.col("servername"), F.col("machine_name")
+        bad_name = (~F.startswith(F.lower(sname), F.lower(F.concat(machine, F.lit(INSTANCE_SEPARATOR))))
+                    & ~ci_equal(sname, machine))
+        rules.append((13, 1, sname.isNull(), F.lit("@@servername may not be null.")))
+        rules.append((13, 1, sname.isNotNull() & bad_name,
+                      F.concat(F.lit("Invalid instance name. Machine: "), machine, F.lit(", but instance: "),
+                               sname, F.lit("."))))
+    if 14 in numbers:
+        rules.append((14, 1, F.col("any_enabled").isNull(), F.lit("Job for check of user databases does not exist.")))
+        rules.append((14, 1, ~F.col("any_enabled"), F.lit("Job for check of user databases is disabled.")))
+    if 16 in numbers:
+        required = ctx.cfg_int("pol.required_maxdop")
+        rules.append((16, 1, required.isNull(), F.lit("pol.required_maxdop is not set.")))
+        rules.append((16, 1, required != F.col("maxdop"),
+                      F.format_string("Must be set to %d, but currently is %d.", required, F.col("maxdop"))))
+    hits = _inline_rules(s, rules)
+    return _violations(hits, db_level=False, policy_no=F.col("p"), stmt_no=F.col("s"), message=F.col("m"))
 
 
 def pol_17(ctx):
@@ -422,13 +432,11 @@ def scan_jobs(ctx: CheckContext, numbers) -> DataFrame | None:
     return _violations(hits, db_level=False, policy_no=F.col("p"), stmt_no=F.col("s"), message=F.col("m"))
 
 
-SERVER_POLICIES: dict[int, Callable[[CheckContext], DataFrame]] = {
-    12: pol_12, 13: pol_13, 14: pol_14, 16: pol_16, 17: pol_17, 19: pol_19, 20: pol_20, 22: pol_22,
-}
-SCANS = (scan_databases, scan_files, scan_logs, scan_services, scan_jobs)
+SERVER_POLICIES: dict[int, Callable[[CheckContext], DataFrame]] = {17: pol_17, 19: pol_19, 20: pol_20, 22: pol_22}
+SCANS = (scan_databases, scan_files, scan_logs, scan_services, scan_jobs, scan_servers)
 
 ALL_POLICIES = sorted(set(DB_SCAN_POLICIES) | set(FILE_POLICIES) | set(LOG_POLICIES) | set(SERVICE_POLICIES)
-                      | set(JOB_POLICIES) | set(SERVER_POLICIES))
+                      | set(JOB_POLICIES) | set(SERVER_ROW_POLICIES) | set(SERVER_POLICIES))
 
 
 def raw_violations(ctx: CheckContext, numbers=None) -> DataFrame:
