@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 
 def duplicate_keys(df: DataFrame, keys: list[Column | str], label: str) -> DataFrame:
-    """Q1: key values held by more than one row (hash aggregate, combined map-side)."""
-    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    key_text = F.concat_ws("|", *[c.cast("string") for c in cols])
-    return (df.groupBy(key_text.alias("key_value")).agg(F.count(F.lit(1)).alias("n_rows"))
-              .filter(F.col("n_rows") > 1)
-              .select(F.lit(label).alias("constraint_name"), "key_value", "n_rows"))
+    """Q1: key values held by more than one row (hash aggregate on the key columns,
+    combined map-side; the key is printed only for the offending groups)."""
+    cols = [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
+    key_text = F.concat_ws("|", *[F.col(f"_k{i}").cast("string") for i in range(len(keys))])
+    return grouped.select(F.lit(label).alias("constraint_name"), key_text.alias("key_value"), "n_rows")
 
 
 def check_violations(df: DataFrame, predicate: Column, label: str) -> DataFrame:
