@@ -134,3 +134,11 @@ def test_alert_throttle_across_micro_batches(spark):
                    .option("recursiveFileLookup", "true").parquet(src + "/in"))
     ev.run_available_now(ev.alert_throttle(stream), src + "/out", src + "/ck")
     assert sorted(r.event_id for r in spark.read.parquet(src + "/out").collect()) == [1, 3]
+
+
+def test_wait_filter_by_numeric_keys(spark):
+    rows = [(1, "wait_info", 60, 20000, 178), (2, "wait_info", 60, 20000, 5), (3, "wait_info", 40, 20000, 5),
+            (4, "wait_info", 60, 15000, 5), (5, "xml_deadlock_report", 1, 0, 178)]
+    df = spark.createDataFrame(rows, "event_id long, event_name string, session_id int, duration_ms long, wait_key int")
+    got = ev.session_filter(df, ignored=ev.WAIT_KEYS_IGNORED_2012, key="wait_key")
+    assert sorted(r.event_id for r in got.collect()) == [2, 5]

@@ -103,9 +103,11 @@ def report_html(report: DataFrame, page_rows: int = HTML_PAGE_ROWS) -> DataFrame
 
 def write_report(report: DataFrame, path: str, run_date: str) -> None:
     """The ordered report as parquet, one folder per run date; rewriting a run
-    date replaces only that partition."""
+    date replaces only that partition.  Range partitioning on (server, seq) keeps
+    files balanced even when one server holds most messages, and every file holds
+    a contiguous, ordered slice."""
     (report.withColumn("run_date", F.lit(run_date).cast("date"))
-           .repartition("server_id")
+           .repartitionByRange("server_id", "seq")
            .sortWithinPartitions("server_id", "seq")
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("run_date").parquet(path))

@@ -39,19 +39,22 @@ def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def wait_filter(events: DataFrame) -> DataFrame:
-    """ST1: long waits of user sessions, minus the benign wait types."""
-    return events.filter((F.col("event_name") == "wait_info") & (F.col("duration_ms") > WAIT_MIN_DURATION)
-                         & (F.col("session_id") > WAIT_MIN_SESSION)
-                         & ~F.col("wait_type").isin(list(WAIT_TYPES_IGNORED)))
+def _long_waits(ignored, key: str) -> "Column":
+    return ((F.col("event_name") == "wait_info") & (F.col("duration_ms") > WAIT_MIN_DURATION)
+            & (F.col("session_id") > WAIT_MIN_SESSION) & ~F.col(key).isin(list(ignored)))
 
 
-def session_filter(events: DataFrame) -> DataFrame:
+def wait_filter(events: DataFrame, ignored=WAIT_TYPES_IGNORED, key: str = "wait_type") -> DataFrame:
+    """ST1: long waits of user sessions, minus the benign wait types.  The list is a
+    parameter: by name (default) or, for the older session form, by numeric key
+    (``ignored=WAIT_KEYS_IGNORED_2012, key="wait_key"``)."""
+    return events.filter(_long_waits(ignored, key))
+
+
+def session_filter(events: DataFrame, ignored=WAIT_TYPES_IGNORED, key: str = "wait_type") -> DataFrame:
     """ST1 + ST2: what the event session keeps -- filtered waits plus every blocked
-    process and deadlock report.  One filter, pushed into the scan."""
-    waits = ((F.col("event_name") == "wait_info") & (F.col("duration_ms") > WAIT_MIN_DURATION)
-             & (F.col("session_id") > WAIT_MIN_SESSION) & ~F.col("wait_type").isin(list(WAIT_TYPES_IGNORED)))
-    return events.filter(waits | F.col("event_name").isin(list(PASS_THROUGH_EVENTS)))
+    process and deadlock report.  One filter, evaluated before any shuffle."""
+    return events.filter(_long_waits(ignored, key) | F.col("event_name").isin(list(PASS_THROUGH_EVENTS)))
 
 
 def alert_rules(spark: SparkSession, maint_db: str) -> DataFrame:
