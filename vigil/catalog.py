@@ -154,7 +154,7 @@ def _alert_throttle(spark, d):
     """Batch twin of ST5: the same keyed-state code, drained with availableNow."""
     base = scratch_dir(spark, f"alert-throttle-{uuid.uuid4().hex}")
     stream = ev.stream_fixture(spark, d, "xe_events")
-    out = ev.alert_throttle(ev.alert_match(stream, ev.alert_rules(spark, reg.MAINT_DB)))
+    out = ev.alert_throttle(ev.alert_match(stream, ev.alert_rules(spark, reg.MAINT_DB)), lateness=None)
     ev.run_available_now(out, base + "/out", base + "/ckpt")
     return (spark.read.schema(ev.THROTTLE_OUT).parquet(base + "/out")
                  .withColumn("ts", F.col("ts").cast("timestamp_ntz")))

@@ -7,6 +7,7 @@ Event time is cast to ``timestamp`` (session zone UTC) because watermarks reject
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -78,7 +79,8 @@ THROTTLE_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructFi
 THROTTLE_STATE = T.StructType([T.StructField("last_response", T.TimestampType())])
 
 
-def _throttle(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _throttle(key, frames: Iterator[pd.DataFrame], state: GroupState,
+              drop_idle_state: bool = True) -> Iterator[pd.DataFrame]:
     """Keep an alert's events that come at least the delay after the last response.
 
     State: one timestamp per (server, alert).  Once the watermark passes that
@@ -98,19 +100,26 @@ def _throttle(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterato
             last = ts
     if last is not None:
         state.update((last.to_pydatetime(),))
-        state.setTimeoutTimestamp(int(last.timestamp() * 1000) + ALERT_DELAY_SECONDS * 1000)
+        if drop_idle_state:
+            state.setTimeoutTimestamp(int(last.timestamp() * 1000) + ALERT_DELAY_SECONDS * 1000)
     yield pdf.loc[keep, ["event_id", "server_id", "alert_name", "ts"]]
 
 
-def alert_throttle(matches: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def alert_throttle(matches: DataFrame, lateness: str | None = "10 minutes") -> DataFrame:
     """ST5: response suppression as keyed state (one timestamp per server+alert).
-    Works on a stream; a batch frame is run through the same code by
-    ``run_available_now``.  ``lateness`` is how late an event may arrive."""
-    return (matches.select("event_id", "server_id", "alert_name", F.col("ts").cast("timestamp").alias("ts"))
-                   .withWatermark("ts", lateness)
-                   .groupBy("server_id", "alert_name")
-                   .applyInPandasWithState(_throttle, THROTTLE_OUT, THROTTLE_STATE, "append",
-                                           GroupStateTimeout.EventTimeTimeout))
+
+    ``lateness`` is how late an event may arrive; with it, idle state is dropped by
+    an event-time timeout.  ``lateness=None`` (a bounded replay, e.g. the batch
+    twin drained with availableNow) keeps the same state logic without timers.
+    """
+    df = matches.select("event_id", "server_id", "alert_name", F.col("ts").cast("timestamp").alias("ts"))
+    if lateness:
+        df = df.withWatermark("ts", lateness)
+        fn, timeout = _throttle, GroupStateTimeout.EventTimeTimeout
+    else:
+        fn, timeout = functools.partial(_throttle, drop_idle_state=False), GroupStateTimeout.NoTimeout
+    return (df.groupBy("server_id", "alert_name")
+              .applyInPandasWithState(fn, THROTTLE_OUT, THROTTLE_STATE, "append", timeout))
 
 
 def activity_rollup(snapshots: DataFrame, ts_col: str = "snap_time_stamp", watermark: str | None = None) -> DataFrame:
