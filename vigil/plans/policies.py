@@ -45,6 +45,70 @@ FILE_POLICIES = (1, 2)
 LOG_POLICIES = (21, 25)
 
 
+# Fixed values (must equal the reference's): the message texts, in policy order.
+# "%s" marks an inserted value; a NULL value makes the whole message NULL, as the
+# reference's string "+" does.
+MESSAGES = {
+    "file": "File: %s",                                                                    # 1, 2
+    "sharepoint_unset": "pol.allow_sharepoint is not set.",                                 # 3
+    "collation": "DB: %s; Server: %s",                                                      # 3
+    "compat_level": "DB: %s; Server: %s",                                                   # 4
+    "full_backup": "Last Full Backup: %s, Last Diff. Backup: %s",                           # 5
+    "log_backup": "Last Log Backup: %s",                                                    # 5
+    "auto_close": "AutoClose=ON",                                                           # 6
+    "auto_shrink": "AutoShrink=ON",                                                         # 7
+    "start_mode": "%s (%s) must be configured to start %s.",                                # 10
+    "account": "%s (%s) must run under named account. Currently runs under %s.",           # 11
+    "priority_boost": 'The option "priority boost" must be turned off.',                    # 12
+    "servername_null": "@@servername may not be null.",                                     # 13
+    "instance_name": "Invalid instance name. Machine: %s, but instance: %s.",              # 13
+    "check_job_missing": "Job for check of user databases does not exist.",                 # 14
+    "check_job_disabled": "Job for check of user databases is disabled.",                   # 14
+    "maxdop_unset": "pol.required_maxdop is not set.",                                      # 16
+    "maxdop": "Must be set to %s, but currently is %s.",                                    # 16
+    "sa_disabled": "SA account is disabled.",                                               # 17
+    "sa_expiration": "Expiration for SA account is set.",                                   # 17
+    "sa_policy": "Policy check for SA account is set.",                                     # 17
+    "vlf_unset": "pol.allowed_max_vlf is not set.",                                         # 18
+    "vlf": "Max. allowed: %s, but currently: %s.",                                          # 18
+    "orphan_exclusion": "The database cannot be found, but an entry exists in "
+                        "base.tblProcessingExclusion. Please check.",                       # 19
+    "orphan_retention": "The database cannot be found, but an entry exists in "
+                        "base.tblIndividualBackupSetting. Please check.",                   # 19
+    "unneeded_exclusion": "This exclusion for policy 3 is not needed, since the database has "
+                          "SharePoint collation and pol.allow_sharepoint=1.",               # 20
+    "log_names": "%s job step log name(s) do not conform to naming rules.",                 # 22
+    "job_category": 'Job "%s": Category "%s"',                                              # 23
+    "job_notification": 'Job "%s": mail notification must be "on failure" or "on completion".',  # 24
+    "arithabort": "ARITHABORT=OFF",                                                         # 26
+    "not_mirrored": "It seems that mirroring is not configured for this DB. Please check.", # 27
+    "safety_unset": "pol.mirr_safety_level is not set.",                                    # 29
+    "timeout_unset": "pol.mirr_conn_timeout is not set.",                                   # 29
+    "partner_unset": "pol.mirr_partner_name is not set.",                                   # 29
+    "safety": "Safety level: is=%s, must be=%s.",                                           # 29
+    "timeout": "Connection timeout: is=%s, must be=%s.",                                    # 29
+    "partner": "Partner name: is=%s, must be=%s.",                                          # 29
+}
+SERVICE_LABELS = {"engine": "SQL Server", "agent": "SQL Server Agent"}                   # 10, 11
+START_MODES = {3: "manually", 2: "automatically"}                                        # 10 (clustered, not)
+
+
+def message(key: str, *values: Column) -> Column:
+    """A message of ``MESSAGES`` with its values inserted (NULL-propagating concat)."""
+    pieces = MESSAGES[key].split("%s")
+    if len(pieces) != len(values) + 1:
+        raise ValueError(key)
+    if not values:
+        return F.lit(MESSAGES[key])
+    cols = []
+    for i, piece in enumerate(pieces):
+        if piece:
+            cols.append(F.lit(piece))
+        if i < len(values):
+            cols.append(values[i].cast("string"))
+    return F.concat(*cols)
+
+
 def _violations(df: DataFrame, *, db_level: bool, policy_no: Column | int | None = None,
                 db_name: Column | None = None, stmt_no: Column | int = 1, message: Column | None = None,
                 db_state: Column | None = None, log_order: Column | None = None,
@@ -123,37 +187,36 @@ def _database_rules(ctx: CheckContext) -> dict[int, list[tuple[int, Column, Colu
     mirrored = col("mirroring_guid").isNotNull()
 
     return {
-        3: [(1, allow.isNull(), F.lit("pol.allow_sharepoint is not set.")),
+        3: [(1, allow.isNull(), message("sharepoint_unset")),
             (1, allow.isNotNull() & (coll.isNull() | ((coll != srv_coll)
                                                       & ((allow01 == 0) | (coll != SHAREPOINT_COLLATION)))),
-             F.concat(F.lit("DB: "), F.coalesce(coll, F.lit("?")), F.lit("; Server: "), srv_coll))],
+             message("collation", F.coalesce(coll, F.lit("?")), srv_coll))],
         4: [(1, col("compatibility_level").isNull() | (compat_txt != srv_level),
-             F.concat(F.lit("DB: "), F.coalesce(compat_txt, F.lit("?")), F.lit("; Server: "), srv_level))],
+             message("compat_level", F.coalesce(compat_txt, F.lit("?")), srv_level))],
         5: [(1, too_old("last_full_backup") & too_old("last_diff_backup"),
-             F.concat(F.lit("Last Full Backup: "), shown("last_full_backup"),
-                      F.lit(", Last Diff. Backup: "), shown("last_diff_backup"))),
+             message("full_backup", shown("last_full_backup"), shown("last_diff_backup"))),
             (2, too_old("last_log_backup") & (F.lower(col("recovery_model_desc")) != "simple")
                 & (F.lower(name) != "model"),
-             F.concat(F.lit("Last Log Backup: "), shown("last_log_backup")))],
-        6: [(1, col("is_auto_close_on"), F.lit("AutoClose=ON"))],
-        7: [(1, col("is_auto_shrink_on"), F.lit("AutoShrink=ON"))],
+             message("log_backup", shown("last_log_backup")))],
+        6: [(1, col("is_auto_close_on"), message("auto_close"))],
+        7: [(1, col("is_auto_shrink_on"), message("auto_shrink"))],
         8: [(1, col("recovery_model") == 3, col("recovery_model_desc"))],
         9: [(1, col("state") != 0, col("state_desc"))],
-        18: [(1, max_vlf.isNull(), F.lit("pol.allowed_max_vlf is not set.")),
+        18: [(1, max_vlf.isNull(), message("vlf_unset")),
              (1, col("vlf_number") > max_vlf,
-              F.format_string("Max. allowed: %d, but currently: %d.", max_vlf, col("vlf_number")))],
-        26: [(1, col("is_arithabort_on") == F.lit(False), F.lit("ARITHABORT=OFF"))],
-        27: [(1, ~mirrored, F.lit("It seems that mirroring is not configured for this DB. Please check."))],
+              message("vlf", max_vlf, col("vlf_number")))],
+        26: [(1, col("is_arithabort_on") == F.lit(False), message("arithabort"))],
+        27: [(1, ~mirrored, message("not_mirrored"))],
         28: [(1, mirrored & ~col("mirroring_state").isin(2, 4), col("mirroring_state_desc"))],
-        29: [(1, m_safety.isNull(), F.lit("pol.mirr_safety_level is not set.")),
-             (2, m_timeout.isNull(), F.lit("pol.mirr_conn_timeout is not set.")),
-             (3, m_partner.isNull(), F.lit("pol.mirr_partner_name is not set.")),
+        29: [(1, m_safety.isNull(), message("safety_unset")),
+             (2, m_timeout.isNull(), message("timeout_unset")),
+             (3, m_partner.isNull(), message("partner_unset")),
              (4, m_all_set & mirrored & (col("mirroring_safety_level") != m_safety),
-              F.format_string("Safety level: is=%d, must be=%d.", col("mirroring_safety_level"), m_safety)),
+              message("safety", col("mirroring_safety_level"), m_safety)),
              (5, m_all_set & mirrored & (col("mirroring_conn_timeout") != m_timeout),
-              F.format_string("Connection timeout: is=%d, must be=%d.", col("mirroring_conn_timeout"), m_timeout)),
+              message("timeout", col("mirroring_conn_timeout"), m_timeout)),
              (6, m_all_set & mirrored & ~ci_equal(col("mirroring_partner_name"), m_partner),
-              F.format_string("Partner name: is=%s, must be=%s.", col("mirroring_partner_name"), m_partner))],
+              message("partner", col("mirroring_partner_name"), m_partner))],
     }
 
 
@@ -182,7 +245,7 @@ def scan_files(ctx: CheckContext, numbers) -> DataFrame | None:
         return None
     pct = F.col("is_percent_growth")
     growth = F.col("growth_pages")
-    msg = F.concat(F.lit("File: "), F.col("name"))
+    msg = message("file", F.col("name"))
     rules = {1: (1, 1, pct, msg),
              2: (2, 1, (growth != 0) & (growth != GROWTH_100MB_PAGES) & ~pct, msg)}
     chosen = [rules[n] for n in numbers]
@@ -242,7 +305,7 @@ def scan_logs(ctx: CheckContext, numbers) -> DataFrame | None:
 def _service_label(kind: Column) -> tuple[Column, Column]:
     """(statement number, label) of a service kind: engine first, agent second."""
     stmt = F.when(kind == "engine", F.lit(1)).otherwise(F.lit(2))
-    label = F.when(kind == "engine", F.lit("SQL Server (")).otherwise(F.lit("SQL Server Agent ("))
+    label = F.when(kind == "engine", F.lit(SERVICE_LABELS["engine"])).otherwise(F.lit(SERVICE_LABELS["agent"]))
     return stmt, label
 
 
@@ -262,14 +325,13 @@ def scan_services(ctx: CheckContext, numbers) -> DataFrame | None:
     if 10 in numbers:
         clustered = F.coalesce(F.col("is_clustered"), F.lit(False))
         expected = F.when(clustered, F.lit(3)).otherwise(F.lit(2))
-        how = F.when(clustered, F.lit("manually")).otherwise(F.lit("automatically"))
+        how = F.when(clustered, F.lit(START_MODES[3])).otherwise(F.lit(START_MODES[2]))
         rules.append((10, stmt, F.col("start_mode") != expected,
-                      F.concat(label, F.col("service_name"), F.lit(") must be configured to start "), how, F.lit("."))))
+                      message("start_mode", label, F.col("service_name"), how)))
     if 11 in numbers:
         acct = F.col("account")
         rules.append((11, stmt, (F.instr(acct, "\\") == 0) & (F.instr(acct, "@") == 0),
-                      F.concat(label, F.col("service_name"),
-                               F.lit(") must run under named account. Currently runs under "), acct, F.lit("."))))
+                      message("account", label, F.col("service_name"), acct)))
     hits = _inline_rules(s, rules)
     return _violations(hits, db_level=False, policy_no=F.col("p"), stmt_no=F.col("s"), message=F.col("m"))
 
@@ -302,32 +364,31 @@ def scan_servers(ctx: CheckContext, numbers) -> DataFrame | None:
         s = ctx.with_cfg(s)
     rules = []
     if 12 in numbers:
-        rules.append((12, 1, F.col("boost") == 1, F.lit('The option "priority boost" must be turned off.')))
+        rules.append((12, 1, F.col("boost") == 1, message("priority_boost")))
     if 13 in numbers:
         sname, machine = F.col("servername"), F.col("machine_name")
         bad_name = (~F.startswith(F.lower(sname), F.lower(F.concat(machine, F.lit(INSTANCE_SEPARATOR))))
                     & ~ci_equal(sname, machine))
-        rules.append((13, 1, sname.isNull(), F.lit("@@servername may not be null.")))
+        rules.append((13, 1, sname.isNull(), message("servername_null")))
         rules.append((13, 1, sname.isNotNull() & bad_name,
-                      F.concat(F.lit("Invalid instance name. Machine: "), machine, F.lit(", but instance: "),
-                               sname, F.lit("."))))
+                      message("instance_name", machine, sname)))
     if 14 in numbers:
-        rules.append((14, 1, F.col("any_enabled").isNull(), F.lit("Job for check of user databases does not exist.")))
-        rules.append((14, 1, ~F.col("any_enabled"), F.lit("Job for check of user databases is disabled.")))
+        rules.append((14, 1, F.col("any_enabled").isNull(), message("check_job_missing")))
+        rules.append((14, 1, ~F.col("any_enabled"), message("check_job_disabled")))
     if 16 in numbers:
         required = ctx.cfg_int("pol.required_maxdop")
-        rules.append((16, 1, required.isNull(), F.lit("pol.required_maxdop is not set.")))
+        rules.append((16, 1, required.isNull(), message("maxdop_unset")))
         rules.append((16, 1, required != F.col("maxdop"),
-                      F.format_string("Must be set to %d, but currently is %d.", required, F.col("maxdop"))))
+                      message("maxdop", required, F.col("maxdop"))))
     hits = _inline_rules(s, rules)
     return _violations(hits, db_level=False, policy_no=F.col("p"), stmt_no=F.col("s"), message=F.col("m"))
 
 
 def pol_17(ctx):
     sa = ctx.frame("logins").filter(F.lower(F.col("name")) == "sa")
-    rules = [(17, 1, F.col("is_disabled"), F.lit("SA account is disabled.")),
-             (17, 2, F.col("is_expiration_checked"), F.lit("Expiration for SA account is set.")),
-             (17, 3, F.col("is_policy_checked"), F.lit("Policy check for SA account is set."))]
+    rules = [(17, 1, F.col("is_disabled"), message("sa_disabled")),
+             (17, 2, F.col("is_expiration_checked"), message("sa_expiration")),
+             (17, 3, F.col("is_policy_checked"), message("sa_policy"))]
     hits = _inline_rules(sa.select("server_id", "is_disabled", "is_expiration_checked", "is_policy_checked"), rules)
     return _violations(hits, db_level=False, policy_no=17, stmt_no=F.col("s"), message=F.col("m"))
 
@@ -363,15 +424,13 @@ def pol_19(ctx):
     hit = hit_exact.unionByName(hit_wild)
     a = _missing_per_server(ctx, pats, hit, "pattern")
     a = _violations(a, db_level=False, policy_no=19, db_name=F.col("pattern"), stmt_no=1,
-                    message=F.lit("The database cannot be found, but an entry exists in "
-                                  "base.tblProcessingExclusion. Please check."))
+                    message=message("orphan_exclusion"))
     ovr = ctx.frame("retention_overrides").select("db_name").distinct()
     hit_b = (dbs.join(ovr.withColumn("k", F.lower("db_name")), F.lower(F.col("name")) == F.col("k"))
                 .select("server_id", "db_name"))
     b = _missing_per_server(ctx, ovr, hit_b, "db_name")
     b = _violations(b, db_level=False, policy_no=19, db_name=F.col("db_name"), stmt_no=2,
-                    message=F.lit("The database cannot be found, but an entry exists in "
-                                  "base.tblIndividualBackupSetting. Please check."))
+                    message=message("orphan_retention"))
     return a.unionByName(b)
 
 
@@ -384,8 +443,7 @@ def pol_20(ctx):
     dbs = ctx.with_cfg(dbs)
     j = dbs.join(pats, F.lower(F.col("name")) == F.col("k")).filter(F.coalesce(allow, F.lit(0)) == 1)
     return _violations(j, db_level=False, policy_no=20, db_name=F.col("pattern"),
-                       message=F.lit("This exclusion for policy 3 is not needed, since the database has "
-                                     "SharePoint collation and pol.allow_sharepoint=1."))
+                       message=message("unneeded_exclusion"))
 
 
 def nonconforming_steps(ctx: CheckContext) -> DataFrame:
@@ -405,7 +463,7 @@ def nonconforming_steps(ctx: CheckContext) -> DataFrame:
 def pol_22(ctx):
     n = nonconforming_steps(ctx).groupBy("server_id").agg(F.count(F.lit(1)).alias("n"))
     return _violations(n.filter(F.col("n") > 0), db_level=False, policy_no=22,
-                       message=F.format_string("%d job step log name(s) do not conform to naming rules.", F.col("n")))
+                       message=message("log_names", F.col("n")))
 
 
 JOB_POLICIES = (23, 24)
@@ -423,11 +481,10 @@ def scan_jobs(ctx: CheckContext, numbers) -> DataFrame | None:
         cats = ctx.frame("categories").select("category_id", F.col("name").alias("category_name"))
         j = j.join(small(cats), "category_id", "left")
         rules.append((23, 1, F.startswith(F.lower(F.col("category_name")), F.lit("[uncategorized")),
-                      F.format_string('Job "%s": Category "%s"', F.col("name"), F.col("category_name"))))
+                      message("job_category", F.col("name"), F.col("category_name"))))
     if 24 in numbers:
         rules.append((24, 1, ~F.col("notify_level_email").isin(2, 3),
-                      F.format_string('Job "%s": mail notification must be "on failure" or "on completion".',
-                                      F.col("name"))))
+                      message("job_notification", F.col("name"))))
     hits = _inline_rules(j, rules)
     return _violations(hits, db_level=False, policy_no=F.col("p"), stmt_no=F.col("s"), message=F.col("m"))
 
