@@ -89,3 +89,20 @@ def text_has_any(c: Column, *needles: str) -> Column:
     for n in needles:
         cond = cond | (F.instr(lc, n.lower()) > 0)
     return cond
+
+
+def fill(template: str, *values: Column) -> Column:
+    """``template`` with each ``%s`` replaced by a value (cast to string); a NULL
+    value makes the result NULL, like string ``+`` in the reference's SQL."""
+    pieces = template.split("%s")
+    if len(pieces) != len(values) + 1:
+        raise ValueError(template)
+    if not values:
+        return F.lit(template)
+    cols = []
+    for i, piece in enumerate(pieces):
+        if piece:
+            cols.append(F.lit(piece))
+        if i < len(values):
+            cols.append(values[i].cast("string"))
+    return F.concat(*cols)

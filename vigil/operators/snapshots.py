@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.joins import small
 
-from vigil.functions.text import boundary_days, boundary_seconds
+from vigil.functions.text import boundary_days, boundary_seconds, fill
 
 # Fixed values (must equal the reference's).
 AGENT_PROGRAM_PREFIX = "SQLAgent - TSQL JobStep"
@@ -21,6 +21,11 @@ PERF_RETENTION_FOLDERS = 14
 DEFAULT_BACKUP_RETENTION_DAYS = 4
 # (database, new size KB or None, new growth KB) from the server preparation script
 FILE_TARGETS = (("model", 51200, 102400), ("msdb", None, 51200), ("tempdb", None, 102400))
+# the program name shown for a session run by an agent job step
+JOB_STEP_LABEL = 'Job "%s" : Step %s "%s"'
+# the size / growth statement of the file plan, and its optional size part
+FILE_STATEMENT = "ALTER DATABASE [%s] MODIFY FILE (NAME=N'%s', %sMAXSIZE=UNLIMITED, FILEGROWTH=%sKB)"
+FILE_SIZE_PART = "SIZE = %sKB, "
 # Default disk bounds when a volume has none configured (our choice).
 DEFAULT_WARNING_PCT = 80.0
 DEFAULT_ERROR_PCT = 90.0
@@ -74,8 +79,7 @@ def activity_snapshot(requests: DataFrame, sessions: DataFrame, sql_text: DataFr
     dbs = databases.select("server_id", "database_id", F.col("name").alias("dbname"))
     out = (base.join(resolved, ["server_id", "session_id"], "left")
                .join(dbs, ["server_id", "database_id"], "left"))
-    job_label = F.concat(F.lit('Job "'), F.col("job_name"), F.lit('" : Step '), F.col("step_id").cast("string"),
-                         F.lit(' "'), F.col("step_name"), F.lit('"'))
+    job_label = fill(JOB_STEP_LABEL, F.col("job_name"), F.col("step_id"), F.col("step_name"))
     return out.select(
         F.col("snap_ts").alias("snap_time_stamp"), "server_id", "session_id", "request_id", "login_name",
         F.coalesce(job_label, F.col("program_name")).alias("program_name"), "dbname", "start_time",
@@ -171,8 +175,6 @@ def file_plan(files: DataFrame, databases: DataFrame) -> DataFrame:
     f = files.select("server_id", "db_key", F.col("name").alias("file_name"),
                      (F.col("size_pages") * 8).alias("current_kb")).join(dbs, ["server_id", "db_key"])
     size_part = F.when(F.col("new_size_kb") > F.col("current_kb"),
-                       F.concat(F.lit("SIZE = "), F.col("new_size_kb").cast("string"), F.lit("KB, "))).otherwise("")
-    stmt = F.concat(F.lit("ALTER DATABASE ["), F.col("db_name"), F.lit("] MODIFY FILE (NAME=N'"), F.col("file_name"),
-                    F.lit("', "), size_part, F.lit("MAXSIZE=UNLIMITED, FILEGROWTH="),
-                    F.col("new_growth_kb").cast("string"), F.lit("KB)"))
+                       fill(FILE_SIZE_PART, F.col("new_size_kb"))).otherwise(F.lit(""))
+    stmt = fill(FILE_STATEMENT, F.col("db_name"), F.col("file_name"), size_part, F.col("new_growth_kb"))
     return f.select("server_id", "db_name", "file_name", "current_kb", stmt.alias("statement"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.joins import small
 
-from vigil.functions.text import boundary_days, ci_equal, date120, like_to_regex, safe_os_name
+from vigil.functions.text import boundary_days, ci_equal, date120, fill, like_to_regex, safe_os_name
 from vigil.plans.context import CheckContext
 
 VIOLATION_COLUMNS = ["server_id", "policy_no", "db_level", "db_name", "db_state",
@@ -94,19 +94,8 @@ START_MODES = {3: "manually", 2: "automatically"}
 
 
 def message(key: str, *values: Column) -> Column:
-    """A message of ``MESSAGES`` with its values inserted (NULL-propagating concat)."""
-    pieces = MESSAGES[key].split("%s")
-    if len(pieces) != len(values) + 1:
-        raise ValueError(key)
-    if not values:
-        return F.lit(MESSAGES[key])
-    cols = []
-    for i, piece in enumerate(pieces):
-        if piece:
-            cols.append(F.lit(piece))
-        if i < len(values):
-            cols.append(values[i].cast("string"))
-    return F.concat(*cols)
+    """A message of ``MESSAGES`` with its values inserted (NULL-propagating)."""
+    return fill(MESSAGES[key], *values)
 
 
 def _violations(df: DataFrame, *, db_level: bool, policy_no: Column | int | None = None,
