@@ -37,3 +37,18 @@ def test_expire_partitions(spark):
     assert dropped == ["snap_date=2024-01-01"]
     assert sorted(r.snap_date for r in spark.read.parquet(path).select(F.col("snap_date").cast("string")).collect()) \
         == ["2024-01-10", "2024-01-20"]
+
+
+def test_policy_check_job(spark):
+    from vigil.jobs import policy_check
+    root = tempfile.mkdtemp(prefix="vigil-job-")
+    fx = FleetInputs(spark, SMALL)
+    for name in CATALOGS:
+        fx.fx(name).withColumn("snapshot_date", F.lit("2024-01-02")).write.partitionBy("snapshot_date") \
+            .parquet(os.path.join(root, "snap", name))
+    counts = policy_check(spark, os.path.join(root, "snap"), os.path.join(root, "out"), "2024-01-02",
+                          as_of="1998-08-02 00:00:00")
+    want = rpt.policy_report(CheckContext(fx))
+    assert counts.agg(F.sum("n_messages")).first()[0] == want.count()
+    html = spark.read.parquet(os.path.join(root, "out", "report_html"))
+    assert html.agg(F.sum("n_messages")).first()[0] == want.count()
