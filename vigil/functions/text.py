@@ -71,26 +71,11 @@ def csv_items(c: Column | str) -> Column:
     return F.transform(F.split(col, ","), lambda x: F.trim(x))
 
 
-def fmt_int(template: str, *cols: Column) -> Column:
-    """``formatmessage`` with ``%d`` / ``%s`` arguments; NULL arguments are never formatted
-    here (callers guard the predicate), matching the checks that compare before printing."""
-    return F.format_string(template, *cols)
-
-
 def ci_equal(a: Column, b: Column) -> Column:
     """T-SQL ``=`` under a case-insensitive collation."""
     return F.lower(a) == F.lower(b)
 
 
-def text_has_any(c: Column, *needles: str) -> Column:
-    """True when ``c`` contains any needle (case-insensitive)."""
-    lc = F.lower(c)
-    cond = F.lit(False)
-    for n in needles:
-        cond = cond | (F.instr(lc, n.lower()) > 0)
-    return cond
-
-
 def fill(template: str, *values: Column) -> Column:
     """``template`` with each ``%s`` replaced by a value (cast to string); a NULL
     value makes the result NULL, like string ``+`` in the reference's SQL."""
