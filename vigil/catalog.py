@@ -31,13 +31,13 @@ from vigil.streaming import events as ev
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_INPUTS: dict[tuple[int, str], FleetInputs] = {}
+_INPUTS: dict[tuple, FleetInputs] = {}
 
 
 def inputs(spark: SparkSession, data_dir: str) -> FleetInputs:
     """One input catalog per (session, folder): plans are reused, nothing is cached
     beyond what ``FleetInputs`` persists."""
-    key = (id(spark), data_dir)
+    key = (id(spark), spark.sparkContext.applicationId, data_dir)
     if key not in _INPUTS:
         _INPUTS[key] = FleetInputs(spark, data_dir)
     return _INPUTS[key]

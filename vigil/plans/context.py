@@ -20,7 +20,7 @@ _DEFAULTS: dict = {}
 
 def _defaults(spark, maint_db: str):
     """The built-in registry and exclusion frames, built once per session."""
-    key = (id(spark), maint_db)
+    key = (id(spark), spark.sparkContext.applicationId, maint_db)
     if key not in _DEFAULTS:
         _DEFAULTS[key] = (reg.registry_frame(spark, reg.default_policies(maint_db)),
                           reg.default_exclusions(spark, maint_db))
