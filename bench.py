@@ -28,7 +28,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = get_session(f"local[{cpus}]", app="vigil-bench", shuffle_partitions=int(cpus) * 2)
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
+    spark = get_session(f"local[{cpus}]", app="vigil-bench", shuffle_partitions=parts)
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     times: dict[str, float] = {}
