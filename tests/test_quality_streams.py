@@ -142,3 +142,23 @@ def test_wait_filter_by_numeric_keys(spark):
     df = spark.createDataFrame(rows, "event_id long, event_name string, session_id int, duration_ms long, wait_key int")
     got = ev.session_filter(df, ignored=ev.WAIT_KEYS_IGNORED_2012, key="wait_key")
     assert sorted(r.event_id for r in got.collect()) == [2, 5]
+
+
+def test_activity_collector_stream_appends_like_batch(spark):
+    from vigil.operators import snapshots as snap
+    base = tempfile.mkdtemp(prefix="vigil-activity-")
+    i = FleetInputs(spark, SMALL)
+
+    def chain(req):
+        return snap.activity_snapshot(req.drop("sql_text"), i.fx("sessions"),
+                                      i.fx("requests").select("server_id", "session_id", "request_id", "sql_text"),
+                                      i.fx("jobs"), i.fx("job_steps"), i.fx("databases"))
+
+    q = snap.append_snapshot(chain(ev.stream_fixture(spark, SMALL, "requests")), base + "/t", "snap_time_stamp",
+                             base + "/ck")
+    q.awaitTermination()
+    got = spark.read.parquet(base + "/t")
+    want = chain(i.fx("requests"))
+    assert got.count() == want.count() > 0
+    assert _sorted(got.drop("snap_date")) == _sorted(want.select([c for c in got.columns if c != "snap_date"]))
+    assert got.select("snap_date").distinct().count() > 1

@@ -88,6 +88,18 @@ def activity_snapshot(requests: DataFrame, sessions: DataFrame, sql_text: DataFr
         F.left(F.col("sql_text"), F.lit(1000)).alias("sql_text"))
 
 
+def append_snapshot(df: DataFrame, path: str, ts_col: str, checkpoint: str | None = None):
+    """Append a snapshot (batch or stream) to a table partitioned by snapshot
+    date, so retention (``expire_partitions``) drops whole folders."""
+    out = df.withColumn("snap_date", F.to_date(F.col(ts_col)))
+    if out.isStreaming:
+        return (out.writeStream.format("parquet").option("path", path)
+                   .option("checkpointLocation", checkpoint).partitionBy("snap_date")
+                   .outputMode("append").trigger(availableNow=True).start())
+    out.write.mode("append").partitionBy("snap_date").parquet(path)
+    return None
+
+
 def job_inventory(jobs: DataFrame, categories: DataFrame, principals: DataFrame | None = None) -> DataFrame:
     """Jobs with category (inner) and owner (left); the default description -> NULL."""
     cats = categories.select("category_id", F.col("name").alias("category"))
