@@ -41,21 +41,34 @@ def get_session(master: str | None = None, app: str = "vigil",
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``vigil`` importable in Python workers (keyed-state and pandas functions
-    live in it): zip the package once per SparkContext and ``addPyFile`` it; Spark
-    distributes it to every executor."""
+    live in it): zip the package in memory once per SparkContext, write it to the
+    shared checkpoint folder and ``addPyFile`` it from there."""
     sc = spark.sparkContext
     if getattr(sc, "_vigil_shipped", False):
         return
+    import hashlib
+    import io
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="vigil-pkg-"), "vigil.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(pkg):
-            for n in names:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(pkg)):
+            for n in sorted(names):
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(target)
+    data = buf.getvalue()
+    target = scratch_dir(spark, f"vigil-pkg-{hashlib.sha1(data).hexdigest()[:12]}") + "/vigil.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
     sc._vigil_shipped = True
 
 
