@@ -97,3 +97,16 @@ def test_unneeded_sharepoint_exclusion(spark):
     got = P.pol_20(CheckContext(inputs, exclusions=excl, config=on)).collect()
     assert [(r.server_id, r.db_name) for r in got] == [(1, "sp_content")]
     assert P.pol_20(CheckContext(inputs, exclusions=excl, config=off)).count() == 0
+
+
+def test_fixture_sanity_counts(spark):
+    """FIXTURES.md: policies 3, 4, 6, 9, 18 under the fixture registry and exclusions,
+    and the log policies, at sf0.01."""
+    from conftest import MEDIUM
+    from vigil.sources.tables import FleetInputs
+    i = FleetInputs(spark, MEDIUM)
+    ctx = CheckContext(i, registry=i.fx("registry"), exclusions=i.fx("exclusions"))
+    got = {n: rpt.policy_result(ctx, n).count() for n in (3, 4, 6, 9, 18)}
+    assert got == {3: 3706, 4: 2805, 6: 518, 9: 653, 18: 4170}
+    base = CheckContext(i)
+    assert (rpt.policy_result(base, 21).count(), rpt.policy_result(base, 25).count()) == (265, 396)
