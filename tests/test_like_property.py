@@ -44,12 +44,12 @@ def like(name: str, pattern: str) -> bool:
     return m(0, 0)
 
 
-ALPHA = "abAB_%.[]^*+"
-cases = st.lists(st.tuples(st.text(alphabet=ALPHA, max_size=6), st.text(alphabet="abAB.[]^*+_%", max_size=6)),
+ALPHA = "abAB_%.[]^*+&"
+cases = st.lists(st.tuples(st.text(alphabet=ALPHA, max_size=6), st.text(alphabet="abAB.[]^*+_%&", max_size=6)),
                  min_size=50, max_size=200)
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(cases)
 def test_like_rewrite_matches_brute_force(spark, pairs):
     df = spark.createDataFrame(pairs, "pattern string, name string")

@@ -23,7 +23,9 @@ def like_to_regex(pattern: Column | str) -> Column:
 
     def token(t: Column) -> Column:
         body = F.substring(t, 2, F.length(t) - 2)
-        klass = F.concat(F.lit("["), F.regexp_replace(body, r"([\[\\])", r"\\$1"), F.lit("]"))
+        # "[^]" negates nothing: any one character; "[" "\\" "&" are literal inside a class
+        klass = F.when(body == "^", F.lit(".")).otherwise(
+            F.concat(F.lit("["), F.regexp_replace(body, r"([\[\\&])", r"\\$1"), F.lit("]")))
         return (F.when(t == "%", F.lit(".*"))
                 .when(t == "_", F.lit("."))
                 .when((F.length(t) > 2) & t.startswith("["), klass)
