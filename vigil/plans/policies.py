@@ -382,45 +382,41 @@ def pol_17(ctx):
     return _violations(hits, db_level=False, policy_no=17, stmt_no=F.col("s"), message=F.col("m"))
 
 
-def _missing_per_server(ctx: CheckContext, wanted: DataFrame, matched: DataFrame, key: str) -> DataFrame:
-    """For every server: the entries of ``wanted`` (a bounded config list) that no
-    database of that server matched.  The list reaches each server row as a scalar
-    array; per server only the matched entries are collected (bounded by the list)."""
-    all_entries = wanted.select(F.sort_array(F.collect_set(key))).scalar()
-    found = matched.groupBy("server_id").agg(F.collect_set(key).alias("found"))
-    s = ctx.frame("servers").select("server_id").join(found, "server_id", "left")
-    return s.select("server_id", F.explode(F.array_except(all_entries,
-                                                          F.coalesce(F.col("found"), F.array().cast("array<string>"))))
-                    .alias(key))
-
-
 def pol_19(ctx):
+    """Orphaned housekeeping entries, per server: exclusion patterns without '%' '[' ']'
+    that match no database (statement 1) and retention overrides naming no database
+    (statement 2).  Both lists are bounded configuration: they reach each server row
+    as one scalar array, and per server only the matched entries are collected."""
     dbs = ctx.frame("databases").select("server_id", "name")
     pats = (ctx.exclusions.select("pattern").distinct()
                .filter(~F.lower(F.col("pattern")).isin([n.lower() for n in REPORT_SERVER_DBS])
                        & (F.instr("pattern", "%") == 0) & (F.instr("pattern", "[") == 0)
                        & (F.instr("pattern", "]") == 0)))
-    # plain names: broadcast hash join on the lower-cased name, no regex
-    exact = pats.filter(F.instr("pattern", "_") == 0).withColumn("k", F.lower("pattern"))
-    hit_exact = dbs.join(small(exact), F.lower(F.col("name")) == F.col("k")).select("server_id", "pattern")
+    overrides = ctx.frame("retention_overrides").select(F.col("db_name").alias("pattern")).distinct()
+    entries = (pats.select(F.lit(1).alias("stmt"), "pattern")
+                   .unionByName(overrides.select(F.lit(2).alias("stmt"), "pattern")))
+    # plain names and override names: broadcast hash join on the lower-cased name
+    exact = (entries.filter((F.col("stmt") == 2) | (F.instr("pattern", "_") == 0))
+                    .withColumn("k", F.lower("pattern")))
+    hit_exact = dbs.join(small(exact), F.lower(F.col("name")) == F.col("k")).select("server_id", "stmt", "pattern")
     # "_" patterns match names of exactly their length: length is the hash key, the
     # regex (rewritten once on the small side) the residual
-    wild = (pats.filter(F.instr("pattern", "_") > 0)
-                .withColumn("rx", like_to_regex("pattern")).withColumn("n", F.length("pattern")))
+    wild = (entries.filter((F.col("stmt") == 1) & (F.instr("pattern", "_") > 0))
+                   .withColumn("rx", like_to_regex("pattern")).withColumn("n", F.length("pattern")))
     hit_wild = (dbs.join(small(wild), (F.length(F.col("name")) == F.col("n"))
                          & F.regexp_like(F.col("name"), F.col("rx")))
-                   .select("server_id", "pattern"))
-    hit = hit_exact.unionByName(hit_wild)
-    a = _missing_per_server(ctx, pats, hit, "pattern")
-    a = _violations(a, db_level=False, policy_no=19, db_name=F.col("pattern"), stmt_no=1,
-                    message=message("orphan_exclusion"))
-    ovr = ctx.frame("retention_overrides").select("db_name").distinct()
-    hit_b = (dbs.join(ovr.withColumn("k", F.lower("db_name")), F.lower(F.col("name")) == F.col("k"))
-                .select("server_id", "db_name"))
-    b = _missing_per_server(ctx, ovr, hit_b, "db_name")
-    b = _violations(b, db_level=False, policy_no=19, db_name=F.col("db_name"), stmt_no=2,
-                    message=message("orphan_retention"))
-    return a.unionByName(b)
+                   .select("server_id", "stmt", "pattern"))
+    entry = lambda: F.struct(F.col("stmt").cast("int").alias("stmt"), F.col("pattern"))
+    all_entries = entries.select(F.sort_array(F.collect_set(entry()))).scalar()
+    found = (hit_exact.unionByName(hit_wild).groupBy("server_id")
+                      .agg(F.collect_set(entry()).alias("found")))
+    none = F.array().cast("array<struct<stmt:int,pattern:string>>")
+    missing = (ctx.frame("servers").select("server_id").join(found, "server_id", "left")
+                  .select("server_id", F.explode(F.array_except(all_entries, F.coalesce(F.col("found"), none)))
+                          .alias("e")))
+    return _violations(missing, db_level=False, policy_no=19, db_name=F.col("e.pattern"), stmt_no=F.col("e.stmt"),
+                       message=F.when(F.col("e.stmt") == 1, message("orphan_exclusion"))
+                                .otherwise(message("orphan_retention")))
 
 
 def pol_20(ctx):
