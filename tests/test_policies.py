@@ -61,7 +61,7 @@ def test_numbering_is_dense_and_ordered_under_skew(spark):
     # one server holds most rows; it must span several range partitions
     rows = [(0, i) for i in range(5000)] + [(s, i) for s in range(1, 50) for i in range(20)]
     df = spark.createDataFrame(rows, "server_id bigint, v int")
-    out = number_within(df, ["server_id"], [F.col("v").desc()], "seq", partitions=16)
+    out = number_within(df, ["server_id"], [F.col("v").desc()], "seq", partitions=16, hot_group_rows=1000)
     got = {}
     for r in out.collect():
         got.setdefault(r.server_id, []).append((r.seq, r.v))

@@ -1,8 +1,9 @@
 """Dense per-key numbering that does not put a hot key into one task.
 
 ``row_number() over (partition by server_id order by ...)`` sends every row of a
-server to one task.  A fleet can have one server holding a third of all rows, so
-instead:
+server to one task.  That is fine for keys with a bounded number of rows, so keys
+up to ``HOT_GROUP_ROWS`` rows use exactly that window.  A fleet can have one server
+holding a third of all rows; such hot keys are numbered instead by:
 
 1. range-partition on (key, order...) -- the sampled bounds split a hot key over
    many partitions -- and sort inside each partition;
@@ -31,18 +32,35 @@ from pyspark.sql import functions as F
 from vigil.session import materialize
 
 
+# A key with more rows than this is "hot": it is numbered by the range split below;
+# every other key by a plain window (its group is bounded by this number).
+HOT_GROUP_ROWS = 2_000_000
+
+
 def number_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "seq",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, hot_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in by] + list(order)
-    # Materialise the input once: the range partitioner samples its input before the
-    # shuffle, which would otherwise run the whole upstream plan a second time.
+    # Materialise the input once: it is read by the size count, the window and (for
+    # hot keys) the range partitioner's sample, none of which may replay upstream.
     source = materialize(df, "numbering-input")
-    tagged = (source.repartitionByRange(n, *keys)
-                    .sortWithinPartitions(*keys)
-                    .withColumn("_row_id", F.monotonically_increasing_id())
-                    .withColumn("_part", F.shiftright("_row_id", 33)))
+    sizes = source.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    # at most (total rows / hot_group_rows) keys: a proven bound, so broadcast is safe
+    hot = F.broadcast(sizes.filter(F.col("_rows") > hot_group_rows).select(*by))
+    window = Window.partitionBy(*by).orderBy(*order)
+    cold = (source.join(hot, list(by), "left_anti")
+                  .withColumn(name, F.row_number().over(window).cast("bigint")))
+    if hot.limit(1).count() == 0:
+        return cold
+    return cold.unionByName(_range_numbered(source.join(hot, list(by), "left_semi"), by, order, name, n))
+
+
+def _range_numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, n: int) -> DataFrame:
+    keys = [F.col(c) for c in by] + list(order)
+    tagged = (df.repartitionByRange(n, *keys)
+                .sortWithinPartitions(*keys)
+                .withColumn("_row_id", F.monotonically_increasing_id())
+                .withColumn("_part", F.shiftright("_row_id", 33)))
     tagged = materialize(tagged, "numbering-tagged")
     spans = (tagged.groupBy(*by, "_part")
                    .agg(F.count(F.lit(1)).alias("_n"), F.min("_row_id").alias("_first")))
