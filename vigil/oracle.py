@@ -47,16 +47,16 @@ from fx_config"""
 
 # columns: server_id, policy_no, db_level, db_name, db_state, stmt_no, log_order, log_date, message
 _DB = "d.server_id, {p} as policy_no, true as db_level, d.name as db_name, d.state as db_state, {s} as stmt_no, " \
-      "null as log_order, null as log_date, "
-_SRV = "{a}.server_id, {p} as policy_no, false as db_level, {db} as db_name, null as db_state, {s} as stmt_no, " \
-       "null as log_order, null as log_date, "
+      "cast(null as integer) as log_order, cast(null as timestamp) as log_date, "
+_SRV = "{a}.server_id, {p} as policy_no, false as db_level, {db} as db_name, cast(null as integer) as db_state, " \
+       "{s} as stmt_no, cast(null as integer) as log_order, cast(null as timestamp) as log_date, "
 
 
 def _db(p, s=1):
     return _DB.format(p=p, s=s)
 
 
-def _srv(p, s=1, a="s", db="null"):
+def _srv(p, s=1, a="s", db="cast(null as varchar)"):
     return _SRV.format(p=p, s=s, a=a, db=db)
 
 
@@ -140,7 +140,8 @@ where not exists (select 1 from fx_databases d where d.server_id = s.server_id a
 from fx_databases d join excl e on e.policy_no = 3 and lower(d.name) = lower(e.pattern) cross join cfg c
 where d.collation_name = 'Latin1_General_CI_AS_KS_WS' and lower(e.pattern) not in ('reportserver', 'reportservertempdb')
   and coalesce(c.allow_sp, 0) = 1""",
-    21: """select l.server_id, 21 as policy_no, false as db_level, null as db_name, null as db_state, 1 as stmt_no,
+    21: """select l.server_id, 21 as policy_no, false as db_level, cast(null as varchar) as db_name,
+  cast(null as integer) as db_state, 1 as stmt_no,
   l.log_order, l.log_date, left(strftime(l.log_date, '%Y-%m-%d %H:%M:%S') || ' ' || ltrim(replace(l.text, '*', '')), 250) as message
 from fx_error_log l where l.log_order in (0, 1) and l.text is not null
   and (l.text ilike '%DBCC database corruption%' or l.text ilike '%Stack Dump%SQLDump%')""",
@@ -154,7 +155,8 @@ from (select st.server_id, count(*) as n from fx_job_steps st join fx_jobs j on
 from fx_jobs j join fx_categories c on c.category_id = j.category_id where starts_with(lower(c.name), '[uncategorized')""",
     24: f"""select {_srv(24, a='j')} 'Job "' || j.name || '": mail notification must be "on failure" or "on completion".' as message
 from fx_jobs j where j.notify_level_email not in (2, 3)""",
-    25: """select p.server_id, 25 as policy_no, false as db_level, coalesce(d.name, '???') as db_name, null as db_state,
+    25: """select p.server_id, 25 as policy_no, false as db_level, coalesce(d.name, '???') as db_name,
+  cast(null as integer) as db_state,
   1 as stmt_no, p.log_order, p.log_date, p.message
 from (select server_id, log_order, log_date, left(strftime(log_date, '%Y-%m-%d %H:%M:%S') || ' ' || text, 250) as message,
   try_cast(trim(case when text ilike '% for db %:%' then regexp_extract(text, '(?is)^.*? for db ([^:]*):', 1)

@@ -102,7 +102,8 @@ def _throttle(key, frames: Iterator[pd.DataFrame], state: GroupState,
         state.update((last.to_pydatetime(),))
         if drop_idle_state:
             state.setTimeoutTimestamp(int(last.timestamp() * 1000) + ALERT_DELAY_SECONDS * 1000)
-    yield pdf.loc[keep, ["event_id", "server_id", "alert_name", "ts"]]
+    if any(keep):
+        yield pdf.loc[keep, ["event_id", "server_id", "alert_name", "ts"]]
 
 
 def alert_throttle(matches: DataFrame, lateness: str | None = "10 minutes") -> DataFrame:
