@@ -1,5 +1,4 @@
 """Property: the LIKE -> regex rewrite agrees with a direct LIKE matcher."""
-import re
 from functools import lru_cache
 
 from hypothesis import given, settings

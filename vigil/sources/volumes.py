@@ -4,7 +4,6 @@ fixed disk), read with Spark's XML source and an explicit schema."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOLUME_SCHEMA = T.StructType([
