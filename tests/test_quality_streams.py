@@ -161,3 +161,21 @@ def test_activity_collector_stream_appends_like_batch(spark):
     assert got.count() == want.count() > 0
     assert _sorted(got.drop("snap_date")) == _sorted(want.select([c for c in got.columns if c != "snap_date"]))
     assert got.select("snap_date").distinct().count() > 1
+
+
+def test_activity_rollup_stream_with_watermark(spark):
+    from vigil.operators import snapshots as snap
+    base = tempfile.mkdtemp(prefix="vigil-rollup-")
+    i = FleetInputs(spark, SMALL)
+
+    def chain(req):
+        return snap.activity_snapshot(req.drop("sql_text"), i.fx("sessions"),
+                                      i.fx("requests").select("server_id", "session_id", "request_id", "sql_text"),
+                                      i.fx("jobs"), i.fx("job_steps"), i.fx("databases"))
+
+    stream = ev.activity_rollup(chain(ev.stream_fixture(spark, SMALL, "requests")), watermark="30 minutes")
+    ev.run_available_now(stream, base + "/out", base + "/ck")
+    got = spark.read.parquet(base + "/out")
+    want = ev.activity_rollup(chain(i.fx("requests")))
+    # append mode: a window is emitted once the watermark has passed it
+    assert got.count() > 0 and set(_sorted(got)) <= set(_sorted(want.select(got.columns)))
