@@ -110,3 +110,21 @@ def test_fixture_sanity_counts(spark):
     assert got == {3: 3706, 4: 2805, 6: 518, 9: 653, 18: 4170}
     base = CheckContext(i)
     assert (rpt.policy_result(base, 21).count(), rpt.policy_result(base, 25).count()) == (265, 396)
+
+
+def test_inventories_with_owner_and_long_command(spark):
+    from vigil.operators import snapshots as snap
+    jobs = spark.createDataFrame([(1, 10, "J-1", "backup", 0, "No description available.", True, "sid1"),
+                                  (1, 11, "J-2", "index", 1, "nightly", False, "sid9")],
+                                 "server_id bigint, job_key bigint, job_id string, name string, category_id int, "
+                                 "description string, enabled boolean, owner_sid string")
+    cats = spark.createDataFrame([(0, "[Uncategorized (Local)]"), (1, "Fleet")], "category_id int, name string")
+    owners = spark.createDataFrame([(1, "sid1", "CORP\\dba")], "server_id bigint, owner_sid string, name string")
+    inv = {r.job_id: r for r in snap.job_inventory(jobs, cats, owners).collect()}
+    assert inv["J-1"].owner == "CORP\\dba" and inv["J-1"].description is None and inv["J-1"].category.startswith("[")
+    assert inv["J-2"].owner is None and inv["J-2"].description == "nightly"
+    steps = spark.createDataFrame([(1, 10, 1, "s", "TSQL", None, "x" * 1500)],
+                                  "server_id bigint, job_key bigint, step_id int, step_name string, subsystem string, "
+                                  "output_file_name string, command string")
+    r = snap.step_inventory(steps, jobs).first()
+    assert r.job_id == "J-1" and len(r.command) == 1000
