@@ -61,7 +61,8 @@ def report_order():
 
 def policy_report(ctx: CheckContext, policy_filter: str | None = None, invert: bool = False) -> DataFrame:
     numbers = plan_numbers(ctx, policy_filter, invert)
-    selected = reg.policy_filter(ctx.registry, policy_filter, invert)
+    # no filter: every registered policy, nothing to intersect
+    selected = None if (policy_filter is None and not invert) else reg.policy_filter(ctx.registry, policy_filter, invert)
     v = apply_eligibility(ctx, raw_violations(ctx, numbers), selected)
     return number_within(v, ["server_id"], report_order(), "seq").select(*REPORT_COLUMNS)
 
