@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from vigil.llm.common import U64, mix64, prepare, table, text_or_empty, utf8, words, written
 from vigil.llm.components import components
 
-BANDS, ROWS = 24, 4
+#: a pair at the threshold meets in some band with probability 1 - 5e-6; one at 0.3 with 0.03
+BANDS, ROWS = 40, 6
 THRESHOLD = 80  # percent
 _STEP = U64(0x9FB21C651E98DF25)
 
@@ -158,6 +159,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                  .filter(both * 100 >= (na + nb - both) * threshold).select("a", "b"))
 
 
+def linkable(sets: DataFrame, threshold: int) -> DataFrame:
+    """(vertex, n) of the classes that can have a link among ``sets``: of a linked set at
+    least ``threshold`` percent of the shingles occur in another set (an exact bound)."""
+    each = sets.select(F.col("class").alias("vertex"), F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle")
+    return (each.join(shared, "shingle").groupBy("vertex", "n").agg(F.count("*").alias("m"))
+                .filter(F.col("m") * 100 >= F.col("n") * threshold).select("vertex", "n"))
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int = THRESHOLD,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, links (number of distinct
@@ -199,10 +209,13 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int
                      .withColumn("component", F.coalesce("component", "vertex")).select("band", "bucket", "vertex", "component"))
     mixed = (placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                    .filter("lo != hi").select("band", "bucket"))
-    placed = placed.join(mixed, ["band", "bucket"])
+    placed = written(placed.join(mixed, ["band", "bucket"]), "placed")
+    placed = placed.join(linkable(sets.join(placed.select(F.col("vertex").alias("class")).distinct(), "class",
+                                            "left_semi"), threshold), "vertex")
     x, y = placed.alias("x"), placed.alias("y")
+    alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
     rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
-                   & (F.col("x.component") != F.col("y.component")) & (F.col("x.vertex") < F.col("y.vertex")))
+                   & (F.col("x.component") != F.col("y.component")) & (F.col("x.vertex") < F.col("y.vertex")) & alike)
              .select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct()
              .join(links, ["a", "b"], "left_anti"))
     more = confirmed(rest, sets, threshold)
