@@ -168,6 +168,44 @@ def linkable(sets: DataFrame, threshold: int) -> DataFrame:
                 .filter(F.col("m") * 100 >= F.col("n") * threshold).select("vertex", "n"))
 
 
+def with_leaders(buckets: DataFrame) -> DataFrame:
+    """``buckets`` (band, bucket, vertex) of two vertices or more, each with a ``leader``; the
+    order that chooses it differs from band to band."""
+    order = F.struct(F.xxhash64("vertex", "band").alias("o"), F.col("vertex").alias("v"))
+    leaders = (buckets.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.min(order)["v"].alias("leader"))
+                      .filter("m > 1").drop("m"))
+    return buckets.join(leaders, ["band", "bucket"])
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between all vertices that share a bucket.
+
+    members: band, bucket, vertex, leader, for buckets of two vertices or more; sets: class
+    (the vertex), set.  First each member is compared with its leader; what is still in
+    different components of a bucket is then compared vertex by vertex, without those that
+    cannot have a link.
+    """
+    pair = [F.least("vertex", "leader").alias("a"), F.greatest("vertex", "leader").alias("b")]
+    links = written(confirmed(members.filter("vertex != leader").select(*pair).distinct(), sets, threshold), "links")
+    found = components(links)
+    # what is still apart in a bucket is compared class by class
+    placed = (members.join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
+                     .withColumn("component", F.coalesce("component", "vertex")).select("band", "bucket", "vertex", "component"))
+    mixed = (placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                   .filter("lo != hi").select("band", "bucket"))
+    placed = written(placed.join(mixed, ["band", "bucket"]), "placed")
+    placed = placed.join(linkable(sets.join(placed.select(F.col("vertex").alias("class")).distinct(), "class",
+                                            "left_semi"), threshold), "vertex")
+    x, y = placed.alias("x"), placed.alias("y")
+    alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
+    rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
+                   & (F.col("x.component") != F.col("y.component")) & (F.col("x.vertex") < F.col("y.vertex")) & alike)
+             .select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct()
+             .join(links, ["a", "b"], "left_anti"))
+    more = confirmed(rest, sets, threshold)
+    return written(links.unionAll(more), "links")
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int = THRESHOLD,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, links (number of distinct
@@ -188,12 +226,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int
                 .agg(F.min_by("bands", "doc_id").alias("b0"), F.first("bands").alias("b1"),
                      F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
                 .select("vertex", "first_id", F.coalesce("b0", "b1").alias("bands")))
-    buckets = classes.select("vertex", F.posexplode("bands").alias("band", "bucket"))
-    # the leader of a bucket differs from band to band
-    order = F.struct(F.xxhash64("vertex", "band").alias("o"), F.col("vertex").alias("v"))
-    leaders = (buckets.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.min(order)["v"].alias("leader"))
-                      .filter("m > 1").drop("m"))
-    members = written(buckets.join(leaders, ["band", "bucket"]), "buckets")
+    members = written(with_leaders(classes.select("vertex", F.posexplode("bands").alias("band", "bucket"))), "buckets")
     texts = classes.join(members.select("vertex").distinct(), "vertex", "left_semi").select("first_id", "vertex")
     source = docs.select(F.col("doc_id").cast("long").alias("first_id"), text_or_empty().alias("text"))
     sets = full_sets(source.join(texts.select("first_id").distinct(), "first_id", "left_semi"), words_per_shingle)
@@ -201,25 +234,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int
     sets = written(sets.join(ids, "class").join(texts.select("vertex"), "vertex", "left_semi")
                        .select(F.col("vertex").alias("class"), "set").dropDuplicates(["class"]), "sets")
 
-    pair = [F.least("vertex", "leader").alias("a"), F.greatest("vertex", "leader").alias("b")]
-    links = written(confirmed(members.filter("vertex != leader").select(*pair).distinct(), sets, threshold), "links")
-    found = components(links)
-    # what is still apart in a bucket is compared class by class
-    placed = (members.join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
-                     .withColumn("component", F.coalesce("component", "vertex")).select("band", "bucket", "vertex", "component"))
-    mixed = (placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                   .filter("lo != hi").select("band", "bucket"))
-    placed = written(placed.join(mixed, ["band", "bucket"]), "placed")
-    placed = placed.join(linkable(sets.join(placed.select(F.col("vertex").alias("class")).distinct(), "class",
-                                            "left_semi"), threshold), "vertex")
-    x, y = placed.alias("x"), placed.alias("y")
-    alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
-    rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
-                   & (F.col("x.component") != F.col("y.component")) & (F.col("x.vertex") < F.col("y.vertex")) & alike)
-             .select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct()
-             .join(links, ["a", "b"], "left_anti"))
-    more = confirmed(rest, sets, threshold)
-    links = written(links.unionAll(more), "links")
+    links = bucket_links(members, sets, threshold)
     found = components(links)
     ends = links.select(F.col("a").alias("vertex")).unionAll(links.select(F.col("b").alias("vertex")))
     degree = ends.groupBy("vertex").agg(F.count("*").alias("links"))
