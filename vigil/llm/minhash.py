@@ -160,12 +160,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def linkable(sets: DataFrame, threshold: int) -> DataFrame:
-    """(vertex, n) of the classes that can have a link among ``sets``: of a linked set at
-    least ``threshold`` percent of the shingles occur in another set (an exact bound)."""
+    """(vertex, n, m) of the classes that can have a link among ``sets``: size, and number of
+    shingles that occur in another set.  Two sets share at most the smaller ``m``, and at
+    least ``threshold`` percent of a linked set is shared (exact bounds)."""
     each = sets.select(F.col("class").alias("vertex"), F.size("set").alias("n"), F.explode("set").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle")
     return (each.join(shared, "shingle").groupBy("vertex", "n").agg(F.count("*").alias("m"))
-                .filter(F.col("m") * 100 >= F.col("n") * threshold).select("vertex", "n"))
+                .filter(F.col("m") * 100 >= F.col("n") * threshold).select("vertex", "n", "m"))
 
 
 def with_leaders(buckets: DataFrame) -> DataFrame:
@@ -197,7 +198,8 @@ def bucket_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     placed = placed.join(linkable(sets.join(placed.select(F.col("vertex").alias("class")).distinct(), "class",
                                             "left_semi"), threshold), "vertex")
     x, y = placed.alias("x"), placed.alias("y")
-    alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
+    most = F.least("x.n", "y.n", "x.m", "y.m")
+    alike = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * threshold
     rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
                    & (F.col("x.component") != F.col("y.component")) & (F.col("x.vertex") < F.col("y.vertex")) & alike)
              .select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct()
