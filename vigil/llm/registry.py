@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vigil.llm import lines, minhash, mixing, quality, toxicity
+from vigil.llm import decontaminate, lines, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op6_minhash": minhash.op6_minhash,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_lines": lines.op9_lines,
     "op10_mixing": mixing.op10_mixing,
