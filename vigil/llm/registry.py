@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate, lines, minhash, mixing, quality, toxicity
+from vigil.llm import decontaminate, lines, minhash, mixing, neighbours, quality, repeats, toxicity
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op2_quality": quality.op2_quality,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op6_minhash": minhash.op6_minhash,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
