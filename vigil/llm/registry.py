@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate, lines, minhash, mixing, neighbours, quality, repeats, toxicity
+import corpus_pipeline
+from vigil.llm import (decontaminate, licenses, lines, minhash, mixing, neighbours, quality, repeats, tokens,
+                       toxicity)
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
     "op2_quality": quality.op2_quality,
     "op3_neighbours": neighbours.op3_neighbours,
+    "op4_licenses": licenses.op4_licenses,
+    "op5_tokens": tokens.op5_tokens,
     "op6_minhash": minhash.op6_minhash,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_lines": lines.op9_lines,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
+    "op4_licenses": licenses.ORACLE_SQL,
     "op6_minhash": minhash.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
