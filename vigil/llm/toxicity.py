@@ -80,7 +80,7 @@ class Distance:
     """The two dictionaries; picklable, the compressors are made where they are used."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
-        samples = [w for t in ordinary[:1500] + toxic for w in windows(t, 256)][:20_000]
+        samples = [w for t in ordinary[:2000] for w in windows(t, 256)][:20_000]
         tail = b""
         for w in toxic_words(toxic, ordinary) if toxic and ordinary else []:
             if len(tail) + len(w) + 1 <= TAIL:
