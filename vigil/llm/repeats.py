@@ -31,6 +31,7 @@ from vigil.llm.common import U64, mix64, prepare, range_hash, table, text_or_emp
 
 LENGTH, GRAM = 200, 32
 RUN = 256
+EDGE = 64
 STEP = 8
 WIDTHS = (32, 4, 1)
 MERGE_BYTES, SHARD_BYTES = 1 << 21, 1 << 18
@@ -251,7 +252,34 @@ def merged_blocks(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_starts(segs: list[bytes], n: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
     """For each string, which of its first ``n`` starts have a LENGTH-byte string that occurs again
-    (total weight two or more) among all those starts."""
+    (total weight two or more) among all those starts.
+
+    A string of weight two has repeats only.  Of the others, starts whose first and last EDGE
+    bytes no other start shares have none; the transforms decide the rest."""
+    n, w = np.asarray(n), np.asarray(w)
+    size = np.array([len(s) for s in segs])
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(segs)), n)
+    first = np.cumsum(n) - n
+    start = np.arange(len(owner)) - first[owner]
+    at = begin[owner] + start
+    data = np.frombuffer(b"".join(segs), np.uint8)
+    edges = range_hash(data, at, at + EDGE) * U64(3) + range_hash(data, at + LENGTH - EDGE, at + LENGTH)
+    _, same, count = np.unique(edges, return_inverse=True, return_counts=True)
+    open_ = (count >= 2) & (np.bincount(same, weights=w[owner] == 1, minlength=len(count)) > 0)
+    open_ = open_[same]
+    mark = w[owner] >= 2
+    if open_.any():
+        some = np.flatnonzero(open_)
+        of, k = np.unique(owner[some], return_index=True)
+        lo, hi = start[some[k]], start[some[np.append(k[1:], len(some)) - 1]]
+        cut = [segs[i][a:b + LENGTH] for i, a, b in zip(of.tolist(), lo.tolist(), hi.tolist())]
+        for i, a, found in zip(of.tolist(), lo.tolist(), _merged_starts(cut, hi - lo + 1, w[of])):
+            mark[first[i] + a:first[i] + a + len(found)] |= found
+    return np.split(mark, np.cumsum(n)[:-1])
+
+
+def _merged_starts(segs: list[bytes], n: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
     size = np.array([len(s) for s in segs])
     cuts = np.flatnonzero(np.diff(np.concatenate(([-1], np.cumsum(size) // SHARD_BYTES))) > 0)
     cuts = np.unique(np.concatenate(([0], cuts, [len(segs)])))
@@ -267,10 +295,10 @@ def repeated_starts(segs: list[bytes], n: np.ndarray, w: np.ndarray) -> list[np.
     ok = start < n[owner]
     total = np.bincount(block[ok], weights=w[owner[ok]], minlength=int(block[-1]) + 1 if len(block) else 1)
     hit = ok & (total[block] >= 2)
-    out = [np.zeros(k, dtype=bool) for k in n]
-    for o, p in zip(owner[hit].tolist(), start[hit].tolist()):
-        out[o][p] = True
-    return out
+    first = np.cumsum(n) - n
+    mark = np.zeros(int(n.sum()), dtype=bool)
+    mark[first[owner[hit]] + start[hit]] = True
+    return np.split(mark, np.cumsum(n)[:-1])
 
 
 def _intervals(mark: np.ndarray) -> tuple[list[int], list[int]]:
