@@ -23,7 +23,6 @@ from vigil.plans import policies as pol
 from vigil.plans import report as rpt
 from vigil.plans.context import CheckContext
 from vigil.session import scratch_dir
-from vigil.sources import files as src_files
 from vigil.sources import volumes as src_vol
 from vigil.sources.tables import FleetInputs
 from vigil.streaming import events as ev
@@ -44,7 +43,7 @@ def inputs(spark: SparkSession, data_dir: str) -> FleetInputs:
 
 
 def context(spark: SparkSession, data_dir: str, **kw) -> CheckContext:
-    return CheckContext(inputs(spark, data_dir), **kw)
+    return CheckContext(inputs(spark, data_dir), **({"instance_separator": "/"} | kw))  # FIXTURES.md
 
 
 def _policy_query(n: int) -> Query:
@@ -60,7 +59,7 @@ def _registered_report(spark, d):
     new = reg.registry_frame(spark, specs)
     registry, exclusions = reg.register(src.fx("registry"), src.fx("exclusions"), new,
                                         reg.exclusion_requests(spark, specs))
-    return rpt.policy_report(CheckContext(src, registry=registry, exclusions=exclusions))
+    return rpt.policy_report(CheckContext(src, registry=registry, exclusions=exclusions, instance_separator="/"))
 
 
 CUSTOM_POLICY = reg.PolicySpec(30, "Databases must not be read-only", False, False)
@@ -147,17 +146,12 @@ def _xe(spark, d):
 
 
 def _alert_matches(spark, d):
-    return ev.alert_match(_xe(spark, d), ev.alert_rules(spark, reg.MAINT_DB))
+    return ev.alert_match(_xe(spark, d), ev.alert_rules(reg.MAINT_DB))
 
 
 def _alert_throttle(spark, d):
-    """Batch twin of ST5: the same keyed-state code, drained with availableNow."""
-    base = scratch_dir(spark, f"alert-throttle-{uuid.uuid4().hex}")
-    stream = ev.stream_fixture(spark, d, "xe_events")
-    out = ev.alert_throttle(ev.alert_match(stream, ev.alert_rules(spark, reg.MAINT_DB)), lateness=None)
-    ev.run_available_now(out, base + "/out", base + "/ckpt")
-    return (spark.read.schema(ev.THROTTLE_OUT).parquet(base + "/out")
-                 .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    """ST5 over the table: the same rule as the keyed-state stream, as a batch plan."""
+    return _ntz(ev.throttled(_alert_matches(spark, d)), "ts")
 
 
 def _ntz(df: DataFrame, *cols: str) -> DataFrame:
@@ -174,7 +168,7 @@ QUERIES: dict[str, Query] = {
     "filter_intersect": lambda spark, d: rpt.policy_report(context(spark, d), "1,3,9,99"),
     "filter_except": lambda spark, d: rpt.policy_report(context(spark, d), "1,2,5,19,22", invert=True),
     "register_policies": _registered_report,
-    "policy_counts": lambda spark, d: rpt.policy_counts(rpt.policy_report(context(spark, d))),
+    "policy_counts": lambda spark, d: rpt.policy_counts(rpt.eligible_violations(context(spark, d))),
     "report_html": lambda spark, d: rpt.report_html(rpt.policy_report(context(spark, d))),
     "custom_policy": _custom,
     "select_system": _select("*system"),
@@ -201,7 +195,6 @@ QUERIES: dict[str, Query] = {
     "file_plan": lambda spark, d: snap.file_plan(inputs(spark, d).fx("files"), inputs(spark, d).fx("databases")),
     "job_log_names": lambda spark, d: pol.nonconforming_steps(context(spark, d)),
     "volume_scan": _volume_scan,
-    "file_listing": lambda spark, d: src_files.list_files(spark, d, "*.parquet"),
     "xe_waits": lambda spark, d: ev.wait_filter(_xe(spark, d)),
     "xe_events": lambda spark, d: ev.session_filter(_xe(spark, d)),
     "alert_match": _alert_matches,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest estimated size we hint as broadcast (configuration-sized tables).
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -21,6 +22,16 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """Parameter rows as literals inside the plan: unlike a frame made from Python rows,
+    whose size Catalyst takes for unbounded, it has a real size estimate."""
+    types = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in types])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, types)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def anti_like(df: DataFrame, name_col: str, patterns: DataFrame, keys: list[str], scope=None) -> DataFrame:
     """Rows of ``df`` whose ``name_col`` matches none of the LIKE ``patterns`` that share
     ``keys`` (case-insensitive) -- the exclusion test.

@@ -30,10 +30,8 @@ def policy_check(spark: SparkSession, snapshots: str, out: str, run_date: str, a
     ctx = CheckContext(SnapshotInputs(spark, snapshots, run_date), as_of=as_of or f"{run_date} 00:00:00")
     report = rpt.policy_report(ctx, policy_filter, invert)
     rpt.write_report(report, os.path.join(out, "report"), run_date)
-    written = spark.read.parquet(os.path.join(out, "report")).filter(F.col("run_date") == run_date).drop("run_date")
-    (rpt.report_html(written).withColumn("run_date", F.lit(run_date).cast("date"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date").parquet(os.path.join(out, "report_html")))
+    written = rpt.read_report(spark, os.path.join(out, "report"), run_date)
+    rpt.report_html(written).write.mode("overwrite").parquet(rpt.date_folder(os.path.join(out, "report_html"), run_date))
     return rpt.policy_counts(written)
 
 

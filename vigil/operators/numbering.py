@@ -1,25 +1,10 @@
 """Dense per-key numbering that does not put a hot key into one task.
 
-``row_number() over (partition by server_id order by ...)`` sends every row of a
-server to one task.  That is fine for keys with a bounded number of rows, so keys
-up to ``HOT_GROUP_ROWS`` rows use exactly that window.  A fleet can have one server
-holding a third of all rows; such hot keys are numbered instead by:
-
-1. range-partition on (key, order...) -- the sampled bounds split a hot key over
-   many partitions -- and sort inside each partition;
-2. tag rows with ``monotonically_increasing_id`` (consecutive inside a partition);
-3. per (key, partition) count rows and remember the first id -- at most
-   (#keys + #partitions) rows;
-4. a running sum over that small table gives each (key, partition) its offset;
-5. join back (AQE broadcasts the small side once it sees its real size).
-
-Steps 3 and 5 read the tagged rows twice.  Recomputing them would resample the
-range bounds from an input whose row order is not stable, giving different
-partition ids (and running the whole upstream plan twice), so the tagged rows are
-written once as parquet under the shared ``spark.checkpoint.dir`` -- this also
-cuts the lineage, so a lost executor does not replay every upstream scan.  (The
-partitioner seeds its sample with the RDD id, so two recomputations would not
-even agree on the bounds.)
+``row_number() over (partition by key order by ...)`` sends every row of a key to one
+task.  Here rows are numbered inside (key, bucket), where ``bucket`` is a prefix of the
+order; a running sum over the buckets' row counts gives each bucket its offset.  Only
+that table of counts is summed key by key.  Both sides of the final join read the same
+exchange on (key, bucket); nothing is sampled, written or counted on the driver.
 """
 
 from __future__ import annotations
@@ -29,44 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.session import materialize
-
-
-# A key with more rows than this is "hot": it is numbered by the range split below;
-# every other key by a plain window (its group is bounded by this number).
-HOT_GROUP_ROWS = 2_000_000
-
-
-def number_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "seq",
-                  partitions: int | None = None, hot_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Materialise the input once: it is read by the size count, the window and (for
-    # hot keys) the range partitioner's sample, none of which may replay upstream.
-    source = materialize(df, "numbering-input")
-    sizes = source.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    # at most (total rows / hot_group_rows) keys: a proven bound, so broadcast is safe
-    hot = F.broadcast(sizes.filter(F.col("_rows") > hot_group_rows).select(*by))
-    window = Window.partitionBy(*by).orderBy(*order)
-    cold = (source.join(hot, list(by), "left_anti")
-                  .withColumn(name, F.row_number().over(window).cast("bigint")))
-    if hot.limit(1).count() == 0:
-        return cold
-    return cold.unionByName(_range_numbered(source.join(hot, list(by), "left_semi"), by, order, name, n))
-
 
-def _range_numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, n: int) -> DataFrame:
-    keys = [F.col(c) for c in by] + list(order)
-    tagged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_row_id", F.monotonically_increasing_id())
-                .withColumn("_part", F.shiftright("_row_id", 33)))
-    tagged = materialize(tagged, "numbering-tagged")
-    spans = (tagged.groupBy(*by, "_part")
-                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_row_id").alias("_first")))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(*by, "_part", "_first",
-                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = tagged.join(spans, [*by, "_part"])
-    return (out.withColumn(name, (F.col("_before") + F.col("_row_id") - F.col("_first") + 1).cast("bigint"))
-               .drop("_row_id", "_part", "_first", "_before"))
+def number_within(df: DataFrame, by: str, bucket: Column, order: Sequence[Column], name: str = "seq") -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... along ``order`` within each ``by``.  Rows of a smaller
+    bucket must come before those of a larger one in ``order``."""
+    rows = df.withColumn("_bucket", bucket).repartition(by, "_bucket")
+    inside = Window.partitionBy(by, "_bucket").orderBy(*order)
+    numbered = rows.withColumn("_n", F.row_number().over(inside))
+    sizes = rows.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(by).alias("_by"), F.col("_bucket").alias("_at"),
+                         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    out = numbered.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_at")))
+    return out.withColumn(name, (F.col("_before") + F.col("_n")).cast("bigint")).drop("_by", "_at", "_before", "_n", "_bucket")

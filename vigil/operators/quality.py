@@ -29,7 +29,7 @@ def volume_bound_check(bounds: DataFrame) -> Column:
 
 def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     """Q3: child rows whose key has no parent row (left anti join)."""
-    return child.join(parent.select(*keys).distinct(), keys, "left_anti")
+    return child.join(parent.select(*keys), keys, "left_anti")
 
 
 def cascade_keep(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:

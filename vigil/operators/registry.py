@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.joins import anti_like
+from vigil.functions.joins import anti_like, literal_rows
 from vigil.functions.text import csv_items
 
 REGISTRY_SCHEMA = T.StructType([
@@ -86,13 +86,13 @@ def default_policies(maint_db: str = MAINT_DB) -> list[PolicySpec]:
 
 def registry_frame(spark: SparkSession, specs: list[PolicySpec]) -> DataFrame:
     rows = [(s.number, s.name, s.number, s.server_level, s.online_only, s.active) for s in specs]
-    return spark.createDataFrame(rows, REGISTRY_SCHEMA)
+    return literal_rows(spark, rows, REGISTRY_SCHEMA)
 
 
 def exclusion_requests(spark: SparkSession, specs: list[PolicySpec]) -> DataFrame:
     """(policy_no, csv) -- the exclusion lists as they are passed at registration."""
     rows = [(s.number, s.exclusions) for s in specs]
-    return spark.createDataFrame(rows, "policy_no int, csv string")
+    return literal_rows(spark, rows, "policy_no int, csv string")
 
 
 def explode_exclusions(requests: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def register(registry: DataFrame, exclusions: DataFrame, new: DataFrame,
 
 def filter_numbers(spark: SparkSession, policy_filter: str | None) -> DataFrame:
     """The csv filter parameter as a frame of numbers ('' or junk -> NULL, dropped by the set ops)."""
-    return (spark.createDataFrame([(policy_filter,)], "f string")
+    return (literal_rows(spark, [(policy_filter,)], "f string")
                  .select(F.explode(csv_items("f")).alias("v"))
                  .select(F.col("v").try_cast("int").alias("policy_no")))
 

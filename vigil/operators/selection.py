@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.joins import small
+from vigil.functions.joins import literal_rows, small
 
 from vigil.functions.text import csv_items
 
@@ -21,61 +21,76 @@ LIST_FROM_CONFIG = "$usedefinition"
 LIST_CONFIG_KEY = "base.database_list"
 
 SELECTION_COLUMNS = ["server_id", "db_name", "db_state"]
+_ALL_COLUMNS = [*SELECTION_COLUMNS, "is_read_only", "database_id"]
 
 
 def expand(pattern: str, databases: DataFrame, servers: DataFrame, config: DataFrame | None = None) -> DataFrame:
-    """Pattern -> (server_id, db_name, db_state) for every server."""
+    """Pattern -> (server_id, db_name, db_state) for every server; patterns ignore case."""
+    return _selected(pattern, databases, servers, config).select(*SELECTION_COLUMNS)
+
+
+def _selected(pattern: str, databases: DataFrame, servers: DataFrame, config: DataFrame | None) -> DataFrame:
     spark = databases.sparkSession
-    dbs = databases.select("server_id", F.col("name").alias("db_name"), F.col("state").cast("int").alias("db_state"))
+    dbs = databases.select("server_id", F.col("name").alias("db_name"), F.col("state").cast("int").alias("db_state"),
+                           F.coalesce("is_read_only", F.lit(False)).alias("is_read_only"), "database_id")
     low = pattern.lower()
-    if pattern == "*system":
+    if low == "*system":
         # a fixed three-name list per server, state taken as ONLINE
-        return servers.select("server_id", F.explode(F.array(*[F.lit(n) for n in SYSTEM_DBS])).alias("db_name"),
-                              F.lit(0).alias("db_state"))
-    if pattern == "*user":
+        named = servers.select("server_id", F.explode(F.array(*[F.lit(n) for n in SYSTEM_DBS])).alias("db_name"))
+        own = dbs.filter(F.lower("db_name").isin(list(SYSTEM_DBS))).select(
+            F.col("server_id").alias("_s"), F.lower("db_name").alias("_n"), "is_read_only", "database_id")
+        return (named.join(own, (F.col("server_id") == F.col("_s")) & (F.col("db_name") == F.col("_n")), "left")
+                     .select("server_id", "db_name", F.lit(0).alias("db_state"),
+                             F.coalesce("is_read_only", F.lit(False)).alias("is_read_only"), "database_id"))
+    if low == "*user":
         return dbs.filter(~F.lower("db_name").isin(list(NOT_USER_DBS)))
-    if pattern == "*":
+    if low == "*":
         return dbs
     if low.startswith("list(") and low.endswith(")"):
         body = pattern[5:-1]
-        items = spark.createDataFrame([(body,)], "body string")
-        if body == LIST_FROM_CONFIG and config is not None:
+        items = literal_rows(spark, [(body,)], "body string")
+        if body.lower() == LIST_FROM_CONFIG and config is not None:
             cfg = config.filter(F.col("name") == LIST_CONFIG_KEY).select(F.max("value")).scalar()
             # unset -> the literal stays and matches nothing
             items = items.select(F.coalesce(cfg, F.col("body")).alias("body"))
         items = items.select(F.explode(csv_items("body")).alias("item")).select(F.lower("item").alias("k"))
         # the list is a parameter (bounded); duplicates in it duplicate rows
-        return (dbs.join(small(items), F.lower(F.col("db_name")) == F.col("k"))
-                   .select(*SELECTION_COLUMNS))
+        return dbs.join(small(items), F.lower(F.col("db_name")) == F.col("k")).select(*_ALL_COLUMNS)
     return dbs.filter(F.lower("db_name") == low)
 
 
+def skipped(pattern: str, databases: DataFrame, servers: DataFrame, config: DataFrame | None = None,
+            skip_read_only: bool = False) -> DataFrame:
+    """How many selected databases of each server are skipped, by reason; every server has a row."""
+    sel = _selected(pattern, databases, servers, config)
+    read_only = F.col("is_read_only") if skip_read_only else F.lit(False)
+    counts = sel.groupBy("server_id").agg(F.count_if(F.col("db_state") != 0).alias("n_offline"),
+                                          F.count_if((F.col("db_state") == 0) & read_only).alias("n_read_only"))
+    return servers.select("server_id").join(counts, "server_id", "left").select(
+        "server_id", F.coalesce("n_offline", F.lit(0)).alias("n_offline"),
+        F.coalesce("n_read_only", F.lit(0)).alias("n_read_only"))
+
+
 def for_each(pattern: str, databases: DataFrame, servers: DataFrame, config: DataFrame | None = None,
              skip_read_only: bool = False) -> DataFrame:
     """The databases an action visits -- ONLINE only, optionally writable only --
-    with the number of skipped databases of the server (the reference prints that
-    some were skipped)."""
-    sel = expand(pattern, databases, servers, config)
+    with the server's numbers of skipped offline and read-only databases.  A server
+    whose databases are all skipped has one row without a database name."""
+    sel = _selected(pattern, databases, servers, config).filter(F.col("db_state") == 0)
     if skip_read_only:
-        ro = databases.filter(F.col("is_read_only")).select("server_id", F.lower("name").alias("k"))
-        writable = sel.join(ro, (sel.server_id == ro.server_id) & (F.lower(sel.db_name) == ro.k), "left_anti")
-    else:
-        writable = sel
-    kept = writable.filter(F.col("db_state") == 0)
-    skipped = (sel.groupBy("server_id").agg(F.count(F.lit(1)).alias("n_selected"))
-                  .join(kept.groupBy("server_id").agg(F.count(F.lit(1)).alias("n_kept")), "server_id", "left")
-                  .select("server_id", (F.col("n_selected") - F.coalesce("n_kept", F.lit(0))).alias("n_skipped")))
-    return kept.join(skipped, "server_id").select("server_id", "db_name", "n_skipped")
+        sel = sel.filter(~F.col("is_read_only"))
+    counts = skipped(pattern, databases, servers, config, skip_read_only)
+    return counts.join(sel.select("server_id", "db_name"), "server_id", "left").select(
+        "server_id", "db_name", "n_offline", "n_read_only")
 
 
 def affected_list(pattern: str, databases: DataFrame, servers: DataFrame, config: DataFrame | None = None,
                   skip_read_only: bool = False) -> DataFrame:
     """the printed list -- left(name, 40) and the database id, by name."""
-    kept = for_each(pattern, databases, servers, config, skip_read_only)
-    ids = databases.select("server_id", F.lower("name").alias("k"), "database_id")
-    return (kept.join(ids, (kept.server_id == ids.server_id) & (F.lower(kept.db_name) == ids.k), "left")
-                .select(kept.server_id, F.left(kept.db_name, F.lit(40)).alias("name"),
-                        F.col("database_id").alias("id"))
+    kept = _selected(pattern, databases, servers, config).filter(F.col("db_state") == 0)
+    if skip_read_only:
+        kept = kept.filter(~F.col("is_read_only"))
+    return (kept.select("server_id", F.left("db_name", F.lit(40)).alias("name"), F.col("database_id").alias("id"))
                 .orderBy("server_id", "name"))
 
 

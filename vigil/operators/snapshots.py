@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.joins import small
+from vigil.functions.joins import literal_rows, small
 
 from vigil.functions.text import boundary_days, boundary_seconds, fill
 
@@ -168,7 +168,10 @@ def backup_expiry(files: DataFrame, databases: DataFrame, overrides: DataFrame,
     configured default) by last write time -- the files a cleanup would delete."""
     dbs = databases.select("server_id", "db_key", F.col("name").alias("db_name"))
     ovr = overrides.select(F.lower("db_name").alias("k"), F.col("retention_days").alias("override_days"))
-    f = files.join(dbs, ["server_id", "db_key"], "left")
+    # no retention is shorter than the smallest override or default: newer files go before the joins
+    least = F.least(ovr.select(F.min("override_days")).scalar(),
+                    F.coalesce(default_days, F.lit(DEFAULT_BACKUP_RETENTION_DAYS)).cast("int"))
+    f = files.filter(boundary_days(F.col("last_write_time"), as_of) > least).join(dbs, ["server_id", "db_key"], "left")
     f = f.join(small(ovr), F.lower(f.db_name) == ovr.k, "left")
     days = F.coalesce(F.col("override_days"), default_days, F.lit(DEFAULT_BACKUP_RETENTION_DAYS)).cast("int")
     return (f.withColumn("retention_days", days)
@@ -180,7 +183,7 @@ def file_plan(files: DataFrame, databases: DataFrame) -> DataFrame:
     """Size / growth statements for the model, msdb and tempdb files (a plan,
     never executed): resize only when the target exceeds the current size."""
     spark = files.sparkSession
-    targets = spark.createDataFrame([(n, s, g) for n, s, g in FILE_TARGETS],
+    targets = literal_rows(spark, [(n, s, g) for n, s, g in FILE_TARGETS],
                                     "k string, new_size_kb int, new_growth_kb int")
     dbs = (databases.select("server_id", "db_key", F.col("name").alias("db_name"))
                     .join(small(targets), F.lower(F.col("db_name")) == F.col("k")))

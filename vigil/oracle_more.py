@@ -99,16 +99,21 @@ def sql() -> dict[str, str]:
                                 "from fx_databases d join (select lower(trim(unnest(string_split(value, ',')))) as k "
                                 "from fx_config where name = 'base.database_list') t on lower(d.name) = t.k"),
         "select_exact": w(["fx_databases"], f"{SEL} where lower(name) = 'reportserver'"),
-        "for_each_online": w(["fx_databases"], f""", sel as ({SEL} where lower(name) not in {NOT_USER}),
-cnt as (select server_id, count(*) - count(*) filter (where db_state = 0) as n_skipped from sel group by server_id)
-select s.server_id, s.db_name, c.n_skipped from sel s join cnt c on c.server_id = s.server_id where s.db_state = 0"""),
-        "for_each_writable": w(["fx_databases"], f""", sel as ({SEL} where lower(name) not in {NOT_USER}),
-wr as (select * from sel s where not exists (select 1 from fx_databases d where d.is_read_only and d.server_id = s.server_id
-  and lower(d.name) = lower(s.db_name))),
-cnt as (select s.server_id, count(*) - coalesce(max(k.n), 0) as n_skipped from sel s
-  left join (select server_id, count(*) as n from wr where db_state = 0 group by server_id) k on k.server_id = s.server_id
-  group by s.server_id)
-select s.server_id, s.db_name, c.n_skipped from wr s join cnt c on c.server_id = s.server_id where s.db_state = 0"""),
+        "for_each_online": w(["fx_databases", "fx_servers"], f""", cnt as (
+  select server_id, count(*) filter (where state <> 0) as n_offline from fx_databases
+  where lower(name) not in {NOT_USER} group by server_id)
+select s.server_id, d.name as db_name, coalesce(c.n_offline, 0)::bigint as n_offline, 0::bigint as n_read_only
+from fx_servers s left join cnt c on c.server_id = s.server_id
+left join fx_databases d on d.server_id = s.server_id and d.state = 0 and lower(d.name) not in {NOT_USER}"""),
+        "for_each_writable": w(["fx_databases", "fx_servers"], f""", cnt as (
+  select server_id, count(*) filter (where state <> 0) as n_offline,
+         count(*) filter (where state = 0 and is_read_only) as n_read_only from fx_databases
+  where lower(name) not in {NOT_USER} group by server_id)
+select s.server_id, d.name as db_name, coalesce(c.n_offline, 0)::bigint as n_offline,
+       coalesce(c.n_read_only, 0)::bigint as n_read_only
+from fx_servers s left join cnt c on c.server_id = s.server_id
+left join fx_databases d on d.server_id = s.server_id and d.state = 0 and not coalesce(d.is_read_only, false)
+  and lower(d.name) not in {NOT_USER}"""),
         "for_each_list": w(["fx_databases"], f""", sel as ({SEL}),
 cnt as (select server_id, count(*) - count(*) filter (where db_state = 0) as n_skipped from sel group by server_id)
 select s.server_id, left(s.db_name, 40) as name, d.database_id as id from sel s

@@ -32,6 +32,7 @@ class CheckContext:
     inputs: object                      # anything with .fx(name) -> DataFrame
     as_of: str = "1998-08-02 00:00:00"  # stands for getdate(); explicit, so runs repeat
     maint_db: str = reg.MAINT_DB
+    instance_separator: str = "\\"      # between machine and instance of a server name
     registry: DataFrame | None = None
     exclusions: DataFrame | None = None
     config: DataFrame | None = None

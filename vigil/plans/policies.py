@@ -37,8 +37,6 @@ CHECK_JOB_SUFFIX = ": Check Database (User DBs)"
 FATAL_PATTERNS = ("%DBCC database corruption%", "%Stack Dump%SQLDump%")
 PERF_PATTERNS = ("FlushCache: % for db %:%", "% I/O requests taking longer than 15 seconds %")
 MSG_LEN = 250
-# The fleet's server names separate machine and instance with "/" (FIXTURES.md).
-INSTANCE_SEPARATOR = "/"
 
 DB_SCAN_POLICIES = (3, 4, 5, 6, 7, 8, 9, 18, 26, 27, 28, 29)
 FILE_POLICIES = (1, 2)
@@ -356,7 +354,7 @@ def scan_servers(ctx: CheckContext, numbers) -> DataFrame | None:
         rules.append((12, 1, F.col("boost") == 1, message("priority_boost")))
     if 13 in numbers:
         sname, machine = F.col("servername"), F.col("machine_name")
-        bad_name = (~F.startswith(F.lower(sname), F.lower(F.concat(machine, F.lit(INSTANCE_SEPARATOR))))
+        bad_name = (~F.startswith(F.lower(sname), F.lower(F.concat(machine, F.lit(ctx.instance_separator))))
                     & ~ci_equal(sname, machine))
         rules.append((13, 1, sname.isNull(), message("servername_null")))
         rules.append((13, 1, sname.isNotNull() & bad_name,

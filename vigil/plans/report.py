@@ -8,7 +8,7 @@ servers (``operators.numbering``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.joins import anti_like
@@ -18,6 +18,8 @@ from vigil.operators.numbering import number_within
 from vigil.plans.context import CheckContext
 from vigil.plans.policies import ALL_POLICIES, raw_violations
 
+#: leading characters of a database name in a numbering bucket
+BUCKET_PREFIX = 6
 REPORT_COLUMNS = ["server_id", "seq", "policy_no", "policy_name", "db_name", "message"]
 POLICY_COLUMNS = ["server_id", "policy_no", "db_name", "stmt_no", "message"]
 
@@ -59,12 +61,28 @@ def report_order():
             F.col("db_name").asc_nulls_first(), F.col("message").asc()]
 
 
-def policy_report(ctx: CheckContext, policy_filter: str | None = None, invert: bool = False) -> DataFrame:
+def eligible_violations(ctx: CheckContext, policy_filter: str | None = None, invert: bool = False) -> DataFrame:
+    """The report's rows without their numbers."""
     numbers = plan_numbers(ctx, policy_filter, invert)
     # no filter: every registered policy, nothing to intersect
     selected = None if (policy_filter is None and not invert) else reg.policy_filter(ctx.registry, policy_filter, invert)
-    v = apply_eligibility(ctx, raw_violations(ctx, numbers), selected)
-    return number_within(v, ["server_id"], report_order(), "seq").select(*REPORT_COLUMNS)
+    return apply_eligibility(ctx, raw_violations(ctx, numbers), selected)
+
+
+def report_bucket():
+    """A prefix of ``report_order``: rows of one bucket are neighbours in the report, and buckets
+    compare as the report does (the later generation of a log comes first, hence the minus)."""
+    db_key = F.when(F.col("db_level"), F.lower(F.col("db_name")))
+    return F.struct(F.col("processing_order").alias("a"), F.col("policy_no").alias("b"),
+                    F.substring(db_key, 1, BUCKET_PREFIX).alias("c"),
+                    F.when(db_key.isNull(), F.col("stmt_no")).alias("d"),
+                    F.when(db_key.isNull(), F.coalesce(-F.col("log_order").cast("long"), F.lit(1 << 40))).alias("e"),
+                    F.when(db_key.isNull(), F.date_trunc("hour", "log_date")).alias("f"))
+
+
+def policy_report(ctx: CheckContext, policy_filter: str | None = None, invert: bool = False) -> DataFrame:
+    v = eligible_violations(ctx, policy_filter, invert)
+    return number_within(v, "server_id", report_bucket(), report_order(), "seq").select(*REPORT_COLUMNS)
 
 
 def policy_result(ctx: CheckContext, number: int) -> DataFrame:
@@ -107,8 +125,16 @@ def write_report(report: DataFrame, path: str, run_date: str) -> None:
     date replaces only that partition.  Range partitioning on (server, seq) keeps
     files balanced even when one server holds most messages, and every file holds
     a contiguous, ordered slice."""
-    (report.withColumn("run_date", F.lit(run_date).cast("date"))
-           .repartitionByRange("server_id", "seq")
-           .sortWithinPartitions("server_id", "seq")
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("run_date").parquet(path))
+    (report.repartitionByRange("server_id", "seq").sortWithinPartitions("server_id", "seq")
+           .write.mode("overwrite").parquet(date_folder(path, run_date)))
+
+
+def date_folder(path: str, run_date: str) -> str:
+    """The run date's own folder: overwriting it also clears a date that has no rows any more."""
+    return f"{path.rstrip('/')}/run_date={run_date}"
+
+
+def read_report(spark: SparkSession, path: str, run_date: str) -> DataFrame:
+    """One date of a written report; the schema is given, so a date without rows reads as none."""
+    schema = "server_id long, seq long, policy_no int, policy_name string, db_name string, message string"
+    return spark.read.schema(schema).parquet(date_folder(path, run_date))

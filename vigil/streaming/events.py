@@ -10,11 +10,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.joins import small
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,7 +27,9 @@ WAIT_TYPES_IGNORED = ("BROKER_EVENTHANDLER", "BROKER_RECEIVE_WAITFOR", "DBMIRROR
 WAIT_KEYS_IGNORED_2012 = (178, 121, 122, 173, 191, 144)
 PASS_THROUGH_EVENTS = ("blocked_process_report", "xml_deadlock_report")
 DISPATCH_LATENCY = "30 seconds"
-EVENT_FILE_MAX_RECORDS = 5
+EVENT_FILE_MB = 5  # size of an event file
+# a cautious size of one event as parquet; the file's record limit follows from it
+EVENT_BYTES = 256
 ALERT_DELAY_SECONDS = 3600
 # (name suffix, message id, severity); 0 = not used
 ALERT_RULES = (("Filegroup Overflow", 1105, 0), ("TX Log Full", 9002, 0),
@@ -58,20 +60,18 @@ def session_filter(events: DataFrame, ignored=WAIT_TYPES_IGNORED, key: str = "wa
     return events.filter(_long_waits(ignored, key) | F.col("event_name").isin(list(PASS_THROUGH_EVENTS)))
 
 
-def alert_rules(spark: SparkSession, maint_db: str) -> DataFrame:
-    return spark.createDataFrame([(f"{maint_db} {n}", m, s) for n, m, s in ALERT_RULES],
-                                 "alert_name string, rule_message_id int, rule_severity int")
+def alert_rules(maint_db: str) -> list[tuple[str, int, int]]:
+    """(alert name, message id, severity) of each rule."""
+    return [(f"{maint_db} {n}", m, s) for n, m, s in ALERT_RULES]
 
 
-def alert_match(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """ST4: events that raise an alert -- by message id, or by severity when the rule
-    has no message id.  Two broadcast hash joins (the rule list is bounded) instead
-    of one OR-condition nested loop."""
-    by_msg = rules.filter(F.col("rule_message_id") != 0).select("alert_name", F.col("rule_message_id").alias("message_id"))
-    by_sev = rules.filter(F.col("rule_severity") != 0).select("alert_name", F.col("rule_severity").alias("severity"))
-    cols = ["event_id", "server_id", "ts", "alert_name", "message_id", "severity"]
-    return (events.join(small(by_msg), "message_id").select(*cols)
-                  .unionByName(events.join(small(by_sev), "severity").select(*cols)))
+def alert_match(events: DataFrame, rules: list[tuple[str, int, int]]) -> DataFrame:
+    """ST4: events that raise an alert -- by message id, or by severity when the rule has no
+    message id.  One scan: each row lists the rules it meets (the rules are configuration)."""
+    met = F.array_compact(F.array(*[
+        F.when(F.col("message_id") == m if m else F.col("severity") == s, F.lit(name)) for name, m, s in rules]))
+    return (events.withColumn("alert_name", F.explode(met))
+                  .select("event_id", "server_id", "ts", "alert_name", "message_id", "severity"))
 
 
 THROTTLE_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("server_id", T.LongType()),
@@ -123,6 +123,33 @@ def alert_throttle(matches: DataFrame, lateness: str | None = "10 minutes") -> D
               .applyInPandasWithState(fn, THROTTLE_OUT, THROTTLE_STATE, "append", timeout))
 
 
+def throttled(matches: DataFrame) -> DataFrame:
+    """ST5 over a bounded table: the events that get a response, in time order whatever the
+    order of files.  The rows of an alert stream through one task in time order and only the
+    last response is kept; an event that follows its predecessor by the delay or more always
+    gets one, so a chain never depends on what lies before such a gap."""
+    def run(frames):
+        key = last = None
+        for pdf in frames:
+            keep = np.zeros(len(pdf), dtype=bool)
+            ts = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
+            own = list(zip(pdf["server_id"], pdf["alert_name"]))
+            edges = [0, *[i for i in range(1, len(own)) if own[i] != own[i - 1]], len(own)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if own[a] != key:
+                    key, last = own[a], None
+                i = a if last is None else a + int(np.searchsorted(ts[a:b], last + ALERT_DELAY_SECONDS * 1_000_000))
+                while i < b:
+                    keep[i], last = True, ts[i]
+                    i = a + int(np.searchsorted(ts[a:b], last + ALERT_DELAY_SECONDS * 1_000_000))
+            yield pdf.loc[keep]
+    df = matches.select("event_id", "server_id", "alert_name", F.col("ts").cast("timestamp").alias("ts"))
+    return (df.repartition("server_id", "alert_name").sortWithinPartitions("server_id", "alert_name", "ts", "event_id")
+              .mapInPandas(run, THROTTLE_OUT))
+
+
 def activity_rollup(snapshots: DataFrame, ts_col: str = "snap_time_stamp", watermark: str | None = None) -> DataFrame:
     """ST6: snapshots (taken every 300 s) rolled up per 15-minute upload window."""
     df = event_time(snapshots, ts_col)
@@ -192,9 +219,9 @@ def stream_fixture(spark: SparkSession, data_dir: str, view: str, max_files_per_
 
 def event_session(events: DataFrame, out_path: str, checkpoint: str):
     """ST1/ST2 + S15 as a running query: the session filter over an event stream,
-    dispatched every 30 seconds to an event-file sink of at most 5 records per file.
+    dispatched every 30 seconds to an event-file sink whose files hold about 5 MB at most.
     Returns the started ``StreamingQuery``."""
     return (session_filter(events).writeStream.format("parquet")
             .option("path", out_path).option("checkpointLocation", checkpoint)
-            .option("maxRecordsPerFile", EVENT_FILE_MAX_RECORDS)
+            .option("maxRecordsPerFile", EVENT_FILE_MB * 1024 * 1024 // EVENT_BYTES)
             .outputMode("append").trigger(processingTime=DISPATCH_LATENCY).start())
