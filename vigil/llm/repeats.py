@@ -31,10 +31,10 @@ from vigil.llm.common import U64, mix64, prepare, range_hash, table, text_or_emp
 
 LENGTH, GRAM = 200, 32
 RUN = 256
-EDGE = 64
+EDGE = 80
 STEP = 8
 WIDTHS = (32, 4, 1)
-MERGE_BYTES, SHARD_BYTES = 1 << 21, 1 << 18
+MERGE_BYTES, SHARD_BYTES = 1 << 21, 1 << 19
 CHUNK = 1 << 20
 _OTHER = np.random.default_rng(3).permutation(256).astype(np.uint8)
 _PIECE = "tid long, tid2 long, start long, n int, w long, key long, h1 long, h2 long, self boolean, seg binary"
