@@ -6,9 +6,10 @@ permutation after a circular shift by ``k`` steps.  Bands of coordinates propose
 exact Jaccard on the full shingle sets confirms them.
 
 Documents with equal sets form one class, which is compared once.  In each bucket all
-classes are first compared with one leader (another one in each band); classes that are
-still in different components afterwards are compared with each other, so that no link
-inside a bucket is lost while a large group of near copies costs one comparison a member.
+classes are first compared with one leader (another one in each band), then with the most
+central class; classes that are still in different components afterwards are compared with
+each other where exact bounds leave a link possible, so that no link between components of a
+bucket is lost while a large group of near copies costs about one comparison a member.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from vigil.llm.components import components
 #: a pair at the threshold meets in some band with probability 1 - 5e-6; one at 0.3 with 0.03
 BANDS, ROWS = 40, 6
 THRESHOLD = 80  # percent
+#: 64-bit words of the parity sketch that bounds the difference of two sets (a power of two)
+SKETCH_LONGS = 16
 _STEP = U64(0x9FB21C651E98DF25)
 
 
@@ -160,13 +163,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def linkable(sets: DataFrame, threshold: int) -> DataFrame:
-    """(vertex, n, m) of the classes that can have a link among ``sets``: size, and number of
-    shingles that occur in another set.  Two sets share at most the smaller ``m``, and at
-    least ``threshold`` percent of a linked set is shared (exact bounds)."""
+    """(vertex, n, m, s0, s1, ...) of the classes that can have a link among ``sets``: size,
+    number of shingles that occur in another set, and parity sketch.  Two sets share at most
+    the smaller ``m``, and at least ``threshold`` percent of a linked set is shared (exact
+    bounds).  Bit b of the sketch is the parity of the number of shingles that fall on b, so
+    two sets differ in at least as many shingles as their sketches differ in bits."""
     each = sets.select(F.col("class").alias("vertex"), F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle")
-    return (each.join(shared, "shingle").groupBy("vertex", "n").agg(F.count("*").alias("m"))
-                .filter(F.col("m") * 100 >= F.col("n") * threshold).select("vertex", "n", "m"))
+    shared = (each.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1")
+                  .select("shingle", F.lit(1).alias("again")))
+    bit = "shiftleft(1L, cast(shiftright(shingle, 8) & 63 as int))"
+    sketch = [F.expr(f"coalesce(bit_xor(case when (shingle & {SKETCH_LONGS - 1}) = {i} then {bit} end), 0L) as s{i}")
+              for i in range(SKETCH_LONGS)]
+    return (each.join(shared, "shingle", "left").groupBy("vertex", "n").agg(F.count("again").alias("m"), *sketch)
+                .filter(F.col("m") * 100 >= F.col("n") * threshold))
+
+
+def _possible(threshold: int):
+    """Condition on rows x and y of ``linkable``: no exact bound rules the pair out."""
+    n = F.col("x.n") + F.col("y.n")
+    most = F.least("x.n", "y.n", "x.m", "y.m")
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
+    return (most * 100 >= (n - most) * threshold) & (differ * (100 + threshold) <= n * (100 - threshold))
 
 
 def with_leaders(buckets: DataFrame) -> DataFrame:
@@ -178,31 +195,54 @@ def with_leaders(buckets: DataFrame) -> DataFrame:
     return buckets.join(leaders, ["band", "bucket"])
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold two components or more."""
+    apart = (placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                   .filter("lo != hi").select("band", "bucket"))
+    return placed.join(apart, ["band", "bucket"])
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between all vertices that share a bucket.
+    """Links (a, b) that connect all vertices that are linked inside a bucket.
 
     members: band, bucket, vertex, leader, for buckets of two vertices or more; sets: class
     (the vertex), set.  First each member is compared with its leader; what is still in
-    different components of a bucket is then compared vertex by vertex, without those that
-    cannot have a link.
+    different components of a bucket is compared with the bucket's most central vertex (the
+    one whose shingles occur most in others); and what is then still apart is compared with
+    every vertex of the other components that an exact bound does not rule out.
     """
     pair = [F.least("vertex", "leader").alias("a"), F.greatest("vertex", "leader").alias("b")]
     links = written(confirmed(members.filter("vertex != leader").select(*pair).distinct(), sets, threshold), "links")
     found = components(links)
-    # what is still apart in a bucket is compared class by class
-    placed = (members.join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
-                     .withColumn("component", F.coalesce("component", "vertex")).select("band", "bucket", "vertex", "component"))
-    mixed = (placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                   .filter("lo != hi").select("band", "bucket"))
-    placed = written(placed.join(mixed, ["band", "bucket"]), "placed")
-    placed = placed.join(linkable(sets.join(placed.select(F.col("vertex").alias("class")).distinct(), "class",
-                                            "left_semi"), threshold), "vertex")
-    x, y = placed.alias("x"), placed.alias("y")
-    most = F.least("x.n", "y.n", "x.m", "y.m")
-    alike = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * threshold
+    placed = _mixed(members.join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
+                    .withColumn("component", F.coalesce("component", "vertex")).select("band", "bucket", "vertex", "component"))
+    placed = written(placed, "placed")
+    apart = sets.join(placed.select(F.col("vertex").alias("class")).distinct(), "class", "left_semi")
+    bounds = written(linkable(apart, threshold), "bounds")
+
+    # each vertex against the central vertex of its bucket
+    order = F.struct((F.col("m") / F.col("n")).alias("shared"), "m", F.xxhash64("vertex", "band").alias("o"), "vertex", "component")
+    central = (placed.join(bounds.select("vertex", "n", "m"), "vertex").groupBy("band", "bucket").agg(F.max(order).alias("c"))
+                     .select("band", "bucket", F.col("c.vertex").alias("leader"), F.col("c.component").alias("to")))
+    pairs = placed.join(central, ["band", "bucket"]).filter("component != to").select(F.col("vertex").alias("a"), F.col("leader").alias("b")).distinct()
+    x, y = bounds.alias("x"), bounds.alias("y")
+    pairs = (pairs.join(x, F.col("a") == F.col("x.vertex")).join(y, F.col("b") == F.col("y.vertex"))
+                  .filter(_possible(threshold))
+                  .select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct())
+    links = written(links.unionAll(confirmed(pairs.join(links, ["a", "b"], "left_anti"), sets, threshold)), "links")
+    found = components(links)
+    placed = _mixed(placed.drop("component").join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
+                    .withColumn("component", F.coalesce("component", "vertex")))
+
+    # the vertices outside a bucket's largest component against all others of the bucket
+    sizes = placed.groupBy("band", "bucket", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("band", "bucket").agg(F.max(F.struct("k", "component"))["component"].alias("main"))
+    placed = written(placed.join(main, ["band", "bucket"]).join(bounds, "vertex"), "placed")
+    x, y = placed.filter("component != main").alias("x"), placed.alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.vertex") < F.col("y.vertex"))
     rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
-                   & (F.col("x.component") != F.col("y.component")) & (F.col("x.vertex") < F.col("y.vertex")) & alike)
-             .select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct()
+                   & (F.col("x.component") != F.col("y.component")) & once & _possible(threshold))
+             .select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b")).distinct()
              .join(links, ["a", "b"], "left_anti"))
     more = confirmed(rest, sets, threshold)
     return written(links.unionAll(more), "links")
