@@ -52,14 +52,17 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
 
 
 def _counts(texts: list[str]) -> tuple[Counter, Counter]:
-    """In how many texts a word occurs, and after how many different words."""
+    """In how many texts a word occurs, and after how many different words.  Words are numbered
+    and a pair is one integer, so that the driver holds eight bytes a pair."""
     docs: Counter = Counter()
-    pairs = set()
+    number, pairs = {b"": 0}, [np.zeros(0, np.int64)]
     for t in texts:
         w = _WORD.findall(t.lower().encode("utf-8", "replace"))
         docs.update(set(w))
-        pairs.update(zip([b""] + w, w))
-    return docs, Counter(w for _, w in pairs)
+        k = np.fromiter((number.setdefault(x, len(number)) for x in [b""] + w), np.int64, len(w) + 1)
+        pairs.append(np.unique((k[:-1] << 32) | k[1:]))
+    after = np.bincount(np.unique(np.concatenate(pairs)) & 0xFFFFFFFF, minlength=len(number))
+    return docs, Counter({w: int(n) for w, n in zip(number, after) if n})
 
 
 def _z(a: int, n: int, b: int, m: int) -> float:
