@@ -347,6 +347,20 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def gone_lines(spark, rows):
+    out = lines.removed_lines(frame(spark, rows)).join(lines.document_lines(frame(spark, rows)).select("doc", "doc_id").distinct(), "doc")
+    return {d: list(r) for d, r in out.select("doc_id", "removed").collect()}
+
+
+def test_lines_without_blanks_are_judged_by_all_their_characters(spark):
+    han = [chr(0x4E00 + random.randrange(5000)) for _ in range(80)]
+    opening, url = "".join(han[:20]), "https://example.com/"
+    keys = ["key: " + hashlib.sha256(bytes([i])).hexdigest() for i in range(4)]
+    rows = [(1, "\n".join([opening + "".join(han[20:50]), opening + "".join(han[50:80]), url + "a", url + "other/page", *keys])),
+            (2, keys[2].upper() + "\n" + keys[3][:-1] + "g\n" + url + "a"), (3, "ab\nac\nab\n🙂🙂\n🙂🙃")]
+    assert gone_lines(spark, rows) == {2: [0, 1, 2], 3: [2]}
+
+
 # ------------------------------------------------------------------ 10
 
 def test_mixing_meets_its_targets(spark):
