@@ -271,6 +271,16 @@ def test_near_duplicates_equal_brute_force(spark, n):
     assert minhash.near_duplicates(empty(spark), n).count() == 0
 
 
+def test_signatures_of_short_rows_beside_a_very_long_one():
+    rng = np.random.default_rng(1)
+    for sizes in ([10] * 5 + [300_000], [0, 10, 0, 300_000, 10, 10], [10, 70_000, 10, 1_000_000, 0, 10]):
+        counts = np.array(sizes)
+        values = rng.integers(0, 1 << 63, counts.sum()).astype(np.uint64)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        alone = [minhash.signatures(values[a:b], np.array([b - a]), 12) for a, b in zip(at[:-1], at[1:])]
+        assert (minhash.signatures(values, counts, 12) == np.concatenate(alone)).all()
+
+
 def test_a_group_of_near_copies_without_its_centre(spark):
     base = prose(100).split()
     rows = []

@@ -80,8 +80,8 @@ def signatures(values: np.ndarray, counts: np.ndarray, k: int, block: int = 1 <<
     begin = np.concatenate(([0], np.cumsum(counts)))
     row = 0
     while row < len(full):  # rows of about `block` values together; longer rows in pieces
-        end = int(np.searchsorted(begin[full], begin[full[row]] + block, side="left"))
-        end = max(end, row + 1)
+        end = int(np.searchsorted(begin[full + 1], begin[full[row]] + block, side="right"))
+        end = max(end, row + 1)  # a row over the block is alone: rows of a group share one piece
         rows = full[row:end]
         lo, hi = int(begin[rows[0]]), int(begin[rows[-1] + 1])
         for a in range(lo, hi, 4 * block):
