@@ -425,3 +425,16 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert counts[0] < 200 and counts[1] == counts[0] and counts[3] < counts[2] and counts[4] == counts[3]
     rows = docs.collect()
     assert sum(r.taken for r in rows) == pytest.approx(1.5 * sum(r.size for r in rows), abs=20)
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    a, b, c, e = prose(60), prose(60), prose(60), prose(60)
+    rows = [(None, a), (None, b), (None, ""), (None, None), (None, "w"), (5, b), (6, b + " end"),  # b of the null id is linked
+            (1, c), (2, c), (2, e), (7, e + " end"),  # doc_id 2: a copy of 1, and a keeper
+            (8, prose(30)), (None, e + " last")]
+    rows += [(9, prose(40))] * 2 + [(None, "two words")] * 2 + [(3, ""), (3, "")]
+    out = corpus_pipeline.dedup_documents(spark, frame(spark, rows), SMALL)
+    assert out.columns == frame(spark, rows).columns
+    assert got(out, "doc_id", "text") == Counter([(None, a), (None, ""), (None, None), (None, "w"), (5, b), (1, c), (2, e),
+                                                  rows[11], rows[13], (None, "two words"), (3, ""), (3, "")])
+    assert corpus_pipeline.dedup_documents(spark, empty(spark), SMALL).count() == 0

@@ -123,8 +123,13 @@ def _class_ids(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64(one + counts.astype(np.uint64)).view(np.int64), mix64(two).view(np.int64)
 
 
+def row_key():
+    """Names the pair of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
+
+
 def describe(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, class, class2, bands) of every document."""
+    """(doc_id, row, n_shingles, class, class2, bands) of every document; row as in ``row_key``."""
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -133,11 +138,11 @@ def describe(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> D
                 c1, c2 = _class_ids(values, counts)
                 bh = band_hashes(signatures(values, counts, bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts), pa.array(c1), pa.array(c2),
+                    [part.column(0), part.column(2), pa.array(counts), pa.array(c1), pa.array(c2),
                      _rows(bh.reshape(-1), np.full(len(counts), bands))],
-                    names=["doc_id", "n_shingles", "class", "class2", "bands"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, class long, class2 long, bands array<long>")
+                    names=["doc_id", "row", "n_shingles", "class", "class2", "bands"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), row_key().alias("row")).mapInArrow(
+        run, "doc_id long, row long, n_shingles long, class long, class2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -251,7 +256,8 @@ def bucket_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int = THRESHOLD,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, links (number of distinct
-    other texts' classes it was confirmed with directly).
+    other texts' classes it was confirmed with directly), row (``row_key``), component (a name of
+    the group of linked texts, null without shingles).
 
     Null and empty texts have an empty set, n_shingles 0, and are linked with nothing (their
     component is their own doc_id).  A null doc_id has component null unless linked to an id
@@ -266,12 +272,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int
     d = d.withColumn("vertex", F.xxhash64("class", "class2"))
     classes = (d.filter("n_shingles > 0").groupBy("vertex")
                 .agg(F.min_by("bands", "doc_id").alias("b0"), F.first("bands").alias("b1"),
-                     F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
-                .select("vertex", "first_id", F.coalesce("b0", "b1").alias("bands")))
+                     F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.max("n_shingles").alias("n"))
+                .select("vertex", "first_id", "row", F.coalesce("b0", "b1").alias("bands")))
     members = written(with_leaders(classes.select("vertex", F.posexplode("bands").alias("band", "bucket"))), "buckets")
-    texts = classes.join(members.select("vertex").distinct(), "vertex", "left_semi").select("first_id", "vertex")
-    source = docs.select(F.col("doc_id").cast("long").alias("first_id"), text_or_empty().alias("text"))
-    sets = full_sets(source.join(texts.select("first_id").distinct(), "first_id", "left_semi"), words_per_shingle)
+    texts = classes.join(members.select("vertex").distinct(), "vertex", "left_semi").select("row", "vertex")
+    source = docs.select(row_key().alias("row"), text_or_empty().alias("text"))  # a null doc_id has a row key
+    sets = full_sets(source.join(texts.select("row").distinct(), "row", "left_semi"), words_per_shingle)
     ids = d.select("class", "vertex").distinct()
     sets = written(sets.join(ids, "class").join(texts.select("vertex"), "vertex", "left_semi")
                        .select(F.col("vertex").alias("class"), "set").dropDuplicates(["class"]), "sets")
@@ -283,17 +289,17 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int
     label = (classes.select("vertex", "first_id").join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
                     .withColumn("component", F.coalesce("component", "vertex")))
     low = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    label = label.join(low, "component").join(degree, "vertex", "left").select("vertex", "component_id", "links")
-    out = d.select("doc_id", "n_shingles", "vertex").join(label, "vertex", "left")
+    label = label.join(low, "component").join(degree, "vertex", "left").select("vertex", "component", "component_id", "links")
+    out = d.select("doc_id", "row", "n_shingles", "vertex").join(label, "vertex", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"),
                       F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"),
-                      F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+                      F.coalesce("links", F.lit(0)).cast("long").alias("links"), "row", "component")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
     """Four-word shingles, as the query's contract fixes them."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=4).drop("links")
+    return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=4).drop("links", "row", "component")
 
 
 ORACLE_SQL = """
