@@ -371,6 +371,20 @@ def test_lines_without_blanks_are_judged_by_all_their_characters(spark):
     assert gone_lines(spark, rows) == {2: [0, 1, 2], 3: [2]}
 
 
+def test_lines_with_one_word_changed_are_found(spark):
+    rows, due = [], set()
+    for i in range(120):
+        w = random.choices(WORDS, k=10 + i // 4)
+        line = " ".join(w)
+        w[random.randrange(len(w))] = random.choice(WORDS)
+        other = " ".join(w)
+        a, b = ({x[j:j + 5] for j in range(max(1, len(x) - 4))} for x in (line, other))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            due.add(1000 + i)
+        rows += [(i, line), (1000 + i, other)]
+    assert len(due) > 80 and set(gone_lines(spark, rows)) == due
+
+
 # ------------------------------------------------------------------ 10
 
 def test_mixing_meets_its_targets(spark):
