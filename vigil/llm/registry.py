@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from vigil.llm import (decontaminate, licenses, lines, minhash, mixing, neighbours, quality, repeats, tokens,
-                       toxicity)
+from vigil.llm import (credentials, decontaminate, licenses, lines, minhash, mixing, neighbours, quality, repeats,
+                       search, tokens, toxicity, trie)
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
@@ -17,10 +17,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_lines": lines.op9_lines,
     "op10_mixing": mixing.op10_mixing,
+    "op11_search": search.op11_search,
+    "op12_trie": trie.op12_trie,
+    "op13_secrets": credentials.op13_secrets,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op4_licenses": licenses.ORACLE_SQL,
     "op6_minhash": minhash.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_search": search.ORACLE_SQL,
+    "op12_trie": trie.ORACLE_SQL,
 }
