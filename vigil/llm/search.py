@@ -17,14 +17,13 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import prepare, table, text_or_empty, written
+from vigil.llm.common import prepare, table, text_or_empty, utf8, written
 
 #: places of a sketch (a power of two)
 COORDINATES = 4096
@@ -62,20 +61,23 @@ def coordinate(term: bytes) -> int:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, places, peaks, terms, counts): number of terms, the sketch as places and the
-    largest count on each, and the distinct terms with their counts.  Documents without a term
-    (null and empty texts among them) are not indexed."""
+    """(doc_id, n, places, peaks, terms, counts): number of terms, the sketch as places (two bytes
+    each) and the largest count on each (eight bytes each), and the distinct terms, joined by
+    blanks, with their counts (eight bytes each).  Documents without a term (null and empty texts
+    among them) are not indexed."""
     prepare(docs.sparkSession)
     names = ["doc_id", "n", "places", "peaks", "terms", "counts"]
 
-    def lists(values, lengths, kind):
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values, kind))
+    def packed(values, lengths):
+        """One binary value a document from its consecutive numbers."""
+        ends = np.concatenate(([0], np.cumsum(lengths))) * values.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, DOCUMENTS):
                 part = batch.slice(lo, DOCUMENTS)
-                ids, n, sizes, terms, counts = [], [], [], [], []
+                ids, n, sizes, terms, counts, joined = [], [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     c = term_counts(text)
                     if c:
@@ -84,6 +86,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                         sizes.append(len(c))
                         terms.extend(c)
                         counts.extend(c.values())
+                        joined.append(b" ".join(c))
                 if not ids:
                     continue
                 counts = np.array(counts, dtype=np.int64)
@@ -93,11 +96,11 @@ def build_index(docs: DataFrame) -> DataFrame:
                 own = at[order][first]
                 used = np.bincount(own // COORDINATES, minlength=len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), lists(own % COORDINATES, used, pa.int32()),
-                     lists(np.maximum.reduceat(counts[order], first), used, pa.int64()),
-                     lists(terms, sizes, pa.binary()), lists(counts, sizes, pa.int64())], names=names)
+                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), packed((own % COORDINATES).astype(np.uint16), used),
+                     packed(np.maximum.reduceat(counts[order], first), used), pa.array(joined, pa.binary()), packed(counts, sizes)],
+                    names=names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, n long, places array<int>, peaks array<long>, terms array<binary>, counts array<long>")
+        run, "doc_id long, n long, places binary, peaks binary, terms binary, counts binary")
 
 
 class Queries:
@@ -108,15 +111,17 @@ class Queries:
         self.number = {t: i for i, t in enumerate(sorted(found))}
         weight = {t: math.floor(1000 * math.log((2 * documents + 2) / (2 * df + 1))) for t, df in found.items()}
         known = [sorted(t for t in q if t in found) for q in terms]
-        #: for each query, the numbers of its terms and their weights times repeats
-        self.own = [(np.array([self.number[t] for t in k], dtype=np.int64),
-                     np.array([weight[t] * q[t] for t in k], dtype=np.int64)) for k, q in zip(known, terms)]
+        #: query after query, the numbers of its terms and their weights times repeats
+        self.flat = np.array([self.number[t] for k in known for t in k], dtype=np.int64)
+        self.flat_weights = np.array([weight[t] * q[t] for k, q in zip(known, terms) for t in k], dtype=np.int64)
+        self.ends = np.cumsum([0, *map(len, known)])
         self.places = np.unique([coordinate(t) for t in found]).astype(np.int64)
         self.on = np.full(COORDINATES, -1)
         self.on[self.places] = np.arange(len(self.places))
         self.weights = np.zeros((len(self.places), len(terms)))
-        for j, (k, (_, w)) in enumerate(zip(known, self.own)):
-            np.add.at(self.weights[:, j], self.on[[coordinate(t) for t in k]] if k else [], w)
+        own = np.repeat(np.arange(len(terms)), np.diff(self.ends))
+        on = self.on[np.array([coordinate(t) for k in known for t in k], dtype=np.int64)]
+        np.add.at(self.weights, (on, own), self.flat_weights)
 
     def impact(self, counts: np.ndarray, n) -> np.ndarray:
         """What a document of n terms gives for a term that it holds so often."""
@@ -131,48 +136,52 @@ class Queries:
         sketch[row[use], at[use]] = self.impact(peaks[use], n[row[use]])
         return sketch @ self.weights
 
-    def score(self, terms: list[bytes], counts: np.ndarray, n: int, wanted: Iterable[int]) -> list[int]:
-        """Exact scores of one document for the queries given."""
+    def scores(self, terms: list[bytes], counts: np.ndarray, n: int) -> np.ndarray:
+        """Exact scores of one document for all queries."""
         held = [(self.number[t], i) for i, t in enumerate(terms) if t in self.number]
         impacts = np.zeros(len(self.number), dtype=np.int64)
         if held:
             at, i = np.array(held).T
             impacts[at] = self.impact(counts[i], n)
-        return [int(impacts[self.own[j][0]] @ self.own[j][1]) for j in wanted]
+        sums = np.concatenate(([0], np.cumsum(impacts[self.flat] * self.flat_weights)))
+        return sums[self.ends[1:]] - sums[self.ends[:-1]]
 
 
 def _best(batches, queries: Queries, top: int):
     """The best documents a query of one task: (query, doc_id, score) as Arrow batches."""
-    heaps: list[list[tuple]] = [[] for _ in queries.own]  # (score, -doc_id or null last): the worst first
-    floor = np.zeros(len(heaps))  # the score a document has to reach: 1, then the worst kept
-    floor[:] = 1
+    heaps: list[list[tuple]] = [[] for _ in queries.ends[1:]]  # (score, -doc_id or null last): the worst first
+    floor = np.ones(len(heaps))  # the score a document has to reach: 1, then that of the worst kept
     rank = lambda d: (0, 0) if d is None else (1, -d)
+
+    def offer(exact: np.ndarray, doc_id, wanted: np.ndarray) -> None:
+        for j in wanted:
+            entry = (int(exact[j]), rank(doc_id))
+            if entry[0] > 0:
+                if len(heaps[j]) < top:
+                    heapq.heappush(heaps[j], entry)
+                elif entry > heaps[j][0]:
+                    heapq.heapreplace(heaps[j], entry)
+                if len(heaps[j]) == top:
+                    floor[j] = heaps[j][0][0]
+
     for batch in batches:
         for lo in range(0, batch.num_rows, DOCUMENTS):
             part = batch.slice(lo, DOCUMENTS)
             ids, n = part.column(0).to_pylist(), part.column(1).to_numpy()
-            places, peaks, terms, counts = (part.column(i) for i in range(2, 6))
-            sizes = np.diff(places.offsets.to_numpy())
-            bound = queries.bounds(n, sizes, places.flatten().to_numpy(), peaks.flatten().to_numpy())
-            possible = bound >= floor
-            exact = np.full(bound.shape, -1, dtype=np.int64)
-            # rounds of the documents whose bounds are furthest over a query's floor
-            excess = np.where(possible, bound - floor, -1).max(1)
-            for d in np.argsort(-excess, kind="stable"):
-                wanted = np.flatnonzero(bound[d] >= floor)
-                if not len(wanted):
-                    continue
-                exact[d, wanted] = queries.score(terms[int(d)].as_py(), np.array(counts[int(d)].as_py()), int(n[d]), wanted)
-                for j in wanted:
-                    entry = (int(exact[d, j]), rank(ids[d]))
-                    if entry[0] <= 0:
-                        continue
-                    if len(heaps[j]) < top:
-                        heapq.heappush(heaps[j], entry)
-                    elif entry > heaps[j][0]:
-                        heapq.heapreplace(heaps[j], entry)
-                    if len(heaps[j]) == top:
-                        floor[j] = heaps[j][0][0]
+            (places, off), (peaks, _) = (utf8(part.column(i)) for i in (2, 3))
+            bound = queries.bounds(n, np.diff(off) // 2, places.view(np.uint16), peaks.view(np.int64))
+            # the highest bounds of each query first, so that the floors rise; then what still reaches them
+            rank_of = np.argsort(np.argsort(-bound, axis=0, kind="stable"), axis=0, kind="stable")
+            done = np.zeros(bound.shape, dtype=bool)
+            for step in (max(1, top // 4), top, len(n)):
+                todo = (rank_of < step) & (bound >= floor) & ~done
+                for d in np.flatnonzero(todo.any(1)):
+                    wanted = np.flatnonzero((bound[d] >= floor) & ~done[d])
+                    if len(wanted):
+                        d = int(d)
+                        exact = queries.scores(part.column(4)[d].as_py().split(b" "), np.frombuffer(part.column(5)[d].as_py(), np.int64), int(n[d]))
+                        offer(exact, ids[d], wanted)
+                        done[d] = True
     rows = [(j, None if r == (0, 0) else -r[1], s) for j, heap in enumerate(heaps) for s, r in heap]
     columns = zip(*rows) if rows else [()] * 3
     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()))],
@@ -211,9 +220,9 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     for block in _blocks(own) if stats[0] else ():
         vocabulary = sorted({t for _, q in block for t in q})
-        asked = spark.createDataFrame([(bytearray(t),) for t in vocabulary], "term binary")
-        held = index.select(F.explode("terms").alias("term")).join(F.broadcast(asked), "term")  # a block's terms
-        found = {bytes(r[0]): r[1] for r in held.groupBy("term").agg(F.count("*")).collect()}
+        asked = spark.createDataFrame([(t.decode("utf-8", "replace"),) for t in vocabulary], "term string")
+        held = index.select(F.explode(F.split(F.col("terms").cast("string"), " ")).alias("term")).join(F.broadcast(asked), "term")  # a block's terms
+        found = {r[0].encode(): r[1] for r in held.groupBy("term").agg(F.count("*")).collect()}
         queries = Queries([q for _, q in block], found, stats[0], stats[1])
         best = index.mapInArrow(lambda batches, q=queries: _best(batches, q, top), "query int, doc_id long, score long")
         best = _ranked(best.withColumn("part", F.pmod(F.xxhash64("doc_id", "score"), F.lit(PARTS))), ["query", "part"], top)
