@@ -1,5 +1,7 @@
 """Event streams (ST1-ST8): every function takes a batch OR a streaming DataFrame
-with the same columns; batch calls are the twins the tests compare against.
+with the same columns; batch calls are the twins the tests compare against.  Response
+suppression (ST5) is in ``throttle``, the event files (S15) in ``event_files``, the collected
+counters (S11) in ``counters``.
 
 Event time is cast to ``timestamp`` (session zone UTC) because watermarks reject
 ``timestamp_ntz``.
@@ -7,16 +9,11 @@ Event time is cast to ``timestamp`` (session zone UTC) because watermarks reject
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from vigil.streaming.counters import COUNTER_PATH, SAMPLE_WINDOW, split_path
+from vigil.streaming.event_files import EventFiles
 
 # Fixed values (must equal the reference's).
 WAIT_MIN_DURATION = 15000
@@ -27,15 +24,10 @@ WAIT_TYPES_IGNORED = ("BROKER_EVENTHANDLER", "BROKER_RECEIVE_WAITFOR", "DBMIRROR
 WAIT_KEYS_IGNORED_2012 = (178, 121, 122, 173, 191, 144)
 PASS_THROUGH_EVENTS = ("blocked_process_report", "xml_deadlock_report")
 DISPATCH_LATENCY = "30 seconds"
-EVENT_FILE_MB = 5  # size of an event file
-# a cautious size of one event as parquet; the file's record limit follows from it
-EVENT_BYTES = 256
-ALERT_DELAY_SECONDS = 3600
 # (name suffix, message id, severity); 0 = not used
 ALERT_RULES = (("Filegroup Overflow", 1105, 0), ("TX Log Full", 9002, 0),
                ("No Catalog Entry Found", 608, 0), ("Severity 21 Errors", 0, 21))
 ACTIVITY_UPLOAD_WINDOW = "15 minutes"
-COUNTER_SAMPLE_WINDOW = "60 seconds"
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -74,82 +66,6 @@ def alert_match(events: DataFrame, rules: list[tuple[str, int, int]]) -> DataFra
                   .select("event_id", "server_id", "ts", "alert_name", "message_id", "severity"))
 
 
-THROTTLE_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("server_id", T.LongType()),
-                             T.StructField("alert_name", T.StringType()), T.StructField("ts", T.TimestampType())])
-THROTTLE_STATE = T.StructType([T.StructField("last_response", T.TimestampType())])
-
-
-def _throttle(key, frames: Iterator[pd.DataFrame], state: GroupState,
-              drop_idle_state: bool = True) -> Iterator[pd.DataFrame]:
-    """Keep an alert's events that come at least the delay after the last response.
-
-    State: one timestamp per (server, alert).  Once the watermark passes that
-    timestamp plus the delay, every later event fires anyway, so the state is
-    dropped (event-time timeout): only keys inside their delay window hold state.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-    last = pd.Timestamp(state.get[0]) if state.exists else None
-    keep = []
-    for ts in pdf["ts"]:
-        fire = last is None or (ts - last).total_seconds() >= ALERT_DELAY_SECONDS
-        keep.append(fire)
-        if fire:
-            last = ts
-    if last is not None:
-        state.update((last.to_pydatetime(),))
-        if drop_idle_state:
-            state.setTimeoutTimestamp(int(last.timestamp() * 1000) + ALERT_DELAY_SECONDS * 1000)
-    if any(keep):
-        yield pdf.loc[keep, ["event_id", "server_id", "alert_name", "ts"]]
-
-
-def alert_throttle(matches: DataFrame, lateness: str | None = "10 minutes") -> DataFrame:
-    """ST5: response suppression as keyed state (one timestamp per server+alert).
-
-    ``lateness`` is how late an event may arrive; with it, idle state is dropped by
-    an event-time timeout.  ``lateness=None`` (a bounded replay, e.g. the batch
-    twin drained with availableNow) keeps the same state logic without timers.
-    """
-    df = matches.select("event_id", "server_id", "alert_name", F.col("ts").cast("timestamp").alias("ts"))
-    if lateness:
-        df = df.withWatermark("ts", lateness)
-        fn, timeout = _throttle, GroupStateTimeout.EventTimeTimeout
-    else:
-        fn, timeout = functools.partial(_throttle, drop_idle_state=False), GroupStateTimeout.NoTimeout
-    return (df.groupBy("server_id", "alert_name")
-              .applyInPandasWithState(fn, THROTTLE_OUT, THROTTLE_STATE, "append", timeout))
-
-
-def throttled(matches: DataFrame) -> DataFrame:
-    """ST5 over a bounded table: the events that get a response, in time order whatever the
-    order of files.  The rows of an alert stream through one task in time order and only the
-    last response is kept; an event that follows its predecessor by the delay or more always
-    gets one, so a chain never depends on what lies before such a gap."""
-    def run(frames):
-        key = last = None
-        for pdf in frames:
-            keep = np.zeros(len(pdf), dtype=bool)
-            ts = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
-            own = list(zip(pdf["server_id"], pdf["alert_name"]))
-            edges = [0, *[i for i in range(1, len(own)) if own[i] != own[i - 1]], len(own)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if a == b:
-                    continue
-                if own[a] != key:
-                    key, last = own[a], None
-                i = a if last is None else a + int(np.searchsorted(ts[a:b], last + ALERT_DELAY_SECONDS * 1_000_000))
-                while i < b:
-                    keep[i], last = True, ts[i]
-                    i = a + int(np.searchsorted(ts[a:b], last + ALERT_DELAY_SECONDS * 1_000_000))
-            yield pdf.loc[keep]
-    df = matches.select("event_id", "server_id", "alert_name", F.col("ts").cast("timestamp").alias("ts"))
-    return (df.repartition("server_id", "alert_name").sortWithinPartitions("server_id", "alert_name", "ts", "event_id")
-              .mapInPandas(run, THROTTLE_OUT))
-
-
 def activity_rollup(snapshots: DataFrame, ts_col: str = "snap_time_stamp", watermark: str | None = None) -> DataFrame:
     """ST6: snapshots (taken every 300 s) rolled up per 15-minute upload window."""
     df = event_time(snapshots, ts_col)
@@ -162,38 +78,37 @@ def activity_rollup(snapshots: DataFrame, ts_col: str = "snap_time_stamp", water
                       "n_requests", "sum_duration_sec", "max_duration_sec"))
 
 
-COUNTER_PATH = r"^\\([^\\(]+)(?:\(([^)]*)\))?\\(.+)$"
-
-
-def split_counter_path(df: DataFrame) -> DataFrame:
-    """``\\Object(Instance)\\Counter`` -> object, instance (NULL if none), counter."""
-    p = F.col("counter_path")
-    return df.select("*", F.regexp_extract(p, COUNTER_PATH, 1).alias("object"),
-                     F.nullif(F.regexp_extract(p, COUNTER_PATH, 2), F.lit("")).alias("instance"),
-                     F.regexp_extract(p, COUNTER_PATH, 3).alias("counter"))
-
-
 def perf_rollup(samples: DataFrame, watermark: str | None = None) -> DataFrame:
-    """ST7: counter samples per 60-second window, per server and counter."""
-    df = split_counter_path(event_time(samples))
+    """ST7: all counter samples per 60-second window, per server and counter, objects as they are
+    named (``counters.counter_rollup`` keeps the collected set)."""
+    df = split_path(event_time(samples)).withColumn("object", F.regexp_extract("counter_path", COUNTER_PATH, 1))
     if watermark:
         df = df.withWatermark("ts", watermark)
-    return (df.groupBy("server_id", F.window("ts", COUNTER_SAMPLE_WINDOW).alias("w"), "object", "instance", "counter")
+    return (df.groupBy("server_id", F.window("ts", SAMPLE_WINDOW).alias("w"), "object", "instance", "counter")
               .agg(F.count(F.lit(1)).alias("n_samples"), F.avg("value").alias("avg_value"),
                    F.min("value").alias("min_value"), F.max("value").alias("max_value"))
               .select("server_id", F.col("w.start").alias("window_start"), "object", "instance", "counter",
                       "n_samples", "avg_value", "min_value", "max_value"))
 
 
-def run_available_now(df: DataFrame, out_path: str, checkpoint: str, output_mode: str = "append",
-                      max_records_per_file: int | None = None) -> None:
-    """Drain a streaming frame to parquet (S15): the event-file sink; a file holds at
-    most ``max_records_per_file`` rows when set."""
-    w = (df.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
-           .outputMode(output_mode).trigger(availableNow=True))
-    if max_records_per_file:
-        w = w.option("maxRecordsPerFile", max_records_per_file)
-    q = w.start()
+#: how long a rotation of the log may take to be seen
+ROTATION_DELAY = "2 days"
+LOG_LINE = ["server_id", "log_date", "process_info", "text"]
+
+
+def log_lines(log: DataFrame, delay: str = ROTATION_DELAY) -> DataFrame:
+    """ST8: each line of the error log once, though it is read as generation 0 and, after the
+    log was cycled, again as generation 1.  A streamed log forgets lines ``delay`` behind the
+    newest one; a table keeps the newest generation of a line.  Equal lines of one moment are one."""
+    if log.isStreaming:
+        return event_time(log, "log_date").withWatermark("log_date", delay).dropDuplicatesWithinWatermark(LOG_LINE)
+    return log.groupBy(*LOG_LINE).agg(F.min("log_order").alias("log_order")).select(*log.columns)
+
+
+def run_available_now(df: DataFrame, out_path: str, checkpoint: str, output_mode: str = "append") -> None:
+    """Drain a streaming frame to parquet."""
+    q = (df.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
+           .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -217,11 +132,8 @@ def stream_fixture(spark: SparkSession, data_dir: str, view: str, max_files_per_
     return spark.sql(FIXTURE_SQL[name], events=stream)
 
 
-def event_session(events: DataFrame, out_path: str, checkpoint: str):
-    """ST1/ST2 + S15 as a running query: the session filter over an event stream,
-    dispatched every 30 seconds to an event-file sink whose files hold about 5 MB at most.
-    Returns the started ``StreamingQuery``."""
-    return (session_filter(events).writeStream.format("parquet")
-            .option("path", out_path).option("checkpointLocation", checkpoint)
-            .option("maxRecordsPerFile", EVENT_FILE_MB * 1024 * 1024 // EVENT_BYTES)
-            .outputMode("append").trigger(processingTime=DISPATCH_LATENCY).start())
+def event_session(events: DataFrame, out_path: str, checkpoint: str, sink: EventFiles | None = None, **trigger):
+    """ST1/ST2 + S15 as a running query: the session filter over an event stream, dispatched every
+    30 seconds to event files that roll at 5 MB.  Returns the started ``StreamingQuery``."""
+    sink = sink or EventFiles(events.sparkSession, out_path)
+    return sink.start(session_filter(events), checkpoint, **(trigger or {"processingTime": DISPATCH_LATENCY}))
