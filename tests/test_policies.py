@@ -114,17 +114,36 @@ def test_fixture_sanity_counts(spark):
 
 def test_inventories_with_owner_and_long_command(spark):
     from vigil.operators import snapshots as snap
-    jobs = spark.createDataFrame([(1, 10, "J-1", "backup", 0, "No description available.", True, "sid1"),
-                                  (1, 11, "J-2", "index", 1, "nightly", False, "sid9")],
+    day = dt.datetime(2020, 1, 1)
+    jobs = spark.createDataFrame([(1, 10, "J-1", "backup", 0, "No description available.", True, "sid1", 1, 0, day, day, 3),
+                                  (1, 11, "J-2", "index", 1, "nightly", False, "sid9", 1, 0, day, day, 4)],
                                  "server_id bigint, job_key bigint, job_id string, name string, category_id int, "
-                                 "description string, enabled boolean, owner_sid string")
+                                 "description string, enabled boolean, owner_sid string, start_step_id int, delete_level int, "
+                                 "date_created timestamp, date_modified timestamp, version_number int")
     cats = spark.createDataFrame([(0, "[Uncategorized (Local)]"), (1, "Fleet")], "category_id int, name string")
     owners = spark.createDataFrame([(1, "sid1", "CORP\\dba")], "server_id bigint, owner_sid string, name string")
     inv = {r.job_id: r for r in snap.job_inventory(jobs, cats, owners).collect()}
     assert inv["J-1"].owner == "CORP\\dba" and inv["J-1"].description is None and inv["J-1"].category.startswith("[")
     assert inv["J-2"].owner is None and inv["J-2"].description == "nightly"
-    steps = spark.createDataFrame([(1, 10, 1, "s", "TSQL", None, "x" * 1500)],
+    steps = spark.createDataFrame([(1, 10, 1, "s", "TSQL", None, "x" * 1500, 0, 1, 0, 2, 0, None, "master", None, 0, 0, None)],
                                   "server_id bigint, job_key bigint, step_id int, step_name string, subsystem string, "
-                                  "output_file_name string, command string")
+                                  "output_file_name string, command string, cmdexec_success_code int, on_success_action int, "
+                                  "on_success_step_id int, on_fail_action int, on_fail_step_id int, server string, database_name string, "
+                                  "database_user_name string, retry_attempts int, retry_interval int, proxy_id int")
     r = snap.step_inventory(steps, jobs).first()
-    assert r.job_id == "J-1" and len(r.command) == 1000
+    assert r.job_id == "J-1" and len(r.command) == 1000 and len(r) == 18
+
+
+def test_formatted_messages_print_null_and_missing_servers_keep_their_violations(spark):
+    jobs = spark.createDataFrame([(1, 1, "j", None, True, 0, 0, "d")], "server_id bigint, job_key bigint, job_id string, name string, "
+                                 "enabled boolean, category_id int, notify_level_email int, description string")
+    got = {r.policy_no: r.message for r in P.raw_violations(CheckContext(FrameInputs(spark, {"jobs": jobs})), [23, 24]).collect()}
+    assert got[23].startswith('Job "(null)": Category "[Uncategorized') and got[24].startswith('Job "(null)": mail')
+    inputs = FrameInputs(spark, {})
+    servers = inputs.fx("servers").filter("server_id < 0")  # none is known
+    ctx = CheckContext(FrameInputs(spark, {"servers": servers}))
+    v = P.raw_violations(ctx, [3, 4])
+    dbs = inputs.fx("databases")
+    assert v.filter("policy_no = 3").count() == dbs.filter("collation_name is null").count() > 0
+    assert v.filter("policy_no = 4").count() == dbs.filter("compatibility_level is null").count() > 0
+    assert {r.message for r in v.collect()} == {"DB: ?; Server: ?"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,28 +35,77 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str | T.StructT
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def anti_like(df: DataFrame, name_col: str, patterns: DataFrame, keys: list[str], scope=None) -> DataFrame:
+# Non-ASCII characters that match an ASCII letter when case is ignored, and those letters.
+_CASE_PARTNERS = ("ſKİı", "skii")
+#: lengths of a pattern's leading literal text by which it is looked up
+PREFIXES = (4, 2, 1)
+#: length of the literal text inside a pattern by which it is looked up
+GRAM = 3
+_LITERAL = r"((?:\x01[ -~]|[ -~&&[^%_\[]])+)"
+
+
+def folded(name):
+    """Lower case in which names and the literal text of patterns meet."""
+    return F.lower(F.translate(name, *_CASE_PARTNERS))
+
+
+def pattern_index(patterns: DataFrame) -> DataFrame:
+    """``patterns`` with ``kind`` and ``literal``, by which a name finds the patterns worth a test.
+
+    exact: the whole pattern is literal; prefix4, prefix2, prefix1: names begin with the literal;
+    gram: names hold it somewhere; any: no literal text to look up.  A class of one character
+    (``[_]``) is literal text; only ASCII text serves as a key, so that ignoring case means the
+    same in a key as in the regex.
+    """
+    marked = F.regexp_replace("pattern", r"\[([^\]^])\]", "\x01$1")          # a literal character
+    marked = F.regexp_replace(marked, r"(?<!\x01)\[[^\]]*\]", "%")           # any other class
+    plain = lambda c: folded(F.replace(c, F.lit("\x01"), F.lit("")))
+    head = plain(F.regexp_extract(marked, "^" + _LITERAL, 1))
+    runs = F.transform(F.regexp_extract_all(marked, F.lit(_LITERAL), 1), plain)
+    inside = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("text"))))["text"]
+    choices = [(F.length(head) >= n, f"prefix{n}", F.substring(head, 1, n)) for n in PREFIXES if n >= GRAM]
+    choices.append((F.length(inside) >= GRAM, "gram", F.substring(inside, 1, GRAM)))
+    choices += [(F.length(head) >= n, f"prefix{n}", F.substring(head, 1, n)) for n in PREFIXES if n < GRAM]
+    found = F.coalesce(*[F.when(fits, F.struct(F.lit(kind).alias("kind"), text.alias("literal"))) for fits, kind, text in choices],
+                       F.struct(F.lit("any").alias("kind"), F.lit("").alias("literal")))
+    return patterns.withColumn("_found", found).select(*patterns.columns, "_found.kind", "_found.literal")
+
+
+def anti_like(df: DataFrame, name_col: str, patterns: DataFrame, keys: list[str], scope=None,
+              names: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` whose ``name_col`` matches none of the LIKE ``patterns`` that share
     ``keys`` (case-insensitive) -- the exclusion test.
 
-    Plain names (no wildcard) are a broadcast hash anti join on (keys, lower(name)):
-    no regex at all.  Only wildcard patterns go through a regex, as the residual of
-    a hash anti join on ``keys``; they are rewritten once on the small side.
-    ``scope`` (a Column of ``df``) limits which rows the exclusions apply to.
+    Plain names are a hash anti join on (keys, lower(name)): no regex at all.  A pattern is looked
+    up by its literal text (``pattern_index``): one that begins with some by a hash anti join on
+    (keys, first characters), one that holds some through the n-grams of the names.  Only those
+    candidates meet the regex, which is written once, on the patterns' side.  Patterns without
+    literal text become one alternative for each value of ``keys``.  ``scope`` (a Column of
+    ``df``) limits the rows that the exclusions apply to; ``names`` (one column) holds at least
+    the names in scope, where they are cheaper to get than from ``df``.
     """
     from vigil.functions.text import has_like_wildcard, like_to_regex
     scope = F.lit(True) if scope is None else scope
+    own = ["_x_" + k for k in keys]
     p = patterns.select(*[F.col(k).alias("_x_" + k) for k in keys], "pattern")
-    exact = p.filter(~has_like_wildcard("pattern")).select(*["_x_" + k for k in keys],
-                                                           F.lower("pattern").alias("_x_name")).distinct()
-    wild = p.filter(has_like_wildcard("pattern")).select(*["_x_" + k for k in keys],
-                                                         like_to_regex("pattern").alias("_x_rx"))
-    same_key = [F.col(k) == F.col("_x_" + k) for k in keys]
-    cond_exact = scope & (F.lower(F.col(name_col)) == F.col("_x_name"))
-    for c in same_key:
-        cond_exact = cond_exact & c
-    out = df.join(small(exact), cond_exact, "left_anti")
-    cond_wild = scope & F.regexp_like(F.col(name_col), F.col("_x_rx"))
-    for c in same_key:
-        cond_wild = cond_wild & c
-    return out.join(small(wild), cond_wild, "left_anti")
+    exact = p.filter(~has_like_wildcard("pattern")).select(*own, F.lower("pattern").alias("_x_name")).distinct()
+    wild = pattern_index(p.filter(has_like_wildcard("pattern"))).select(*own, "kind", F.col("literal").alias("_x_literal"),
+                                                                        like_to_regex("pattern").alias("_x_rx"))
+    name, rx = F.col(name_col), F.col("_x_rx")
+
+    def without(rows: DataFrame, side: DataFrame, *conditions) -> DataFrame:
+        met = [F.col(k) == F.col("_x_" + k) for k in keys]
+        return rows.join(small(side), reduce(and_, [*met, scope, *conditions]), "left_anti")
+
+    out = without(df, exact, F.lower(name) == F.col("_x_name"))
+    for n in PREFIXES:
+        side = wild.filter(F.col("kind") == f"prefix{n}").drop("kind")
+        out = without(out, side, F.substring(folded(name), 1, n) == F.col("_x_literal"), F.regexp_like(name, rx))
+    source = out.filter(scope).select(name.alias("_x_name")) if names is None else names.toDF("_x_name")
+    low = folded(F.col("_x_name"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM)))
+    held = source.filter(F.length(low) >= GRAM).distinct().withColumn("_x_gram", F.explode(F.array_distinct(grams)))
+    gone = held.join(small(wild.filter("kind = 'gram'")), (F.col("_x_gram") == F.col("_x_literal")) & F.regexp_like("_x_name", rx))
+    out = without(out, gone.select(*own, "_x_name").distinct(), name == F.col("_x_name"))
+    rest = wild.filter("kind = 'any'").groupBy(*own).agg(F.array_join(F.sort_array(F.collect_set("_x_rx")), "|").alias("_x_rx"))
+    return without(out, rest, F.regexp_like(name, rx))

@@ -78,6 +78,11 @@ def ci_equal(a: Column, b: Column) -> Column:
     return F.lower(a) == F.lower(b)
 
 
+def format_message(template: str, *values: Column) -> Column:
+    """``formatmessage``: like ``fill``, but a NULL value prints as ``(null)``."""
+    return fill(template, *[F.coalesce(v.cast("string"), F.lit("(null)")) for v in values])
+
+
 def fill(template: str, *values: Column) -> Column:
     """``template`` with each ``%s`` replaced by a value (cast to string); a NULL
     value makes the result NULL, like string ``+`` in the reference's SQL."""

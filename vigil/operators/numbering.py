@@ -4,7 +4,9 @@
 task.  Here rows are numbered inside (key, bucket), where ``bucket`` is a prefix of the
 order; a running sum over the buckets' row counts gives each bucket its offset.  Only
 that table of counts is summed key by key.  Both sides of the final join read the same
-exchange on (key, bucket); nothing is sampled, written or counted on the driver.
+exchange on (key, bucket), so ``df`` is computed once: the counting side asks for all of its
+columns, else Catalyst would prune them and plan a second, narrower exchange over a second
+evaluation.  Nothing is sampled, written or counted on the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ def number_within(df: DataFrame, by: str, bucket: Column, order: Sequence[Column
     rows = df.withColumn("_bucket", bucket).repartition(by, "_bucket")
     inside = Window.partitionBy(by, "_bucket").orderBy(*order)
     numbered = rows.withColumn("_n", F.row_number().over(inside))
-    sizes = rows.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    whole = F.max(F.xxhash64(*[F.col(c) for c in rows.columns]))  # reads every column
+    sizes = rows.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_size"), whole.alias("_whole")).filter("_whole is not null")
     before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col(by).alias("_by"), F.col("_bucket").alias("_at"),
                          F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.joins import anti_like, literal_rows
+from vigil.functions.joins import anti_like, literal_rows, small
 from vigil.functions.text import csv_items
 
 REGISTRY_SCHEMA = T.StructType([
@@ -146,15 +148,14 @@ def active_policies(registry: DataFrame, selected: DataFrame) -> DataFrame:
                     .orderBy("processing_order", "policy_no"))
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """MERGE (insert new keys, update existing) as a full outer join; the caller
-    writes the result to a new location and swaps it in."""
-    t, u = target.alias("t"), updates.alias("u")
-    cols = [c for c in target.columns if c != key]
-    return (t.join(u, F.col(f"t.{key}") == F.col(f"u.{key}"), "full_outer")
-             .select(F.coalesce(F.col(f"u.{key}"), F.col(f"t.{key}")).alias(key),
-                     *[F.when(F.col(f"u.{key}").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
-                       for c in cols]))
+def upsert(target: DataFrame, updates: DataFrame, key: str | list[str]) -> DataFrame:
+    """MERGE (insert new keys, update existing) as a full outer join; ``retention.merge_rows``
+    writes the touched parts of a table and switches to them.  Key columns are not NULL."""
+    keys = [key] if isinstance(key, str) else list(key)
+    t, u = target.alias("t"), updates.withColumn("_new", F.lit(True)).alias("u")
+    same = reduce(and_, [F.col(f"t.{k}") == F.col(f"u.{k}") for k in keys])
+    pick = lambda c: F.when(F.col("u._new"), F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
+    return t.join(u, same, "full_outer").select(*[pick(c) for c in target.columns])
 
 
 def config_value(config: DataFrame, name: str) -> Column:
@@ -177,6 +178,35 @@ def config_struct(config: DataFrame, names) -> Column:
                                     for n in names])).scalar()
 
 
+def server_settings(settings: DataFrame, names) -> DataFrame:
+    """(server_id, _own): each server's own values of ``names`` as one struct.  One row a server;
+    only servers with a setting of their own have one."""
+    held = settings.filter(F.col("name").isin(list(names)))
+    return held.groupBy("server_id").agg(F.struct(*[
+        F.max(F.when(F.col("name") == n, F.col("value"))).alias(config_field(n)) for n in names]).alias("_own"))
+
+
+def with_settings(df: DataFrame, config: DataFrame, names, server_config: DataFrame | None = None,
+                  column: str = "_cfg") -> DataFrame:
+    """``df`` with ``names`` as one struct: the server's own value if it has one, else the fleet's.
+    A setting is chosen as it stands: an own value that is no number is not replaced by the fleet's."""
+    if server_config is None:
+        return df.withColumn(column, config_struct(config, names))
+    own = server_settings(server_config, names).withColumnRenamed("server_id", "_own_id")
+    df = df.join(small(own), F.col("server_id") == F.col("_own_id"), "left").withColumn("_fleet", config_struct(config, names))
+    chosen = F.struct(*[F.coalesce(F.col("_own")[f], F.col("_fleet")[f]).alias(f) for f in map(config_field, names)])
+    return df.withColumn(column, chosen).drop("_own", "_own_id", "_fleet")
+
+
+def effective_settings(servers: DataFrame, config: DataFrame, server_config: DataFrame, names) -> DataFrame:
+    """(server_id, name, value, is_own) of every server and setting that has a value there."""
+    held = with_settings(servers.select("server_id"), config, names, server_config)
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.col("_cfg")[config_field(n)].alias("value")) for n in names])
+    rows = held.select("server_id", F.inline(each)).filter(F.col("value").isNotNull())
+    own = server_config.select("server_id", "name", F.lit(True).alias("is_own")).distinct()
+    return rows.join(own, ["server_id", "name"], "left").withColumn("is_own", F.coalesce("is_own", F.lit(False)))
+
+
 def operator_lookup(config: DataFrame, operators: DataFrame) -> DataFrame:
     """For every ``*.notify_operator`` setting, the operator's mail address
     (NULL when the operator is missing)."""
@@ -198,4 +228,5 @@ def eligible_databases(databases: DataFrame, registry: DataFrame, exclusions: Da
     pairs = (databases.select("server_id", F.col("name").alias("db_name"), F.col("state").alias("db_state"),
                               F.inline(pols))
                       .filter(~F.col("online_only") | (F.col("db_state") == 0)))
-    return anti_like(pairs, "db_name", exclusions, ["policy_no"]).select("server_id", "policy_no", "db_name")
+    return anti_like(pairs, "db_name", exclusions, ["policy_no"], names=databases.select("name")).select(
+        "server_id", "policy_no", "db_name")

@@ -36,6 +36,7 @@ class CheckContext:
     registry: DataFrame | None = None
     exclusions: DataFrame | None = None
     config: DataFrame | None = None
+    server_config: DataFrame | None = None      # settings of single servers, ahead of ``config``
     extra: dict = field(default_factory=dict)   # user policies: number -> builder
 
     def __post_init__(self):
@@ -53,8 +54,9 @@ class CheckContext:
 
     def with_cfg(self, df: DataFrame) -> DataFrame:
         """Attach every known setting as one struct column ``_cfg``: a single scalar
-        subquery (one small job per query), referenced by ``cfg`` / ``cfg_int``."""
-        return df.withColumn("_cfg", reg.config_struct(self.config, CONFIG_KEYS))
+        subquery (one small job per query) and, if servers have settings of their own, a join
+        on ``server_id``; referenced by ``cfg`` / ``cfg_int``."""
+        return reg.with_settings(df, self.config, CONFIG_KEYS, self.server_config)
 
     def cfg(self, name: str) -> Column:
         return F.col("_cfg").getField(reg.config_field(name))

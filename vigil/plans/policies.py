@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.joins import small
 
-from vigil.functions.text import boundary_days, ci_equal, date120, fill, like_to_regex, safe_os_name
+from vigil.functions.text import boundary_days, ci_equal, date120, fill, format_message, like_to_regex, safe_os_name
 from vigil.plans.context import CheckContext
 
 VIOLATION_COLUMNS = ["server_id", "policy_no", "db_level", "db_name", "db_state",
@@ -44,8 +44,8 @@ LOG_POLICIES = (21, 25)
 
 
 # Fixed values (must equal the reference's): the message texts, in policy order.
-# "%s" marks an inserted value; a NULL value makes the whole message NULL, as the
-# reference's string "+" does.
+# "%s" marks an inserted value.  In the FORMATTED ones a NULL value prints as "(null)"; in the
+# others it makes the whole message NULL, as string "+" does.
 MESSAGES = {
     "file": "File: %s",                                                                    # 1, 2
     "sharepoint_unset": "pol.allow_sharepoint is not set.",                                 # 3
@@ -87,13 +87,16 @@ MESSAGES = {
     "timeout": "Connection timeout: is=%s, must be=%s.",                                    # 29
     "partner": "Partner name: is=%s, must be=%s.",                                          # 29
 }
+FORMATTED = {"maxdop", "vlf", "log_names", "job_category", "job_notification", "safety", "timeout", "partner"}
+#: shown for a value that is not known, and for a message that would be NULL
+UNKNOWN = "?"
 SERVICE_LABELS = {"engine": "SQL Server", "agent": "SQL Server Agent"}                   # 10, 11
 START_MODES = {3: "manually", 2: "automatically"}                                        # 10 (clustered, not)
 
 
 def message(key: str, *values: Column) -> Column:
-    """A message of ``MESSAGES`` with its values inserted (NULL-propagating)."""
-    return fill(MESSAGES[key], *values)
+    """A message of ``MESSAGES`` with its values inserted."""
+    return (format_message if key in FORMATTED else fill)(MESSAGES[key], *values)
 
 
 def _violations(df: DataFrame, *, db_level: bool, policy_no: Column | int | None = None,
@@ -177,9 +180,9 @@ def _database_rules(ctx: CheckContext) -> dict[int, list[tuple[int, Column, Colu
         3: [(1, allow.isNull(), message("sharepoint_unset")),
             (1, allow.isNotNull() & (coll.isNull() | ((coll != srv_coll)
                                                       & ((allow01 == 0) | (coll != SHAREPOINT_COLLATION)))),
-             message("collation", F.coalesce(coll, F.lit("?")), srv_coll))],
+             message("collation", F.coalesce(coll, F.lit(UNKNOWN)), F.coalesce(srv_coll, F.lit(UNKNOWN))))],
         4: [(1, col("compatibility_level").isNull() | (compat_txt != srv_level),
-             message("compat_level", F.coalesce(compat_txt, F.lit("?")), srv_level))],
+             message("compat_level", F.coalesce(compat_txt, F.lit(UNKNOWN)), F.coalesce(srv_level, F.lit(UNKNOWN))))],
         5: [(1, too_old("last_full_backup") & too_old("last_diff_backup"),
              message("full_backup", shown("last_full_backup"), shown("last_diff_backup"))),
             (2, too_old("last_log_backup") & (F.lower(col("recovery_model_desc")) != "simple")
@@ -488,5 +491,5 @@ def raw_violations(ctx: CheckContext, numbers=None) -> DataFrame:
     parts = [p for p in parts if p is not None]
     if not parts:
         return _violations(ctx.frame("servers").limit(0), db_level=False)
-    # a NULL message could not be inserted in the reference either; such rows are dropped
-    return reduce(DataFrame.unionByName, parts).filter(F.col("message").isNotNull())
+    # a NULL message could not be inserted in the reference; the violation is kept, its text unknown
+    return reduce(DataFrame.unionByName, parts).withColumn("message", F.coalesce("message", F.lit(UNKNOWN)))

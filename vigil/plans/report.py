@@ -47,7 +47,9 @@ def apply_eligibility(ctx: CheckContext, v: DataFrame, selected: DataFrame | Non
         registry = registry.filter(F.col("is_active"))
     v = v.join(registry.select("policy_no", "policy_name", "processing_order", "online_only"), "policy_no")
     v = v.filter(~F.col("db_level") | ~F.col("online_only") | (F.col("db_state") == 0))
-    return anti_like(v, "db_name", ctx.exclusions, ["policy_no"], scope=F.col("db_level"))
+    # a database-level policy speaks of databases of the catalog
+    return anti_like(v, "db_name", ctx.exclusions, ["policy_no"], scope=F.col("db_level"),
+                     names=ctx.frame("databases").select("name"))
 
 
 def report_order():
