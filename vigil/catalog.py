@@ -8,6 +8,7 @@ tests/ instead, see README.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -17,14 +18,17 @@ from pyspark.sql import functions as F
 from vigil import oracle, oracle_more
 from vigil.operators import quality as q
 from vigil.operators import registry as reg
+from vigil.operators import retention as ret
 from vigil.operators import selection as sel
 from vigil.operators import snapshots as snap
 from vigil.plans import policies as pol
 from vigil.plans import report as rpt
-from vigil.plans.context import CheckContext
+from vigil.plans.context import CONFIG_KEYS, CheckContext
 from vigil.session import scratch_dir
 from vigil.sources import volumes as src_vol
 from vigil.sources.tables import FleetInputs
+from vigil.sources.versions import VersionedTable
+from vigil.streaming import counters, throttle
 from vigil.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +119,60 @@ def _backup(spark, d):
                               ctx.as_of_col())
 
 
+def _backup_per_server(spark, d):
+    ctx = context(spark, d)
+    i = ctx.inputs
+    days = "maint.backup_retention_days"
+    own = i.fx("server_config").filter(F.col("name") == days).select("server_id", F.col("value").try_cast("int").alias("days"))
+    return snap.backup_expiry(i.fx("backup_files"), i.fx("databases"), i.fx("retention_overrides"),
+                              reg.config_int(i.fx("config"), days), ctx.as_of_col(), i.fx("server_retention"), own)
+
+
+AS_OF = dt.datetime(1998, 8, 2)
+
+
+def _scratch_table(spark, name: str) -> VersionedTable:
+    return VersionedTable(spark, scratch_dir(spark, f"{name}-{uuid.uuid4().hex}"))
+
+
+def _config_retention(spark, d):
+    """C4: a history of configuration snapshots by month, expired after 365 days."""
+    table = _scratch_table(spark, "job-history")
+    table.overwrite(inputs(spark, d).fx("job_history").filter(F.col("snap_time_stamp") <= F.lit(AS_OF).cast("timestamp_ntz")),
+                    ret.month_part("snap_time_stamp"))
+    return table.read(ret.expire_rows(table, "snap_time_stamp", snap.CONFIG_RETENTION_DAYS, AS_OF))
+
+
+def _upsert_inventory(spark, d):
+    """A later job inventory merged into an earlier one."""
+    jobs = inputs(spark, d).fx("jobs").select("server_id", "job_id", "name", "enabled", "version_number")
+    table = _scratch_table(spark, "inventory")
+    key = ["server_id", "job_id"]
+    number = F.left("job_id", F.lit(8)).cast("int")
+    ret.merge_rows(table, jobs.filter(number % 10 != 3), key)
+    later = jobs.filter(number % 4 == 3).select("server_id", "job_id", F.concat("name", F.lit(" (v2)")).alias("name"),
+                                                (~F.col("enabled")).alias("enabled"), (F.col("version_number") + 1).alias("version_number"))
+    return table.read(ret.merge_rows(table, later, key))
+
+
+def _volume_inventory(spark, d):
+    """The raw XML form, written from the fixture, read back, machines resolved to servers."""
+    i = inputs(spark, d)
+    path = scratch_dir(spark, f"volume-inventory-{uuid.uuid4().hex}")
+    src_vol.write_volume_inventory(i.fx("volume_inventory"), path)
+    servers = i.fx("servers").select("server_id", F.col("machine_name").alias("node"))
+    return src_vol.read_volume_inventory(spark, path).join(servers, "node").select(
+        "server_id", "name", "label", "capacity", "free_space", "drive_type")
+
+
+def _listed_context(spark, d):
+    return context(spark, d, exclusions=inputs(spark, d).fx("like_exclusions"))
+
+
+def _per_server(number: int) -> Query:
+    return lambda spark, d: rpt.policy_result(context(spark, d, server_config=inputs(spark, d).fx("server_config")), number)
+
+
 def _volume_scan(spark, d):
     path = scratch_dir(spark, f"volumes-xml-{uuid.uuid4().hex}")
     src_vol.write_volumes_xml(inputs(spark, d).fx("volumes"), path)
@@ -151,7 +209,7 @@ def _alert_matches(spark, d):
 
 def _alert_throttle(spark, d):
     """ST5 over the table: the same rule as the keyed-state stream, as a batch plan."""
-    return _ntz(ev.throttled(_alert_matches(spark, d)), "ts")
+    return _ntz(throttle.throttled(_alert_matches(spark, d)), "ts")
 
 
 def _ntz(df: DataFrame, *cols: str) -> DataFrame:
@@ -184,14 +242,27 @@ QUERIES: dict[str, Query] = {
     "dq_unique": _dq_unique,
     "dq_fk": _dq_fk,
     "activity_snapshot": _activity,
-    "job_inventory": lambda spark, d: snap.job_inventory(inputs(spark, d).fx("jobs"),
-                                                         inputs(spark, d).fx("categories")),
+    "job_inventory": lambda spark, d: _ntz(snap.job_inventory(inputs(spark, d).fx("jobs"), inputs(spark, d).fx("categories"),
+                                                              inputs(spark, d).fx("principals")), "date_created", "date_modified"),
     "step_inventory": lambda spark, d: snap.step_inventory(inputs(spark, d).fx("job_steps"),
                                                            inputs(spark, d).fx("jobs")),
     "snapshot_retention": _retention,
     "disk_space": lambda spark, d: snap.disk_space(inputs(spark, d).fx("volumes"),
                                                    inputs(spark, d).fx("volume_bounds")),
+    "disk_space_per_server": lambda spark, d: snap.disk_space(inputs(spark, d).fx("volumes"), inputs(spark, d).fx("volume_bounds"),
+                                                              inputs(spark, d).fx("server_volume_bounds")),
     "backup_retention": _backup,
+    "backup_retention_per_server": _backup_per_server,
+    "server_settings": lambda spark, d: reg.effective_settings(
+        inputs(spark, d).fx("servers"), inputs(spark, d).fx("config"), inputs(spark, d).fx("server_config"),
+        [*CONFIG_KEYS, "maint.backup_retention_days"]),
+    "config_retention": _config_retention,
+    "counter_folders": lambda spark, d: _ntz(ret.newest_folders(inputs(spark, d).fx("counter_samples"), F.to_date("ts")), "ts"),
+    "upsert_inventory": _upsert_inventory,
+    "volume_inventory": _volume_inventory,
+    "eligibility_many_patterns": lambda spark, d: reg.eligible_databases(
+        inputs(spark, d).fx("databases"), inputs(spark, d).fx("registry"), inputs(spark, d).fx("like_exclusions")),
+    "pol_20_listed": lambda spark, d: rpt.policy_result(_listed_context(spark, d), 20),
     "file_plan": lambda spark, d: snap.file_plan(inputs(spark, d).fx("files"), inputs(spark, d).fx("databases")),
     "job_log_names": lambda spark, d: pol.nonconforming_steps(context(spark, d)),
     "volume_scan": _volume_scan,
@@ -199,12 +270,17 @@ QUERIES: dict[str, Query] = {
     "xe_events": lambda spark, d: ev.session_filter(_xe(spark, d)),
     "alert_match": _alert_matches,
     "alert_throttle": _alert_throttle,
+    "alert_throttle_hot": lambda spark, d: _ntz(throttle.throttled(inputs(spark, d).fx("alert_matches")), "ts"),
+    "activity_rollup_dense": lambda spark, d: _ntz(ev.activity_rollup(inputs(spark, d).fx("activity")), "window_start", "window_end"),
+    "counter_rollup": lambda spark, d: _ntz(counters.counter_rollup(inputs(spark, d).fx("counter_samples")), "window_start"),
     "activity_rollup": lambda spark, d: _ntz(ev.activity_rollup(_activity(spark, d)), "window_start", "window_end"),
     "perf_rollup": lambda spark, d: _ntz(ev.perf_rollup(inputs(spark, d).fx("perf_samples")), "window_start"),
 }
 ORACLE: dict[str, str] = {"policy_report": oracle.report_sql()}
 ORACLE.update(oracle_more.sql())
 
+for _n in (3, 16, 18):
+    QUERIES[f"pol_{_n:02d}_per_server"] = _per_server(_n)
 for _n in pol.ALL_POLICIES:
     QUERIES[f"pol_{_n:02d}"] = _policy_query(_n)
     ORACLE[f"pol_{_n:02d}"] = oracle.policy_sql(_n)

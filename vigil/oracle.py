@@ -193,8 +193,8 @@ def _policy_ctes(numbers, extra_views=()) -> str:
     return (duckdb_with(POLICY_VIEWS + list(extra_views))
             + f", cfg as ({CFG}),\nregistry as ({registry_values()}),\nexcl as ({exclusion_values()}),\n"
             + f"v as ({body}),\n"
-            + """elig as (select v.*, r.policy_name, r.processing_order, r.is_active from v join registry r on r.policy_no = v.policy_no
-  where v.message is not null and (not v.db_level or not r.online_only or v.db_state = 0)
+            + """elig as (select v.* replace (coalesce(v.message, '?') as message), r.policy_name, r.processing_order, r.is_active
+  from v join registry r on r.policy_no = v.policy_no where (not v.db_level or not r.online_only or v.db_state = 0)
     and not (v.db_level and exists (select 1 from excl x where x.policy_no = v.policy_no
       and regexp_full_match(v.db_name, '(?is)' || replace(replace(x.pattern, '%', '.*'), '_', '.')))))
 """)

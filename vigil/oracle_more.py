@@ -33,7 +33,7 @@ select r.snap_ts as snap_time_stamp, r.server_id, r.session_id, r.request_id, s.
            s.program_name) as program_name,
   d.name as dbname, r.start_time,
   cast(epoch(date_trunc('second', r.snap_ts)) - epoch(date_trunc('second', r.start_time)) as bigint) as duration_sec,
-  r.command, r.wait_type as last_wait_type, left(r.sql_text, 1000) as sql_text
+  r.command, r.status, r.last_wait_type, r.wait_time, left(r.sql_text, 1000) as sql_text
 from r join s on s.server_id = r.server_id and s.session_id = r.session_id
 left join res on res.server_id = r.server_id and res.session_id = r.session_id
 left join fx_databases d on d.server_id = r.server_id and d.database_id = r.database_id)
@@ -49,6 +49,18 @@ matches as (select e.event_id, e.server_id, e.ts, a.alert_name, e.message_id, e.
   from fx_xe_events e join alerts a on a.rule_severity <> 0 and e.severity = a.rule_severity)
 """
 
+# the responses along {matches}: each the first event a delay or more after the one before
+THROTTLE = """,
+fires(server_id, alert_name, fire_ts) as (
+  select server_id, alert_name, min(ts) from {matches} group by server_id, alert_name
+  union all
+  select f.server_id, f.alert_name, (select min(m.ts) from {matches} m where m.server_id = f.server_id
+    and m.alert_name = f.alert_name and m.ts >= f.fire_ts + interval 3600 second)
+  from fires f where f.fire_ts is not null)
+select m.event_id, m.server_id, m.alert_name, m.ts from fires f
+join (select *, row_number() over (partition by server_id, alert_name, ts order by event_id) as rn from {matches}) m
+  on m.server_id = f.server_id and m.alert_name = f.alert_name and m.ts = f.fire_ts and m.rn = 1"""
+
 WAIT_NAMES = "('BROKER_EVENTHANDLER', 'BROKER_RECEIVE_WAITFOR', 'DBMIRRORING_CMD', 'BROKER_TRANSMITTER', 'CXPACKET', 'DBMIRROR_EVENTS_QUEUE')"
 WAITS = f"event_name = 'wait_info' and duration_ms > 15000 and session_id > 50 and wait_type not in {WAIT_NAMES}"
 COUNTER_RX = r"'^\\([^\\(]+)(?:\(([^)]*)\))?\\(.+)$'"
@@ -146,11 +158,14 @@ union all
 select 'job_steps -> jobs', s.server_id, s.job_key from fx_job_steps s
 where not exists (select 1 from fx_jobs j where j.server_id = s.server_id and j.job_key = s.job_key)"""),
         "activity_snapshot": duckdb_with(ACTIVITY_VIEWS) + ", " + ACTIVITY + "select * from activity",
-        "job_inventory": w(["fx_jobs", "fx_categories"], """select j.server_id, j.job_id, j.name, cast(null as varchar) as owner,
-  c.name as category, nullif(j.description, 'No description available.') as description, j.enabled
-from fx_jobs j join fx_categories c on c.category_id = j.category_id"""),
+        "job_inventory": w(["fx_jobs", "fx_categories", "fx_principals"], """select j.server_id, j.job_id, j.name, p.name as owner,
+  c.name as category, nullif(j.description, 'No description available.') as description, j.enabled,
+  j.start_step_id, j.delete_level, j.date_created, j.date_modified, j.version_number
+from fx_jobs j join fx_categories c on c.category_id = j.category_id
+left join fx_principals p on p.server_id = j.server_id and p.owner_sid = j.owner_sid"""),
         "step_inventory": w(["fx_job_steps", "fx_jobs"], """select st.server_id, j.job_id, st.step_id, st.step_name, st.subsystem,
-  st.output_file_name from fx_job_steps st join fx_jobs j on j.server_id = st.server_id and j.job_key = st.job_key"""),
+  left(st.command, 1000) as command, st.cmdexec_success_code, st.on_success_action, st.on_success_step_id, st.on_fail_action, st.on_fail_step_id,
+  st.server, st.database_name, st.database_user_name, st.retry_attempts, st.retry_interval, st.output_file_name, st.proxy_id from fx_job_steps st join fx_jobs j on j.server_id = st.server_id and j.job_key = st.job_key"""),
         "snapshot_retention": duckdb_with(ACTIVITY_VIEWS) + ", " + ACTIVITY + """select * from activity
 where cast((select max(ts) from events) as date) - cast(snap_time_stamp as date) < 14""",
         "disk_space": w(["fx_volumes", "fx_volume_bounds"], """select v.server_id, v.name as volume_name,
@@ -184,16 +199,7 @@ where st.output_file_name is not null
         "xe_waits": w(["fx_xe_events"], f"select * from fx_xe_events where {WAITS}"),
         "xe_events": w(["fx_xe_events"], f"select * from fx_xe_events where ({WAITS}) or event_name in ('blocked_process_report', 'xml_deadlock_report')"),
         "alert_match": duckdb_with(["fx_xe_events"]) + ", " + ALERTS + "select * from matches",
-        "alert_throttle": duckdb_with(["fx_xe_events"]).replace("with ", "with recursive ", 1) + ", " + ALERTS + """,
-fires(server_id, alert_name, fire_ts) as (
-  select server_id, alert_name, min(ts) from matches group by server_id, alert_name
-  union all
-  select f.server_id, f.alert_name, (select min(m.ts) from matches m where m.server_id = f.server_id
-    and m.alert_name = f.alert_name and m.ts >= f.fire_ts + interval 3600 second)
-  from fires f where f.fire_ts is not null)
-select m.event_id, m.server_id, m.alert_name, m.ts from fires f
-join (select *, row_number() over (partition by server_id, alert_name, ts order by event_id) as rn from matches) m
-  on m.server_id = f.server_id and m.alert_name = f.alert_name and m.ts = f.fire_ts and m.rn = 1""",
+        "alert_throttle": duckdb_with(["fx_xe_events"]).replace("with ", "with recursive ", 1) + ", " + ALERTS + THROTTLE.format(matches="matches"),
         "activity_rollup": duckdb_with(ACTIVITY_VIEWS) + ", " + ACTIVITY + """select server_id,
   time_bucket(interval '15 minutes', snap_time_stamp) as window_start,
   time_bucket(interval '15 minutes', snap_time_stamp) + interval '15 minutes' as window_end,
@@ -206,4 +212,100 @@ from activity group by server_id, time_bucket(interval '15 minutes', snap_time_s
   count(*) as n_samples, avg(value) as avg_value, min(value) as min_value, max(value) as max_value
 from fx_perf_samples group by 1, 2, 3, 4, 5"""),
     }
+    out.update(_per_server())
+    out.update(_versioned())
+    out["volume_inventory"] = w(["fx_volume_inventory", "fx_servers"], """select s.server_id, v.name, v.label, v.capacity, v.free_space, v.drive_type
+from fx_volume_inventory v join fx_servers s on s.machine_name = v.node where v.drive_type = 3""")
+    out["eligibility_many_patterns"] = w(["fx_databases", "fx_registry", "fx_like_exclusions"], """select d.server_id, r.policy_no, d.name as db_name
+from fx_databases d join fx_registry r on not r.is_server_level and r.is_active and (not r.online_only or d.state = 0)
+where not exists (select 1 from fx_like_exclusions x where x.policy_no = r.policy_no and d.name ilike replace(x.pattern, '[_]', '$_') escape '$')""")
+    listed = O._policy_ctes([20], ["fx_like_exclusions"]).replace(f"excl as ({O.exclusion_values()})", "excl as (select * from fx_like_exclusions)")
+    out["pol_20_listed"] = listed + "select server_id, policy_no, db_name, stmt_no, message from elig"
+    out["alert_throttle_hot"] = duckdb_with(["fx_alert_matches"]).replace("with ", "with recursive ", 1) + THROTTLE.format(matches="fx_alert_matches")
+    out["activity_rollup_dense"] = w(["fx_activity"], """select server_id, time_bucket(interval '15 minutes', snap_time_stamp) as window_start,
+  time_bucket(interval '15 minutes', snap_time_stamp) + interval '15 minutes' as window_end,
+  count(*) as n_requests, cast(sum(duration_sec) as bigint) as sum_duration_sec, max(duration_sec) as max_duration_sec
+from fx_activity group by 1, 2, 3""")
+    out["counter_rollup"] = w(["fx_counter_samples"], COUNTER_ROLLUP)
     return out
+
+
+# the collected counters, each as a pattern of its paths
+COUNTER_ROLLUP = r""", wanted as (select * from (values
+  (1, '^\\memory\\pages/sec$'), (2, '^\\system\\processor queue length$'), (3, '^\\processor\([^)]+\)\\% processor time$'),
+  (4, '^\\memory\\available mbytes$'), (5, '^\\network interface\\bytes total/sec$'), (6, '^\\physicaldisk\(_total\)\\% disk time$'),
+  (7, '^\\physicaldisk\(_total\)\\avg\. disk queue length$'), (8, '^\\(mssql\$[^:]+|sqlserver):buffer manager\\buffer cache hit ratio$'),
+  (9, '^\\(mssql\$[^:]+|sqlserver):buffer manager\\page life expectancy$'), (10, '^\\(mssql\$[^:]+|sqlserver):databases\(_total\)\\transactions/sec$'),
+  (11, '^\\(mssql\$[^:]+|sqlserver):general statistics\\user connections$'), (12, '^\\(mssql\$[^:]+|sqlserver):memory manager\\total server memory \(kb\)$'),
+  (13, '^\\(mssql\$[^:]+|sqlserver):sql statistics\\batch requests/sec$'), (14, '^\\(mssql\$[^:]+|sqlserver):sql statistics\\sql compilations/sec$'),
+  (15, '^\\(mssql\$[^:]+|sqlserver):sql statistics\\sql re-compilations/sec$')) t(counter_no, rx)),
+s as (select c.*, w.counter_no, split_part(c.counter_path, chr(92), 2) as head, split_part(c.counter_path, chr(92), 3) as counter
+  from fx_counter_samples c join wanted w on regexp_matches(lower(c.counter_path), w.rx)),
+p as (select *, split_part(head, '(', 1) as own, nullif(rtrim(split_part(head, '(', 2), ')'), '') as instance from s)
+select server_id, time_bucket(interval '60 seconds', ts) as window_start, counter_no,
+  case when strpos(own, ':') > 0 then 'SQLServer' else 'System' end as collector,
+  case when starts_with(own, 'MSSQL$') then split_part(substr(own, 7), ':', 1) when strpos(own, ':') > 0 then 'MSSQLSERVER' end as sql_instance,
+  case when strpos(own, ':') > 0 then split_part(own, ':', 2) else own end as object, instance, counter,
+  count(*) as n_samples, sum(cast(value as decimal(28,6)))::double / count(value) as avg_value, min(value) as min_value, max(value) as max_value
+from p group by 1, 2, 3, 4, 5, 6, 7, 8"""
+
+# names of settings and the column of O.CFG they become
+SETTINGS = {"pol.allow_sharepoint": "allow_sp", "pol.allowed_max_vlf": "max_vlf", "pol.required_maxdop": "maxdop"}
+
+
+def _per_server() -> dict[str, str]:
+    """Twins over settings of single servers."""
+    own = lambda n: (f"coalesce(max(case when o.name = '{n}' then o.value end), "
+                     f"(select max(value) from fx_config where name = '{n}'))")
+    cfg = ("select s.server_id, " + ", ".join(f"try_cast({own(n)} as integer) as {c}" for n, c in SETTINGS.items())
+           + " from fx_servers s left join fx_server_config o on o.server_id = s.server_id group by s.server_id")
+    out = {}
+    for number, side in ((3, "d"), (16, "s"), (18, "d")):
+        sql = O._policy_ctes([number], ["fx_server_config"]).replace(f"cfg as ({O.CFG})", f"cfg as ({cfg})")
+        out[f"pol_{number:02d}_per_server"] = (sql.replace("cross join cfg c", f"join cfg c on c.server_id = {side}.server_id")
+                                               + "select server_id, policy_no, db_name, stmt_no, message from elig")
+    names = ["pol.allow_sharepoint", "pol.allowed_max_vlf", "pol.required_maxdop", "pol.mirr_safety_level",
+             "pol.mirr_conn_timeout", "pol.mirr_partner_name", "maint.backup_retention_days"]
+    listed = ", ".join(f"('{n}')" for n in names)
+    out["server_settings"] = w(["fx_servers", "fx_server_config", "fx_config"], f"""select s.server_id, n.name,
+  coalesce(o.value, c.value) as value, o.value is not null as is_own
+from fx_servers s cross join (values {listed}) n(name) left join fx_server_config o on o.server_id = s.server_id and o.name = n.name
+left join fx_config c on c.name = n.name where coalesce(o.value, c.value) is not null""")
+    used = "cast(v.capacity - v.free_space as bigint) * 100.0::double / v.capacity"
+    out["disk_space_per_server"] = w(["fx_volumes", "fx_volume_bounds", "fx_server_volume_bounds"], f"""select server_id, volume_name, used_pct, warning_pct, error_pct,
+  case when used_pct >= error_pct then 'ERROR' when used_pct >= warning_pct then 'WARNING' else 'OK' end as status from (
+select v.server_id, v.name as volume_name, {used} as used_pct,
+  cast(case when o.server_id is not null then o.warning_pct else coalesce(b.warning_pct, 80) end as double) as warning_pct,
+  cast(case when o.server_id is not null then o.error_pct else coalesce(b.error_pct, 90) end as double) as error_pct
+from fx_volumes v left join fx_volume_bounds b on upper(b.volume_name) = upper(v.name)
+left join fx_server_volume_bounds o on o.server_id = v.server_id and upper(o.volume_name) = upper(v.name))""")
+    days = "maint.backup_retention_days"
+    out["backup_retention_per_server"] = w(["fx_backup_files", "fx_databases", "fx_retention_overrides", "fx_config", "fx_server_config", "fx_server_retention"],
+                                           f"""select * from (
+select f.server_id, d.name as db_name, f.file_name, f.last_write_time, f.size_bytes,
+  cast(coalesce(r.retention_days, o.retention_days, try_cast(sc.value as integer),
+    try_cast((select max(value) from fx_config where name = '{days}') as integer), 4) as integer) as retention_days
+from fx_backup_files f left join fx_databases d on d.server_id = f.server_id and d.db_key = f.db_key
+left join fx_retention_overrides o on lower(d.name) = lower(o.db_name)
+left join fx_server_retention r on r.server_id = f.server_id and lower(r.db_name) = lower(d.name)
+left join fx_server_config sc on sc.server_id = f.server_id and sc.name = '{days}') x
+where cast(timestamp '{O.AS_OF}' as date) - cast(last_write_time as date) > retention_days""")
+    return out
+
+
+def _versioned() -> dict[str, str]:
+    """Twins of the keys that go through a versioned table."""
+    number = "cast(left(job_id, 8) as integer)"
+    cols = "server_id, job_id, name, enabled, version_number"
+    return {
+        "config_retention": w(["fx_job_history"], f"""select * from fx_job_history where snap_time_stamp <= timestamp '{O.AS_OF}'
+  and cast(timestamp '{O.AS_OF}' as date) - cast(snap_time_stamp as date) < 365"""),
+        "counter_folders": w(["fx_counter_samples"], """select c.* from fx_counter_samples c join (
+  select server_id, day, row_number() over (partition by server_id order by day desc) as n
+  from (select distinct server_id, cast(ts as date) as day from fx_counter_samples)) f
+  on f.server_id = c.server_id and f.day = cast(c.ts as date) and f.n <= 14"""),
+        "upsert_inventory": w(["fx_jobs"], f""", was as (select {cols} from fx_jobs where {number} % 10 <> 3),
+upd as (select server_id, job_id, name || ' (v2)' as name, not enabled as enabled, version_number + 1 as version_number from fx_jobs where {number} % 4 = 3)
+select * from upd union all
+select * from was where not exists (select 1 from upd where upd.server_id = was.server_id and upd.job_id = was.job_id)"""),
+    }

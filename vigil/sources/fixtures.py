@@ -73,14 +73,21 @@ select p_partkey % 50 as server_id, p_partkey as job_key,
  concat(lpad(cast(p_partkey as varchar(8)), 8, '0'), '-1A2B-3C4D-5E6F-0123456789AB') as job_id,
  case when p_partkey < 40 then 'Fleet: Check Database (User DBs)' else concat(p_name, ': ', p_brand, '/', p_partkey) end as name,
  p_size % 2 = 0 as enabled, p_size % 5 as category_id, p_size % 4 as notify_level_email,
- case when p_size % 3 = 0 then 'No description available.' else p_type end as description
+ case when p_size % 3 = 0 then 'No description available.' else p_type end as description,
+ concat('S-', p_partkey % 7) as owner_sid, 1 + p_size % 2 as start_step_id, p_size % 4 as delete_level,
+ timestamp '2015-01-01 00:00:00' + interval '1' hour * cast(p_partkey % 9000 as int) as date_created,
+ timestamp '2016-06-01 00:00:00' + interval '1' minute * cast(p_partkey % 9000 as int) as date_modified, 1 + p_size % 9 as version_number
 from {part}""",
     "fx_job_steps": """
 select p_partkey % 50 as server_id, p_partkey as job_key, 1 as step_id, concat('step ', p_type) as step_name, case when p_partkey % 2 = 0 then 'TSQL' else 'CmdExec' end as subsystem,
- concat('D:/JobLogs/', case when p_partkey % 6 = 0 then 'misc' else replace(replace(j.name, ':', '_'), '/', '_') end, '.txt') as output_file_name
+ concat('D:/JobLogs/', case when p_partkey % 6 = 0 then 'misc' else replace(replace(j.name, ':', '_'), '/', '_') end, '.txt') as output_file_name,
+ concat('execute Fleet.maint.run ', p_partkey, repeat(' -- note', p_size * 5)) as command, 0 as cmdexec_success_code, 1 + p_size % 3 as on_success_action,
+ case when p_size % 3 = 2 then 2 else 0 end as on_success_step_id, 2 as on_fail_action, 0 as on_fail_step_id, case when p_size % 4 = 0 then concat('HOST', p_partkey % 50) end as server,
+ case when p_partkey % 2 = 0 then 'master' end as database_name, case when p_partkey % 8 = 0 then 'dbo' end as database_user_name, p_size % 5 as retry_attempts, p_size % 10 as retry_interval,
+ case when p_partkey % 9 = 0 then p_size end as proxy_id
 from {part} join {fx_jobs} j on j.job_key = p_partkey
 union all
-select p_partkey % 50, p_partkey, 2, concat('step ', p_brand), 'TSQL', null from {part} where p_size % 2 = 1""",
+select p_partkey % 50, p_partkey, 2, concat('step ', p_brand), 'TSQL', null, concat('select ', p_partkey), 0, 1, 0, 2, 0, null, 'msdb', null, 0, 0, null from {part} where p_size % 2 = 1""",
     "fx_sessions": """
 select event_id as session_id, event_id % 50 as server_id, concat('login', user_id % 11) as login_name, event_id % 4 <> 0 as is_user_process,
  case when event_id % 3 = 0 then concat('SQLAgent - TSQL JobStep (Job 0x', substr(lpad(cast(event_id % 250 as varchar(8)), 8, '0'), 7, 2), substr(lpad(cast(event_id % 250 as varchar(8)), 8, '0'), 5, 2), '00002B1A4D3C5E6F0123456789AB : Step ', 1 + event_id % 2, ')') else concat('app', event_id % 7) end as program_name from {events}""",
@@ -88,7 +95,10 @@ select event_id as session_id, event_id % 50 as server_id, concat('login', user_
 select event_id as session_id, 1 as request_id, event_id % 50 as server_id, cast(1 + event_id % 12 as int) as database_id, ts as start_time,
  ts + interval 5 minute as snap_ts, case when event_id % 13 = 0 then null else upper(event_type) end as command,
  case event_id % 6 when 0 then 'BROKER_RECEIVE_WAITFOR' when 1 then 'LCK_M_S' when 2 then null else 'CXPACKET' end as wait_type,
- concat('select ', event_id) as sql_text from {events}""",
+ concat('select ', event_id) as sql_text,
+ case event_id % 5 when 0 then 'suspended' when 1 then 'running' else 'runnable' end as status,
+ case event_id % 4 when 0 then 'PAGEIOLATCH_SH' when 1 then 'LCK_M_S' else 'MISCELLANEOUS' end as last_wait_type,
+ cast(event_id % 9000 as int) as wait_time from {events}""",
     "fx_volumes": """
 select s_suppkey as server_id, v as volume_no, concat(case v when 1 then 'C' when 2 then 'D' else 'E' end, ':/') as name, 107374182400 as capacity,
  (s_suppkey * 7919 + v * 104729) % 1000 * 107374182 as free_space from {supplier} cross join (values (1), (2), (3)) t(v)""",
@@ -122,6 +132,57 @@ from {customer} cross join (values ('engine'), ('agent')) t(k)""",
 select c_custkey as server_id, n as name, c_custkey % 4 = 0 as is_disabled, c_custkey % 5 = 0 as is_expiration_checked, c_custkey % 7 = 0 as is_policy_checked from {customer} cross join (values ('sa'), ('app')) t(n)""",
     "fx_volume_bounds": """
 select * from (values ('C:/',80.00,90.00),('D:/',85.00,95.00),('X:/',95.00,60.00)) t(volume_name, warning_pct, error_pct)""",
+    # settings of single servers, ahead of the fleet's
+    "fx_server_config": """
+select c_custkey as server_id, 'pol.required_maxdop' as name, cast(c_custkey % 4 as varchar(8)) as value from {customer} where c_custkey % 3 = 0
+union all select c_custkey, 'pol.allowed_max_vlf', cast(40 + c_custkey % 41 as varchar(8)) from {customer} where c_custkey % 7 = 0
+union all select c_custkey, 'pol.allow_sharepoint', case when c_custkey % 10 = 0 then '0' else 'yes' end from {customer} where c_custkey % 5 = 0
+union all select c_custkey, 'maint.backup_retention_days', cast(400 + c_custkey % 900 as varchar(8)) from {customer} where c_custkey % 4 = 0""",
+    "fx_server_volume_bounds": """
+select s_suppkey as server_id, 'c:/' as volume_name, 30.00 as warning_pct, 50.00 as error_pct from {supplier} where s_suppkey % 4 = 0
+union all select s_suppkey, 'E:/', 60.00, 70.00 from {supplier} where s_suppkey % 3 = 0""",
+    "fx_server_retention": """
+select o_custkey as server_id, concat('db_', o_orderkey) as db_name, cast(1 + o_orderkey % 1500 as int) as retention_days from {orders} where o_orderkey % 13 = 0""",
+    # an exclusion list of many names and patterns
+    "fx_like_exclusions": """
+select case p_partkey % 4 when 0 then 3 when 1 then 4 when 2 then 9 else 18 end as policy_no,
+ case p_partkey % 9 when 0 then concat('DB[_]', p_partkey, '%') when 1 then concat('%', p_partkey) when 2 then concat('d__', p_partkey, '_')
+  when 3 then concat('%[_]', p_partkey % 100, '_7%') when 4 then concat('db_', p_partkey) when 5 then concat('%5', p_partkey % 10, '%9_')
+  when 6 then concat('DB[_]', p_partkey * 7) when 7 then concat('D%', p_partkey % 1000, '%') else concat('_b[_]', p_partkey, '_') end as pattern
+from {part}
+union all select 3, concat('DB_', o_orderkey) from {orders} where o_orderkey % 22 = 0
+union all select 9, 'm%' from {part} where p_partkey = 1 union all select 18, '________' from {part} where p_partkey = 1""",
+    "fx_volume_inventory": """
+select concat('HOST', s_suppkey) as node, concat(case v when 1 then 'C' when 2 then 'D' when 3 then 'E' else 'F' end, ':', chr(92)) as name,
+ case when (s_suppkey + v) % 3 = 0 then null else concat('Label <', s_suppkey % 10, '> & ', v) end as label,
+ case when v = 4 then null else 107374182400 end as capacity, case when v = 4 then null else (s_suppkey * 7919 + v * 104729) % 1000 * 107374182 end as free_space,
+ case when v = 4 then 5 when (s_suppkey + v) % 5 = 0 then 2 else 3 end as drive_type from {supplier} cross join (values (1), (2), (3), (4)) t(v)""",
+    # counters inside and outside the collected set, several samples a window
+    "fx_counter_samples": """
+select event_id, user_id % 2 as server_id, date_trunc('day', ts) + interval '5' second * cast(event_id % 24 as int) as ts, value,
+ replace(case event_id % 23 when 0 then '~Memory~Pages/sec' when 1 then '~System~Processor Queue Length' when 2 then '~Processor(0)~% Processor Time'
+  when 3 then '~Processor(_Total)~% Processor Time' when 4 then '~Memory~Available MBytes' when 5 then '~Network Interface~Bytes Total/sec'
+  when 6 then '~Network Interface(eth0)~Bytes Total/sec' when 7 then '~PhysicalDisk(_Total)~% Disk Time' when 8 then '~PhysicalDisk(0 C:)~% Disk Time'
+  when 9 then '~physicaldisk(_total)~avg. disk queue length' when 10 then '~MSSQL$INST1:Buffer Manager~Buffer cache hit ratio' when 11 then '~SQLServer:Buffer Manager~Page life expectancy'
+  when 12 then '~MSSQL$INST1:Databases(_Total)~Transactions/sec' when 13 then '~MSSQL$INST1:Databases(tempdb)~Transactions/sec' when 14 then '~SQLServer:General Statistics~User Connections'
+  when 15 then '~MSSQL$INST2:Memory Manager~Total Server Memory (KB)' when 16 then '~MSSQL$INST1:SQL Statistics~Batch Requests/sec' when 17 then '~MSSQL$INST2:SQL Statistics~SQL Compilations/sec'
+  when 18 then '~MSSQL$INST2:SQL Statistics~SQL Re-Compilations/sec' when 19 then '~Processor~% Processor Time' when 20 then '~Buffer Manager~Page life expectancy'
+  when 21 then '~MSSQL$INST1:Memory~Pages/sec' else 'Memory~Pages/sec' end, '~', chr(92)) as counter_path from {events}""",
+    # alerts that repeat within their delay; one of them holds most rows
+    "fx_alert_matches": """
+select event_id, case when event_id % 10 < 9 then 1 else user_id % 5 end as server_id, case when event_id % 10 < 9 then 'Fleet TX Log Full' else 'Fleet Severity 21 Errors' end as alert_name,
+ timestamp '2024-01-01 00:00:00' + interval '1' second * cast((event_id * 7919) % 900000 - (event_id * 7919) % 900000 % 30 as int) as ts from {events}""",
+    # requests of few servers at few moments
+    "fx_activity": """
+select user_id % 3 as server_id, date_trunc('day', ts) + interval '5' minute * cast(event_id % 6 as int) as snap_time_stamp,
+ cast(event_id % 400 as bigint) as duration_sec from {events}""",
+    # a year and more of configuration snapshots
+    "fx_job_history": """
+select o_orderdate + interval '1' hour * cast(o_orderkey % 24 as int) as snap_time_stamp, o_custkey as server_id, o_orderkey as job_key,
+ concat('job ', o_orderpriority) as name, o_orderkey % 3 <> 0 as enabled from {orders}""",
+    "fx_principals": """
+select distinct p_partkey % 50 as server_id, concat('S-', p_partkey % 7) as owner_sid, concat('CORP', chr(92), 'owner', p_partkey % 7) as name
+from {part} where p_partkey % 7 <> 6""",
     "fx_retention_overrides": """
 select * from (values ('DB_4',10),('db_7',1),('GONE_DB',3)) t(db_name, retention_days)""",
 }
