@@ -327,7 +327,7 @@ def brute_lines(rows):
         for i, line in enumerate((t or "").split("\n")):
             norm = line.strip(" \t\r\x0b\x0c").lower()
             if norm:
-                sets[norm] = {m.group(1) for m in re.finditer(r"(?s)(?<!\S)(?=(\S.{0,15}))", norm)}
+                sets[norm] = {norm[j:j + 5] for j in range(max(1, len(norm) - 4))}
                 places.append((d is not None, d or 0, i, d, norm))
     keys = sorted(sets)
     links = [(a, b) for a in keys for b in keys if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -345,6 +345,10 @@ def test_line_dedup_equals_brute_force(spark):
     changed = long.replace(long.split()[20], "zzz", 1)
     rows = [(1, f"{prose(9)}\n{long}\n\n{prose(8)}"), (2, f"{changed}\n  {long.upper()}\t\nend"), (3, "end\nEND \n" + prose(5)),
             (4, None), (5, ""), (None, f"end\n{prose(6)}"), (6, "é ü\né  ü\n" + prose(2000)), (7, "\n\n")]
+    # lines that word starts alone would judge otherwise: one word changed of 19, two URLs with one opening
+    nineteen = random.choices(WORDS, k=19)
+    rows += [(20, " ".join(nineteen) + "\nhttps://example.com/some/path/first"),
+             (21, " ".join(nineteen[:9] + ["qqqqqq"] + nineteen[10:]) + "\nhttps://example.com/some/other-page")]
     out = {d: list(r) for d, r in lines.removed_lines(frame(spark, rows)).join(
         lines.document_lines(frame(spark, rows)).select("doc", "doc_id").distinct(), "doc").select("doc_id", "removed").collect()}
     assert out == brute_lines(rows)
@@ -357,6 +361,25 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_beside_columns_of_its_own_names(spark):
+    df = frame(spark, [(1, "one line\ntwo"), (2, "one line\nthree")]).withColumns(
+        {c: F.lit(7) for c in ("removed", "doc", "pos", "norm", "bucket", "vertex", "_key", "_doc")})
+    out = lines.dedup_lines(df)
+    assert out.columns == df.columns and {(r.doc_id, r.text, r.removed) for r in out.collect()} == {(1, "one line\ntwo", 7), (2, "three", 7)}
+
+
+def test_lines_in_pieces_have_the_same_sets(monkeypatch):
+    import pyarrow as pa
+    some = ["abcd", "abcde", "é", "xé" * 90, prose(60), "a" * 200, prose(30), "ab", prose(5)]
+    whole = lines.signatures(pa.array(some), 90), lines._distinct(pa.array(some))
+    alone = [lines.signatures(pa.array([x]), 90)[0] for x in some]
+    monkeypatch.setattr(lines, "PIECE", 64)
+    assert (lines.signatures(pa.array(some), 90) == whole[0]).all() and (lines._distinct(pa.array(some)) == whole[1]).all()
+    assert (whole[0] == np.array(alone)).all()
+    sizes = np.bincount((whole[1] >> np.uint64(52)).astype(int))
+    assert sizes.tolist() == [len({x[j:j + 5] for j in range(max(1, len(x) - 4))}) for x in some]
+
+
 def gone_lines(spark, rows):
     out = lines.removed_lines(frame(spark, rows)).join(lines.document_lines(frame(spark, rows)).select("doc", "doc_id").distinct(), "doc")
     return {d: list(r) for d, r in out.select("doc_id", "removed").collect()}
