@@ -426,6 +426,29 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_the_sample_is_what_the_mix_plans(spark):
+    df = frame(spark, ROWS)  # has columns named size and target of its own
+    plan, rows = mixing.mix(df).collect(), mixing.sample(df).collect()
+    taken, texts = Counter(), defaultdict(set)
+    for d, t in ROWS:
+        texts[d].add(t)
+    for r in rows:
+        taken[r.doc_id, r.size] += r.taken
+        assert len(WORD.findall(r.text)) == r.taken > 0 and r.n_chars == len(r.text)
+        whole = [t for t in texts[r.doc_id] if t and len(WORD.findall(t)) == r.size]
+        assert r.text in whole if r.taken == r.size else any(WORD.findall(t)[:r.taken] == r.text.split(" ") for t in whole)
+        assert r.key == "k" and r.score == 5.0 and r.copy in (1, 2, 3)
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.size] += r.taken
+    assert taken == +want and sum(r.taken < r.size for r in rows) <= 4
+    assert got(mixing.sample(df.repartition(5)), "doc_id", "text", "taken") == got(mixing.sample(df), "doc_id", "text", "taken")
+    assert mixing.sample(empty(spark)).count() == 0
+
+
 def test_water_filling_equals_iteration(spark):
     sizes = {"a": 5, "b": 700, "c": 40, "d": 0, "e": 90, None: 300}
     df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
@@ -459,9 +482,13 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
             assert {r.doc_id for r in out.collect()} == kept
         counts.append(out.count())
         docs = out
-    assert counts[0] < 200 and counts[1] == counts[0] and counts[3] < counts[2] and counts[4] == counts[3]
+    assert counts[0] < 200 and counts[1] == counts[0] and counts[3] < counts[2]
     rows = docs.collect()
-    assert sum(r.taken for r in rows) == pytest.approx(1.5 * sum(r.size for r in rows), abs=20)
+    assert docs.columns[:len(columns)] == columns and all(len(WORD.findall(r.text)) == r.taken for r in rows)
+    by_source = {r.source: r for r in rows}
+    for s, r in by_source.items():
+        assert sum(x.taken for x in rows if x.source == s) == pytest.approx(r.target, abs=1)
+    assert sum(r.taken for r in rows) == pytest.approx(1.5 * sum(r.source_size for r in by_source.values()), abs=20)
 
 
 def test_near_dedup_stage_keeps_one_row_of_each_group(spark):

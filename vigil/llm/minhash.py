@@ -297,6 +297,24 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, threshold: int
                       F.coalesce("links", F.lit(0)).cast("long").alias("links"), "row", "component")
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, a null
+    one last, and of the smallest key of (doc_id, text) if the doc_id stands on several texts; of
+    rows equal in both, the smallest.  Texts without words are in no group and stay.
+    """
+    found = near_duplicates(docs, **options).filter("n_shingles > 0").select("component", "doc_id", "row")
+    rows = written(found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("times")), "near-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    first = rows.groupBy("component").agg(F.min(place)["row"].alias("_first"))
+    rows = rows.join(first, "component")
+    gone = rows.filter("row != _first").select(F.col("row").alias("_gone"))
+    twice = rows.filter("row = _first and times > 1").select(F.col("row").alias("_twice"))
+    left = docs.withColumn("_row", row_key()).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    one = left.join(twice, F.col("_row") == F.col("_twice"), "left_semi").groupBy("_row").agg(
+        F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_one")).select("_one.*")
+    return left.join(twice, F.col("_row") == F.col("_twice"), "left_anti").drop("_row").unionByName(one)
+
+
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
     """Four-word shingles, as the query's contract fixes them."""
     return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=4).drop("links", "row", "component")

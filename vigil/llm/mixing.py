@@ -5,6 +5,8 @@ Targets: sources share ``share`` times all words by weight; a source is clamped
 target is above its clamp.  In closed form the water level is the largest of
 ``(T - caps before) / (weights from here)`` along the sources sorted by cap / weight.
 
+``mix`` plans the words that each document gives, ``sample`` makes the rows.
+
 Repetitions: a source with target ``f`` times its words takes every document
 ``floor(f)`` times and fills the rest, in a seeded order of its documents, up to the
 target's nearest whole word; the one document on that border is taken in part.
@@ -83,6 +85,35 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
                         *[F.col("_carry")[c].alias(c) for c in carry]))
 
 
+#: columns that ``sample`` adds
+ADDED = ("size", "source_size", "target", "copy", "taken")
+
+
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row for each repetition of a document, with the columns of ``docs`` and
+    ``ADDED``.  copy counts a document's repetitions from 1; taken is the number of words in the
+    row's text.  Whole repetitions keep their text; of the one document of a source that is taken
+    in part, the last repetition has its first words, joined by blanks.  Documents of which nothing
+    is taken are not in the mix.  A column of ``docs`` named like an added one is replaced.
+    """
+    own = [c for c in docs.columns if c not in ADDED]
+    packed = docs.select("doc_id", "source", "text", F.struct(*own).alias("_row"))
+    rows = mix(packed, carry=("_row",), **options).drop("doc_id", "source")
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
+    rest = F.col("taken") - whole * F.col("size")
+    rows = rows.withColumn("_takes", F.concat(F.array_repeat(F.col("size"), whole.cast("int")),
+                                              F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>"))))
+    rows = rows.drop("taken").select("*", F.posexplode("_takes").alias("_n", "taken"))
+    cut = F.col("taken") < F.col("size")
+    text = F.col("_row.text")
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), F.lit(1), F.col("taken").cast("int")), " ")
+    out = {"text": F.when(cut, part).otherwise(text)}
+    if "n_chars" in own:
+        out["n_chars"] = F.when(cut, F.length(part).cast("long")).otherwise(F.col("_row.n_chars"))
+    return rows.select(*[out.get(c, F.col("_row")[c]).alias(c) for c in own], "size", "source_size", "target",
+                       (F.col("_n") + 1).alias("copy"), "taken")
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """Every document with the words the mix takes of it."""
     return mix(table(spark, sf_dir, "documents")).drop("source")
