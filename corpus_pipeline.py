@@ -5,44 +5,35 @@ target weights.  Each stage reads what the stage before it wrote."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate, lines, minhash, mixing, toxicity
 from vigil.llm.common import table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; null and empty texts are scored as stated in ``toxicity``."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fuzzy repeats of lines go, documents stay; see ``lines.removed_lines`` for awkward rows."""
     return lines.dedup_lines(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays: that of the smallest doc_id, a null one
-    last, and of the smallest key of (doc_id, text) if the doc_id stands on several texts; of
-    rows equal in both, the smallest.  Texts without words are in no group and stay.
-    """
-    found = minhash.near_duplicates(docs).filter("n_shingles > 0").select("component", "doc_id", "row")
-    rows = written(found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("times")), "near-rows")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    first = rows.groupBy("component").agg(F.min(place)["row"].alias("_first"))
-    rows = rows.join(first, "component")
-    gone = rows.filter("row != _first").select(F.col("row").alias("_gone"))
-    twice = rows.filter("row = _first and times > 1").select(F.col("row").alias("_twice"))
-    left = docs.withColumn("_row", minhash.row_key()).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
-    one = left.join(twice, F.col("_row") == F.col("_twice"), "left_semi").groupBy("_row").agg(
-        F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_one")).select("_one.*")
-    return left.join(twice, F.col("_row") == F.col("_twice"), "left_anti").drop("_row").unionByName(one)
+    """One row of each group of near duplicates stays, by the rule of ``minhash.one_of_each``."""
+    return minhash.one_of_each(docs)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; null ids and empty texts stay."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, carry=("text", "lang"))
+    """The mix of what is left: whole and partial repetitions with the columns of ``docs`` and those
+    of ``mixing.sample``; awkward rows as stated there and in ``mixing.mix``."""
+    return mixing.sample(docs)
 
 
 STAGES = [
