@@ -319,6 +319,57 @@ def test_decontamination_finds_items_and_paraphrases(spark):
     assert decontaminate.matches(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_paraphrases_become_candidates_and_the_check_decides(spark):
+    """Items of the given benchmark with words replaced, answer kept, inside other texts."""
+    import pyarrow as pa
+    from vigil.llm.common import utf8, words
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    idf = decontaminate.inverse_frequency(docs)
+    items = sorted((r.item_id, r.text) for r in bench.collect())
+    search = decontaminate.Retrieval(items, idf, decontaminate.latent_basis(docs, idf))
+    plain = [r.text.split() for r in docs.filter("n_chars > 500 and lang = 'en'").orderBy("doc_id").limit(300).collect()]
+    rng, pool = random.Random(5), [w for t in plain[:100] for w in t]
+    for keep in (0.75, 0.7, 0.65, 0.6):
+        texts = []
+        for k, (_, t) in enumerate(items):
+            w = t.split()
+            for j in rng.sample(range(len(w) - 3), min(len(w) - 3, round(len(w) * (1 - keep)))):
+                w[j] = rng.choice(pool)
+            host = plain[100 + k % 200]
+            cut = rng.randrange(len(host))
+            texts.append(" ".join(host[:cut] + w + host[cut:]))
+        h, counts = words(*utf8(pa.array(texts)))
+        found = {d for d, _, i in search.candidates(h, counts) if d == i}
+        assert len(found) >= 0.9 * len(items), keep
+
+
+def test_decontamination_equals_a_check_of_every_passage(spark):
+    import pyarrow as pa
+    from vigil.llm.common import utf8, words
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(250).collect()
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").limit(12)
+    item_rows = [(r.item_id, r.text) for r in items.collect()]
+    some = [(r.doc_id, r.text) for r in rows if len(r.text or "") < 5000]
+    rng = random.Random(8)
+    for k, (_, t) in enumerate(item_rows):  # exact and changed items inside other texts
+        w = t.split()
+        w[len(w) // 3] = rng.choice(WORDS)
+        some.append((10_000 + k, prose(20) + " " + " ".join(w) + " " + prose(9)))
+        some.append((20_000 + k, t))
+    search = decontaminate.Retrieval(item_rows, np.ones(decontaminate.VOCABULARY, np.float32), np.zeros((decontaminate.VOCABULARY, 1), np.float32))
+    want = set()
+    for d, t in some:
+        h, counts = words(*utf8(pa.array([t or ""])))
+        for first in decontaminate.passages(counts)[1].tolist():
+            for j, (i, _) in enumerate(item_rows):
+                lcs, answer = search.check(h, first, j)
+                size = len(search.words[j])
+                if lcs >= decontaminate.COVER * size or (answer and lcs >= decontaminate.PARAPHRASE * size):
+                    want.add((d, i))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(frame(spark, some), items).collect()}
+    assert found == want and len(want) >= 24
+
+
 # ------------------------------------------------------------------ 9
 
 def brute_lines(rows):
