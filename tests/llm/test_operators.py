@@ -207,6 +207,75 @@ def test_licences_by_ordered_sentences(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+
+
+@pytest.mark.parametrize("first, each, last", [("", "", ""), ("", "# ", ""), ("/*\n", " * ", " */"), ("", "// ", "\ncode();"), ("<!--\n", "  ", "-->"), ("prose before\n\n", "", "\n\nprose after")])
+def test_wrapped_and_commented_licence_texts(spark, first, each, last):
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-2.0-or-later": GPL.format("", ";", 2), "GPL-3.0-or-later": GPL.format("", ",", 3),
+             "LGPL-3.0-or-later": GPL.format("Lesser ", ",", 3), "AGPL-3.0-or-later": GPL.format("Affero ", ",", 3), "BSD-2-Clause": BSD.format(""),
+             "BSD-3-Clause": BSD.format(ENDORSE), "ISC": ISC, "MPL-2.0": MPL, "Unlicense": UNLICENSE,
+             "LGPL-2.1-or-later": GPL.format("Lesser ", ";", "2.1").replace("program", "library")}
+    rows = [(i, first + "\n".join((each + x).rstrip() for x in t.split("\n")) + last) for i, t in enumerate(texts.values())]
+    found = {r.doc_id: r.licences for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [found[i] for i in range(len(texts))] == list(texts)
+
+
 def test_token_counts_equal_the_unigram_tokenizer(spark):
     tokenizers = pytest.importorskip("tokenizers")
     v = tokens.vocabulary(f"{tokens.TOKENIZERS}/{tokens.MODEL}")
