@@ -491,10 +491,10 @@ def test_line_dedup_beside_columns_of_its_own_names(spark):
 def test_lines_in_pieces_have_the_same_sets(monkeypatch):
     import pyarrow as pa
     some = ["abcd", "abcde", "é", "xé" * 90, prose(60), "a" * 200, prose(30), "ab", prose(5)]
-    whole = lines.signatures(pa.array(some), 90), lines._distinct(pa.array(some))
-    alone = [lines.signatures(pa.array([x]), 90)[0] for x in some]
+    whole = lines.signatures(pa.array(some), 144), lines._distinct(pa.array(some))
+    alone = [lines.signatures(pa.array([x]), 144)[0] for x in some]
     monkeypatch.setattr(lines, "PIECE", 64)
-    assert (lines.signatures(pa.array(some), 90) == whole[0]).all() and (lines._distinct(pa.array(some)) == whole[1]).all()
+    assert (lines.signatures(pa.array(some), 144) == whole[0]).all() and (lines._distinct(pa.array(some)) == whole[1]).all()
     assert (whole[0] == np.array(alone)).all()
     sizes = np.bincount((whole[1] >> np.uint64(52)).astype(int))
     assert sizes.tolist() == [len({x[j:j + 5] for j in range(max(1, len(x) - 4))}) for x in some]
