@@ -1,14 +1,17 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 Both dictionaries share what zstandard learns from ordinary training windows, its entropy
-tables and segments.  The toxic one ends with the words that toxic training texts use far more
-often than ordinary ones; the ordinary one ends with as many zero bytes, so that offsets agree
-and the compressed lengths of a window differ only by what toxic wording saves.  Each text is
+tables and segments.  The toxic one ends with words whose stems toxic training texts use far more
+often than ordinary ones; the ordinary one ends with the same words, their stems overwritten by
+zero bytes, so that offsets agree and the compressed lengths of a window differ only by what
+toxic stems save.  A stem is the
+beginning of words, so that all inflections of a rare word count together.  Each text is
 cut, whole, into windows at white space; the differences of its windows are pooled and a
 logistic threshold, fitted on labelled rows kept apart from the dictionaries, gives the score.
 
 Learning takes at most ``TRAIN_ROWS`` labelled documents of at most ``TRAIN_CHARS``
-characters, the first ones in a hash order.
+characters, the shared part at most ``SHARED_TEXTS`` ordinary ones of them and
+``SHARED_WINDOWS`` windows, each time the first ones in a hash order.
 """
 
 from __future__ import annotations
@@ -28,11 +31,18 @@ from vigil.llm.quality import remainder
 
 TRAIN_ROWS = 8000
 TRAIN_CHARS = 50_000
-WINDOW = 1024
+WINDOW = 256
 DICTIONARY = 8192
 LEVEL = 12
-TAIL = 512
-#: a word joins the toxic dictionary with a z value over MIN_Z and over SHARE of the largest
+#: ordinary texts and windows of them that the shared part is learnt from
+SHARED_TEXTS, SHARED_WINDOWS = 2000, 20_000
+TAIL = 4096
+#: bytes of a stem, and of a part of it that compression may find elsewhere
+MATCH = 5
+STEM = range(4, 13)
+#: the part of a stem's words that have its whole length
+KEEP = 0.9
+#: a stem joins the toxic dictionary with a z value over MIN_Z and over SHARE of the largest
 MIN_Z, SHARE = 4.0, 0.5
 REJECT = 0.5
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]{3,}")
@@ -51,18 +61,12 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
     return out or [b""]
 
 
-def _counts(texts: list[str]) -> tuple[Counter, Counter]:
-    """In how many texts a word occurs, and after how many different words.  Words are numbered
-    and a pair is one integer, so that the driver holds eight bytes a pair."""
-    docs: Counter = Counter()
-    number, pairs = {b"": 0}, [np.zeros(0, np.int64)]
-    for t in texts:
-        w = _WORD.findall(t.lower().encode("utf-8", "replace"))
-        docs.update(set(w))
-        k = np.fromiter((number.setdefault(x, len(number)) for x in [b""] + w), np.int64, len(w) + 1)
-        pairs.append(np.unique((k[:-1] << 32) | k[1:]))
-    after = np.bincount(np.unique(np.concatenate(pairs)) & 0xFFFFFFFF, minlength=len(number))
-    return docs, Counter({w: int(n) for w, n in zip(number, after) if n})
+def _words(text: str) -> list[bytes]:
+    return _WORD.findall(text.lower().encode("utf-8", "replace"))
+
+
+def _stems(word: bytes) -> list[bytes]:
+    return [word[:k] for k in STEM if k <= len(word)]
 
 
 def _z(a: int, n: int, b: int, m: int) -> float:
@@ -70,30 +74,97 @@ def _z(a: int, n: int, b: int, m: int) -> float:
     return (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
 
 
-def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words typical of toxic texts, the most typical first.  Both the number of texts and the
-    number of different words before count, so that copies of one text do not."""
-    (d1, c1), (d0, c0) = _counts(toxic), _counts(ordinary)
-    n1, n0, m1, m0 = len(toxic), len(ordinary), max(1, sum(c1.values())), max(1, sum(c0.values()))
-    z = sorted(((-min(_z(d1[w], n1, d0[w], n0), _z(c1[w], m1, c0[w], m0)), w) for w in d1 if d1[w] > 2))
-    return [w for s, w in z if -s >= max(MIN_Z, -SHARE * z[0][0])]
+def toxic_stems(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Stems typical of toxic texts, the most typical first, none the beginning of another.
+
+    A stem counts as often as toxic texts have it, but at most once for each different word
+    before it, so that copies of one text do not count.  Only stems that toxic texts have are
+    counted in ordinary ones.
+    """
+    texts: Counter = Counter()
+    for t in toxic:
+        texts.update({s for w in set(_words(t)) for s in _stems(w)})
+    known = {s for s, k in texts.items() if k > 2}
+    before: dict[bytes, set[bytes]] = {s: set() for s in known}
+    for t in toxic:
+        last = b""
+        for w in _words(t):
+            for s in _stems(w):
+                if s in known:
+                    before[s].add(last)
+            last = w
+    often = {s: min(texts[s], len(before[s])) for s in known}
+    del texts, before
+    known = {s for s, k in often.items() if k > 2}
+    common: Counter = Counter()
+    for t in ordinary:
+        common.update({s for w in set(_words(t)) for s in _stems(w)} & known)
+    def z_values(stems) -> dict[bytes, float]:
+        return {s: float(_z(often[s], len(toxic), common[s], len(ordinary))) for s in stems}
+    z = z_values(known)
+    least = max(MIN_Z, SHARE * max(z.values(), default=0.0))
+    # compression also finds a part of a stem inside ordinary words: the part that they have most counts
+    known = {s for s in known if z[s] >= least}
+    raw = [t.lower().encode("utf-8", "replace") for t in ordinary]
+    parts = {s: {s[i:i + MATCH] for i in range(max(1, len(s) - MATCH + 1))} for s in known}
+    inside = {x: sum(x in t for t in raw) for x in set().union(*parts.values())}
+    common.update({s: max(inside[x] for x in parts[s]) - common[s] for s in known})
+    z = z_values(known)
+    out: list[bytes] = []
+    for s in sorted((s for s in known if z[s] >= least), key=lambda s: (-z[s], len(s), s)):
+        if not any(s.startswith(o) or o.startswith(s) for o in out):
+            out.append(s)
+    return out
+
+
+def toxic_words(toxic: list[str], ordinary: list[str], size: int) -> list[tuple[bytes, int]]:
+    """Words of toxic texts that begin with a toxic stem, each with its stem's length, at most
+    ``size`` bytes with a blank each: the most frequent one of each stem, then the next ones."""
+    stems = toxic_stems(toxic, ordinary)
+    counts: dict[bytes, Counter] = {s: Counter() for s in stems}
+    sizes = sorted({len(s) for s in stems})
+    for t in toxic:
+        for w in _words(t):
+            for k in sizes:
+                if w[:k] in counts:
+                    counts[w[:k]][w] += 1
+    ranked = [[w for w, _ in sorted(counts[s].items(), key=lambda x: (-x[1], x[0]))] for s in stems]
+    # a stem reaches as far as KEEP of its words agree
+    reach = []
+    for s in stems:
+        k, n = len(s), sum(counts[s].values())
+        while True:
+            longer = Counter()
+            for w, c in counts[s].items():
+                longer[w[:k + 1]] += c
+            best, c = longer.most_common(1)[0]
+            if len(best) == k or c < KEEP * n:
+                break
+            k += 1
+        reach.append(k)
+    out, left = [], size
+    for place in range(max(map(len, ranked), default=0)):
+        for words, k in zip(ranked, reach):
+            if place < len(words) and len(words[place]) < left:
+                out.append((words[place], k))
+                left -= len(words[place]) + 1
+    return out
 
 
 class Distance:
     """The two dictionaries; picklable, the compressors are made where they are used."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
-        samples = [w for t in ordinary[:2000] for w in windows(t, 256)][:20_000]
-        tail = b""
-        for w in toxic_words(toxic, ordinary) if toxic and ordinary else []:
-            if len(tail) + len(w) + 1 <= TAIL:
-                tail = b" " + w + tail
+        samples = [w for t in ordinary[:SHARED_TEXTS] for w in windows(t, 256)][:SHARED_WINDOWS]
+        tail = plain = b""
+        for w, k in toxic_words(toxic, ordinary, TAIL) if toxic and ordinary else []:
+            tail, plain = b" " + w + tail, b" " + bytes(min(k, len(w))) + w[k:] + plain
         try:
             base, self.kind = zs.train_dictionary(DICTIONARY, samples, k=50, d=8, level=LEVEL).as_bytes(), zs.DICT_TYPE_FULLDICT
         except zs.ZstdError:  # too few samples for entropy tables
             base, self.kind = b" ".join(samples)[-DICTIONARY:].rjust(TAIL + 8, b"\0"), zs.DICT_TYPE_RAWCONTENT
         head = base[:len(base) - len(tail)]
-        self.toxic, self.ordinary = head + tail, head + bytes(len(tail))
+        self.toxic, self.ordinary = head + tail, head + plain
 
     def _compressor(self, data: bytes):
         d = zs.ZstdCompressionDict(data, dict_type=self.kind)
@@ -122,7 +193,7 @@ class Distance:
 
 
 class Toxicity:
-    """Dictionaries and the calibrated threshold, learnt from (doc_id, text, label) rows."""
+    """Dictionaries and the calibrated threshold, learnt from (doc_id, text, label) rows in a hash order."""
 
     def __init__(self, rows):
         held = [zlib.crc32(b"calibrate|%d" % r[0]) % 3 == 0 for r in rows]
@@ -163,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, train_rows: int = TRAIN_RO
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text"))
     rows = (own.filter(F.length("_text") <= TRAIN_CHARS).join(F.broadcast(wanted), "_id")  # at most train_rows ids
                .select("_id", "_text", "_label").collect())
-    return Toxicity(sorted(tuple(r) for r in rows))
+    return Toxicity(sorted((tuple(r) for r in rows), key=lambda r: (zlib.crc32(b"%d" % r[0]), r)))
 
 
 def scored(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:
