@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.session import materialize, ship_package
+from vigil.session import materialize, scratch_dir, ship_package
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -40,6 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared checkpoint folder."""
+    return scratch_dir(spark, f"llm-{name}")
+
+
+def forget(spark: SparkSession, name: str) -> None:
+    """Delete what this run has written to ``scratch_path``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -145,6 +156,19 @@ def word_spans(piece: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def first_by_hash(df: DataFrame, by: str, limit: int, total: int | None = None) -> DataFrame:
+    """At most ``limit`` rows of ``df``, those of the smallest ``xxhash64(by)`` (equal ones in the
+    order of all columns).  Where there are many more, a threshold on the hash, from the number of
+    rows, leaves about twice the limit before anything is sorted, so that no partition sends rows
+    that cannot be among the first.  ``total`` is the number of rows where it is known, or a bound
+    of it (then fewer may be left)."""
+    rows = df.withColumn("_order", F.xxhash64(by))
+    total = df.count() if total is None else total
+    if total > 8 * limit:
+        rows = rows.filter(F.col("_order") < int(-(1 << 63) + (1 << 64) * (2 * limit + 100) / total))
+    return rows.orderBy("_order", *df.columns).limit(limit).drop("_order")
+
+
 def seed_hash(*columns):
     """A stable hex order of rows for seeded choices (the same in any SQL engine)."""
     return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, _LOWER, blocks, mix64, prepare, range_hash, table, text_or_empty, utf8, written
+from vigil.llm.common import U64, _LOWER, blocks, first_by_hash, mix64, prepare, range_hash, table, text_or_empty, utf8, written
 
 VOCABULARY = 1 << 14
 DIMS = 32
@@ -205,9 +205,8 @@ def training_rows(features: DataFrame, labels: DataFrame, label: str, usable, li
     """At most ``limit`` labelled rows as (features, labels): the first in a hash order."""
     known = labels.filter(F.col(label).isNotNull() & usable).select(
         F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label"))
-    rows = (features.join(known, F.col("doc_id") == F.col("_id"))
-                    .select(F.xxhash64("doc_id").alias("o"), "doc_id", "_label", "features")
-                    .orderBy("o", "doc_id", "_label", "features").limit(limit).collect())
+    labelled = features.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "features")
+    rows = first_by_hash(labelled, "doc_id", limit).collect()
     x = np.stack([np.frombuffer(bytes(r.features), np.float32) for r in rows]) if rows else np.zeros((0, 1), np.float32)
     return x.astype(np.float64), np.array([r._label for r in rows], dtype=np.float64)
 

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import U64, mix64, prepare, range_hash, table, text_or_empty, utf8, written
+from vigil.llm.common import (U64, forget, mix64, prepare, range_hash, scratch_path, table, text_or_empty, utf8,
+                              written)
 
 LENGTH, GRAM = 200, 32
 RUN = 256
@@ -407,17 +408,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     tid, tid2 = F.xxhash64("text").alias("tid"), F.xxhash64(F.lit(1), "text").alias("tid2")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"vigil_texts_{uuid.uuid4().hex}"
-    (own.filter(F.octet_length("text") >= LENGTH).select(tid, tid2, "text").repartition(parts, "tid")
-        .groupBy("tid", "tid2").agg(F.first("text").alias("text"), F.count("*").alias("w"))
-        .write.option("compression", "zstd").bucketBy(parts, "tid").saveAsTable(name))
-    texts = spark.table(name)
-    grams = written(selected_grams(texts), "grams")
-    often = grams.groupBy("key").agg(F.sum("w").alias("m")).filter("m > 1").select("key")
-    keys = grams.join(often, "key").groupBy("tid").agg(F.collect_set("key").alias("keys"))
-    pieces = written(cut_pieces(texts.join(keys, "tid")), "pieces")
-    runs = repeated_runs(pieces).groupBy("tid", "tid2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    lost = written(_without(texts.join(runs, ["tid", "tid2"])), "spans")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        # the files lie in the shared folder, wherever the warehouse is
+        (own.filter(F.octet_length("text") >= LENGTH).select(tid, tid2, "text").repartition(parts, "tid")
+            .groupBy("tid", "tid2").agg(F.first("text").alias("text"), F.count("*").alias("w"))
+            .write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(parts, "tid").saveAsTable(name))
+        texts = spark.table(name)
+        grams = written(selected_grams(texts), "grams")
+        often = grams.groupBy("key").agg(F.sum("w").alias("m")).filter("m > 1").select("key")
+        keys = grams.join(often, "key").groupBy("tid").agg(F.collect_set("key").alias("keys"))
+        pieces = written(cut_pieces(texts.join(keys, "tid")), "pieces")
+        runs = repeated_runs(pieces).groupBy("tid", "tid2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+        lost = written(_without(texts.join(runs, ["tid", "tid2"])), "spans")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        forget(spark, name)
     rows = own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), tid, tid2)
     return rows.join(lost, ["tid", "tid2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

@@ -26,7 +26,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import prepare, table, text_or_empty
+from vigil.llm.common import first_by_hash, prepare, table, text_or_empty
 from vigil.llm.quality import remainder
 
 TRAIN_ROWS = 8000
@@ -226,10 +226,8 @@ class Toxicity:
 def train(docs: DataFrame, labels: DataFrame, usable, train_rows: int = TRAIN_ROWS) -> Toxicity:
     known = labels.filter(F.col("toxic").isNotNull() & usable).select(
         F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_label"))
-    chosen = (known.join(docs.select(F.col("doc_id").cast("long").alias("_id"))
-                             .filter(F.length(text_or_empty()) <= TRAIN_CHARS).distinct(), "_id")
-                   .orderBy(F.xxhash64("_id"), "_id", "_label").limit(train_rows))
-    ids = [tuple(r) for r in chosen.collect()]
+    usable_ids = docs.filter(F.length(text_or_empty()) <= TRAIN_CHARS).select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    ids = [tuple(r) for r in first_by_hash(known.join(usable_ids, "_id").select("_id", "_label"), "_id", train_rows, known.count()).collect()]
     wanted = docs.sparkSession.createDataFrame(ids, "_id long, _label int")
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text"))
     rows = (own.filter(F.length("_text") <= TRAIN_CHARS).join(F.broadcast(wanted), "_id")  # at most train_rows ids
