@@ -111,3 +111,32 @@ def test_event_files_roll_by_bytes(spark):
     assert sink.read().distinct().count() == made
     body = json.loads(sink.table.folder.text(f"versions/{v.number:08d}.json"))
     assert body["facts"]["batch"] == 5
+
+
+def test_snapshot_tables_have_their_columns_and_retention(spark):
+    from conftest import SMALL
+    from vigil.operators import snapshots as snap
+    from vigil.sources.tables import FleetInputs
+    i = FleetInputs(spark, SMALL)
+    jobs = snap.job_inventory(i.fx("jobs"), i.fx("categories"), i.fx("principals"))
+    steps = snap.step_inventory(i.fx("job_steps"), i.fx("jobs"))
+    req = i.fx("requests")
+    activity = snap.activity_snapshot(req.drop("sql_text"), i.fx("sessions"), req.select("server_id", "session_id", "request_id", "sql_text"),
+                                      i.fx("jobs"), i.fx("job_steps"), i.fx("databases"))
+    days = [dt.datetime(2023, 3, 1, 22), dt.datetime(2023, 3, 20, 22), dt.datetime(2024, 3, 18, 22)]
+    for name, rows in (("msdb_dbo_sysjobs", jobs), ("msdb_dbo_sysjobsteps", steps)):
+        t = _table(spark, name)
+        for day in days:
+            ret.store_snapshot(t, name, rows, day)
+        assert t.read().count() == 3 * rows.count() and t.read().columns[0] == "snap_time_stamp"
+        v = ret.expire_snapshots(t, name, days[2])  # 365 days: the first snapshot goes, the second is of the same month
+        got = {r.snap_time_stamp: r["count"] for r in t.read(v).groupBy("snap_time_stamp").count().collect()}
+        assert got == {day: rows.count() for day in days[1:]}
+    assert len(t.read().columns) == 19
+    with pytest.raises(Exception, match="owner"):
+        ret.store_snapshot(_table(spark), "msdb_dbo_sysjobs", jobs.drop("owner"), days[0])
+    t = _table(spark, "active_user_requests")
+    ret.store_snapshot(t, "active_user_requests", activity)
+    last = activity.agg(F.max("snap_time_stamp")).first()[0]
+    want = snap.retained(activity, "snap_time_stamp", 14, F.lit(last).cast("timestamp_ntz"))
+    assert t.read(ret.expire_snapshots(t, "active_user_requests", last)).count() == want.count() < activity.count() == t.read(t.version(1)).count()

@@ -11,13 +11,30 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.text import boundary_days
 from vigil.operators.registry import upsert
-from vigil.operators.snapshots import PERF_RETENTION_FOLDERS
+from vigil.operators.snapshots import ACTIVITY_RETENTION_DAYS, CONFIG_RETENTION_DAYS, PERF_RETENTION_FOLDERS
 from vigil.sources.versions import Version, VersionedTable
 
 KEY_BUCKETS = 32
+# The snapshot tables, their columns and how many days they are kept.
+SNAPSHOTS = {
+    "active_user_requests": (
+        "snap_time_stamp timestamp, server_id long, session_id long, request_id int, login_name string, program_name string, "
+        "dbname string, start_time timestamp, duration_sec long, command string, status string, last_wait_type string, "
+        "wait_time int, sql_text string", ACTIVITY_RETENTION_DAYS),
+    "msdb_dbo_sysjobs": (
+        "snap_time_stamp timestamp, server_id long, job_id string, name string, owner string, category string, "
+        "description string, enabled boolean, start_step_id int, delete_level int, date_created timestamp, "
+        "date_modified timestamp, version_number int", CONFIG_RETENTION_DAYS),
+    "msdb_dbo_sysjobsteps": (
+        "snap_time_stamp timestamp, server_id long, job_id string, step_id int, step_name string, subsystem string, "
+        "command string, cmdexec_success_code int, on_success_action int, on_success_step_id int, on_fail_action int, "
+        "on_fail_step_id int, server string, database_name string, database_user_name string, retry_attempts int, "
+        "retry_interval int, output_file_name string, proxy_id int", CONFIG_RETENTION_DAYS),
+}
 
 
 def month_part(ts_col: str) -> Column:
@@ -25,19 +42,41 @@ def month_part(ts_col: str) -> Column:
 
 
 def expire_rows(table: VersionedTable, ts_col: str, days: int, as_of: dt.datetime) -> Version:
-    """C4 on a table whose parts are months of ``ts_col``: rows of the last ``days`` calendar days
-    up to ``as_of`` stay.  Whole months before the cut are left out by name; the one month through
-    which the cut goes is written again; later months are not read."""
+    """C4 on a table whose parts are months of ``ts_col`` (named by year and month, and whatever
+    follows): rows of the last ``days`` calendar days up to ``as_of`` stay.  Whole months before the
+    cut are left out by name; the one month through which the cut goes is written again; later
+    months are not read."""
     base = table.current()
     first_kept = as_of.date() - dt.timedelta(days=days - 1)
     cut = f"{first_kept:%Y-%m}"
-    changed: dict[str, str | None] = {p: None for p in base.parts if p < cut}
-    if cut in base.parts and first_kept.day > 1:
-        kept = table.read(base, [cut]).filter(boundary_days(F.col(ts_col), F.lit(as_of).cast("timestamp_ntz")) < days)
-        changed |= {cut: None} | table.write(kept, month_part(ts_col))
+    changed: dict[str, str | None] = {p: None for p in base.parts if p[:7] < cut}
+    through = [p for p in base.parts if p[:7] == cut]
+    if through and first_kept.day > 1:
+        kept = table.read(base, through).filter(boundary_days(F.col(ts_col), F.lit(as_of).cast("timestamp_ntz")) < days)
+        changed |= dict.fromkeys(through) | table.write(kept, month_part(ts_col))
     return table.publish(base, changed, retained_from=str(first_kept))
 
 
+def store_snapshot(table: VersionedTable, name: str, rows: DataFrame, taken_at: dt.datetime | None = None) -> Version:
+    """Append a collection's rows to the snapshot table ``name`` as new parts of their months.
+
+    The table has the columns of ``SNAPSHOTS``; a column that ``rows`` lacks is an error.
+    ``taken_at`` is the time of the snapshot where the collection does not carry it itself.
+    """
+    schema = T.StructType.fromDDL(SNAPSHOTS[name][0])
+    if taken_at is not None:
+        rows = rows.withColumn("snap_time_stamp", F.lit(taken_at))
+    rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    base = table.current()
+    new = table.write(rows, month_part("snap_time_stamp"))
+    return table.publish(base, {f"{month}-{base.number + 1:08d}": path for month, path in new.items()}, schema)
+
+
+def expire_snapshots(table: VersionedTable, name: str, as_of: dt.datetime) -> Version:
+    """C4: what the snapshot table ``name`` keeps on ``as_of``."""
+    return expire_rows(table, "snap_time_stamp", SNAPSHOTS[name][1], as_of)
+
+
 def newest_folders(df: DataFrame, folder: Column, by: str = "server_id", most: int = PERF_RETENTION_FOLDERS) -> DataFrame:
     """Rows in the newest ``most`` folders of each server.  Folders are numbered after they have
     been reduced to one row each, so a server with many samples is no hot window."""

@@ -159,8 +159,10 @@ from fx_jobs j where j.notify_level_email not in (2, 3)""",
   cast(null as integer) as db_state,
   1 as stmt_no, p.log_order, p.log_date, p.message
 from (select server_id, log_order, log_date, left(strftime(log_date, '%Y-%m-%d %H:%M:%S') || ' ' || text, 250) as message,
-  try_cast(trim(case when text ilike '% for db %:%' then regexp_extract(text, '(?is)^.*? for db ([^:]*):', 1)
-    when text ilike '% in database [%] (%). %' then regexp_extract(text, '(?is) in database \\[[^(]*\\(([^)]*)\\)', 1)
+  try_cast(trim(case when text ilike '% for db %:%'
+      then split_part(substr(text, strpos(lower(text), ' for db ') + 8), ':', 1)
+    when text ilike '% in database [%] (%). %'
+      then split_part(split_part(substr(text, strpos(lower(text), ' in database [') + 14), '(', 2), ')', 1)
     else '0' end) as integer) as db_id
   from fx_error_log where log_order in (0, 1) and text is not null
     and (text ilike 'FlushCache: % for db %:%' or text ilike '% I/O requests taking longer than 15 seconds %')) p
