@@ -197,7 +197,9 @@ where st.output_file_name is not null
       <> lower(translate(j.name, '.\\/:*?<>|', '_________'))"""),
         "volume_scan": w(["fx_volumes"], "select server_id, cast(volume_no as integer) as volume_no, name, capacity, free_space from fx_volumes"),
         "xe_waits": w(["fx_xe_events"], f"select * from fx_xe_events where {WAITS}"),
-        "xe_events": w(["fx_xe_events"], f"select * from fx_xe_events where ({WAITS}) or event_name in ('blocked_process_report', 'xml_deadlock_report')"),
+        "xe_events": w(["fx_xe_events"], "select * replace (" + ", ".join(
+            f"case when event_name = 'wait_info' then {c} end as {c}" for c in ("client_app_name", "client_hostname", "database_name", "sql_text", "username"))
+            + f") from fx_xe_events where ({WAITS}) or event_name in ('blocked_process_report', 'xml_deadlock_report')"),
         "alert_match": duckdb_with(["fx_xe_events"]) + ", " + ALERTS + "select * from matches",
         "alert_throttle": duckdb_with(["fx_xe_events"]).replace("with ", "with recursive ", 1) + ", " + ALERTS + THROTTLE.format(matches="matches"),
         "activity_rollup": duckdb_with(ACTIVITY_VIEWS) + ", " + ACTIVITY + """select server_id,

@@ -66,7 +66,9 @@ select event_id, user_id as server_id, ts,
  cast(event_id % 97 as int) as session_id, cast(floor(value * 1000) as bigint) as duration_ms,
  case event_id % 8 when 0 then 'CXPACKET' when 1 then 'BROKER_EVENTHANDLER' when 2 then 'BROKER_TRANSMITTER' when 3 then 'LCK_M_S' when 4 then 'PAGEIOLATCH_SH' when 5 then 'WRITELOG' when 6 then 'DBMIRRORING_CMD' else 'LCK_M_X' end as wait_type,
  case event_id % 40 when 0 then 1105 when 1 then 9002 when 2 then 608 else 17000 end as message_id,
- case when event_id % 60 = 7 then 21 else 16 end as severity
+ case when event_id % 60 = 7 then 21 else 16 end as severity,
+ concat('app', event_id % 7) as client_app_name, concat('HOST', user_id) as client_hostname, concat('DB_', event_id % 40) as database_name,
+ concat('select ', event_id) as sql_text, concat('login', user_id % 11) as username
 from {events}""",
     "fx_jobs": """
 select p_partkey % 50 as server_id, p_partkey as job_key,

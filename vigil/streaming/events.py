@@ -23,6 +23,8 @@ WAIT_TYPES_IGNORED = ("BROKER_EVENTHANDLER", "BROKER_RECEIVE_WAITFOR", "DBMIRROR
 # the 2012 event session keys the same six waits by number
 WAIT_KEYS_IGNORED_2012 = (178, 121, 122, 173, 191, 144)
 PASS_THROUGH_EVENTS = ("blocked_process_report", "xml_deadlock_report")
+# what the session adds to a wait event, and to no other
+WAIT_ACTIONS = ("client_app_name", "client_hostname", "database_name", "sql_text", "username")
 DISPATCH_LATENCY = "30 seconds"
 # (name suffix, message id, severity); 0 = not used
 ALERT_RULES = (("Filegroup Overflow", 1105, 0), ("TX Log Full", 9002, 0),
@@ -48,8 +50,10 @@ def wait_filter(events: DataFrame, ignored=WAIT_TYPES_IGNORED, key: str = "wait_
 
 def session_filter(events: DataFrame, ignored=WAIT_TYPES_IGNORED, key: str = "wait_type") -> DataFrame:
     """ST1 + ST2: what the event session keeps -- filtered waits plus every blocked
-    process and deadlock report.  One filter, evaluated before any shuffle."""
-    return events.filter(_long_waits(ignored, key) | F.col("event_name").isin(list(PASS_THROUGH_EVENTS)))
+    process and deadlock report.  One filter, evaluated before any shuffle.  Only waits carry
+    the session's actions (client, database, statement, login)."""
+    kept = events.filter(_long_waits(ignored, key) | F.col("event_name").isin(list(PASS_THROUGH_EVENTS)))
+    return kept.withColumns({c: F.when(F.col("event_name") == "wait_info", F.col(c)) for c in WAIT_ACTIONS if c in kept.columns})
 
 
 def alert_rules(maint_db: str) -> list[tuple[str, int, int]]:
