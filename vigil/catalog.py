@@ -38,8 +38,7 @@ _INPUTS: dict[tuple, FleetInputs] = {}
 
 
 def inputs(spark: SparkSession, data_dir: str) -> FleetInputs:
-    """One input catalog per (session, folder): plans are reused, nothing is cached
-    beyond what ``FleetInputs`` persists."""
+    """One input catalog per (session, folder): plans are reused, nothing is cached."""
     key = (id(spark), spark.sparkContext.applicationId, data_dir)
     if key not in _INPUTS:
         _INPUTS[key] = FleetInputs(spark, data_dir)

@@ -1,31 +1,22 @@
 """Input catalog: driver tables and the fixture views built on them.
 
-``FleetInputs`` hands out DataFrames only; nothing is read until an action runs,
-so Catalyst prunes columns and pushes filters into each parquet scan.
+``FleetInputs`` hands out DataFrames only; nothing is read until an action runs and
+nothing is cached, so Catalyst prunes columns and pushes filters into each parquet scan.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.sources.fixtures import FIXTURE_SQL, references
 
 
-# Fixture views that are derived with a shuffle (window / join) and read by many
-# policy branches; persisted so one run computes each once.  Spark's cache is
-# keyed by plan, so later runs over the same data reuse it; lost blocks are
-# recomputed from lineage.
-SHARED_VIEWS = ("fx_databases",)
-
-
 class FleetInputs:
-    def __init__(self, spark: SparkSession, data_dir: str, share: bool = True):
+    def __init__(self, spark: SparkSession, data_dir: str):
         self.spark = spark
         self.data_dir = data_dir
-        self.share = share
         self._frames: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -41,10 +32,7 @@ class FleetInputs:
             name = "fx_" + name
         if name not in self._frames:
             args = {r: (self.fx(r) if r in FIXTURE_SQL else self.table(r)) for r in references(name)}
-            df = self.spark.sql(FIXTURE_SQL[name], **args)
-            if self.share and name in SHARED_VIEWS:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._frames[name] = df
+            self._frames[name] = self.spark.sql(FIXTURE_SQL[name], **args)
         return self._frames[name]
 
     def __getattr__(self, item: str) -> DataFrame:
