@@ -49,11 +49,11 @@ class Folder:
         return out
 
     def text(self, name: str) -> str:
-        with_close = self._fs.open(self._path(name))
+        stream = self._fs.open(self._path(name))
         try:
-            return bytes(with_close.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode()
         finally:
-            with_close.close()
+            stream.close()
 
     def put_once(self, name: str, text: str) -> bool:
         """Write a file that appears whole or not at all; False if there is one already."""

@@ -20,7 +20,6 @@ from vigil.sources.versions import VersionedTable
 MAX_FILE_BYTES = 5 * 1024 * 1024  # fixed value: 5 MB
 #: a file is full from this share of the limit on
 FULL = 0.85
-LANE = "_lane"
 #: attempts to split a file whose rows are larger than those before
 SPLITS = 6
 
@@ -37,7 +36,7 @@ class EventFiles:
                       .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
     def _write(self, df: DataFrame, rows_a_file: int) -> dict[str, tuple[int, int]]:
-        """Write one lane's rows, in order of arrival; bytes and rows of each file."""
+        """Write the rows, each lane by one task; bytes and rows of each file."""
         name = f"data/{uuid.uuid4().hex}"
         lane = F.pmod(F.xxhash64(self.by), F.lit(self.lanes))
         (df.repartition(self.lanes, lane).write.option("maxRecordsPerFile", max(1, rows_a_file))
@@ -71,12 +70,11 @@ class EventFiles:
                 files |= self._write(again, int(rows * self.limit * (1 + FULL) / 2 / size))
         # of the files of a batch those that are not full stay open
         opened = [p for p, (size, _) in files.items() if size < FULL * self.limit]
-        total, rows = (sum(v[i] for v in files.values()) for i in (0, 1))
-        # small files carry more overhead a row; take the figure of the fullest one
+        # small files carry more overhead a row; take the figure of the fullest one, and aim between FULL and the limit
         best = max(files.values(), default=None)
         rate = best[0] / best[1] / ((1 + FULL) / 2) if best and best[1] else a_row
         changed: dict[str, str | None] = dict.fromkeys(unfilled) | {p: p for p in files}
-        self.table.publish(base, changed, df.schema, batch=n, open=opened, bytes_a_row=rate, last_bytes=total, last_rows=rows)
+        self.table.publish(base, changed, df.schema, batch=n, open=opened, bytes_a_row=rate)
 
     def files(self) -> dict[str, int]:
         """Bytes of each file of the current version."""
