@@ -274,3 +274,14 @@ def test_redaction_replaces_the_spans(spark, network):
     d = docs(spark, rows).select("doc_id", "text")
     out = credentials.find_secrets(d, network).join(d, "doc_id").withColumn("clean", credentials.redacted(F.coalesce("text", F.lit("")), F.col("findings")))
     assert {r.doc_id: r.clean for r in out.collect()} == {1: "é [assign] end", 2: "nothing", 3: "[access]", 4: ""}
+
+
+# ------------------------------------------------------------------ shared pieces
+
+def test_first_rows_by_hash_are_the_same_with_and_without_a_threshold(spark):
+    from vigil.llm.common import first_by_hash
+    df = spark.range(20_000).withColumn("v", F.col("id") % 3)
+    want = [r.id for r in df.orderBy(F.xxhash64("id")).limit(500).collect()]
+    for total in (None, 20_000, 1):  # with 1 the threshold is left out
+        assert [r.id for r in first_by_hash(df, "id", 500, total).collect()] == want
+    assert first_by_hash(df.limit(3), "id", 500).count() == 3 and first_by_hash(df.limit(0), "id", 5).count() == 0
