@@ -6,12 +6,15 @@ Everything here works on one Arrow batch (or one document) inside a task.
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.session import materialize, scratch_dir, ship_package
+from vigil.session import scratch_dir, ship_package
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -35,9 +38,39 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+_SCOPES: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder (cuts the lineage)."""
-    return materialize(df, f"llm-{name}")
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are ``written`` inside go at the end, also after a failure, but for the one that
+    the caller's ``keep`` names last: everything else that the caller returns must come from it."""
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        kept.append(made[-1])
+        return out
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        for path in made:
+            if path not in kept:
+                delete_path(spark, path)
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,7 +80,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def forget(spark: SparkSession, name: str) -> None:
     """Delete what this run has written to ``scratch_path``."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+    delete_path(spark, scratch_path(spark, name))
+
+
+def delete_path(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
