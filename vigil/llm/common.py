@@ -196,13 +196,14 @@ def word_spans(piece: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def first_by_hash(df: DataFrame, by: str, limit: int, total: int | None = None) -> DataFrame:
     """At most ``limit`` rows of ``df``, those of the smallest ``xxhash64(by)`` (equal ones in the
     order of all columns).  Where there are many more, a threshold on the hash, from the number of
-    rows, leaves about twice the limit before anything is sorted, so that no partition sends rows
+    rows, leaves little more than the limit before anything is sorted, so that no partition sends rows
     that cannot be among the first.  ``total`` is the number of rows where it is known, or a bound
     of it (then fewer may be left)."""
     rows = df.withColumn("_order", F.xxhash64(by))
     total = df.count() if total is None else total
-    if total > 8 * limit:
-        rows = rows.filter(F.col("_order") < int(-(1 << 63) + (1 << 64) * (2 * limit + 100) / total))
+    enough = limit + 12 * int(limit ** 0.5) + 100  # the number left varies by its square root
+    if total > enough:
+        rows = rows.filter(F.col("_order") < int(-(1 << 63) + (1 << 64) * enough / total))
     return rows.orderBy("_order", *df.columns).limit(limit).drop("_order")
 
 
