@@ -4,6 +4,7 @@ import datetime as dt
 import re
 import tempfile
 import time
+from functools import reduce
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -95,6 +96,17 @@ def test_many_patterns_have_no_join_on_the_policy_alone(spark):
     assert joined and sum(key.startswith("policy_no") and "," not in key for key in joined) <= 1
 
 
+def test_names_meet_few_of_many_patterns(spark):
+    n = spark.range(2000).withColumn("id", F.col("id").cast("string"))
+    forms = ["concat('DB[_]', id, '%')", "concat('db_', id)", "concat('d__', id, '_')", "concat('%', id)", "concat('%x', id, '%y')", "concat('_b[_]', id)"]
+    p = reduce(lambda a, b: a.unionByName(b), [n.select(F.expr(f + " as pattern")) for f in forms])
+    names = n.select(F.concat(F.lit("DB_"), "id").alias("name"))
+    pairs = joins.name_keys(names, joins.pattern_keys(p)).join(joins.pattern_keys(p), "key")
+    # an index of first characters or of three-character pieces pairs hundreds of patterns with a name
+    assert pairs.count() < 20 * 2000
+    assert joins.pattern_keys(p).filter("key is null").count() == 0
+
+
 def test_report_evaluates_its_policies_once(spark):
     plan = _plan(rpt.policy_report(CheckContext(FleetInputs(spark, SMALL))))
     exchanges = [line for line in plan.split("\n") if "_bucket" in line and "Exchange" in line and "REPARTITION" in line]
