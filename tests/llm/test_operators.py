@@ -412,6 +412,16 @@ def test_paraphrases_become_candidates_and_the_check_decides(spark):
         assert len(found) >= 0.9 * len(items), keep
 
 
+def test_basis_is_fitted_on_every_passage(spark):
+    import pyarrow as pa
+    from vigil.llm.common import utf8, words
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(150)]
+    d = frame(spark, list(enumerate(texts)))
+    basis = decontaminate.latent_basis(d, decontaminate.inverse_frequency(d))
+    used = np.unique(decontaminate.buckets(words(*utf8(pa.array(texts)))[0]))
+    assert (np.abs(basis[used]).max(axis=1) > 0).all()
+
+
 def test_decontamination_equals_a_check_of_every_passage(spark):
     import pyarrow as pa
     from vigil.llm.common import utf8, words

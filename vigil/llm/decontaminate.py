@@ -27,8 +27,6 @@ VOCABULARY = 1 << 14
 RANK = 64
 PASSAGE, STRIDE = 16, 4
 ITEM_STRIDE = 4
-#: the basis is fitted on the passages whose first word's hash is a multiple of this
-FIT_EVERY = 4
 KNOWN_BITS = 22
 COVER, PARAPHRASE, ANSWER = 0.8, 0.6, 3
 COSINE, GATE, SHARED = PARAPHRASE - 0.05, PARAPHRASE - 0.2, PARAPHRASE - 0.25
@@ -104,31 +102,30 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
 
 
 def latent_basis(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """[VOCABULARY, RANK] orthonormal basis of a randomised SVD of passages without overlap, a fixed share
-    of all of them (the documented sample for fitting the index; every passage is searched)."""
+    """[VOCABULARY, RANK] orthonormal basis of a randomised SVD of all passages without overlap, so
+    that every word of every text takes part (the last passage of a text may repeat some)."""
     rng = np.random.default_rng(17)
-    random = rng.standard_normal((VOCABULARY, RANK), dtype=np.float32)
+    # the last row stands for no word, behind the end of a short passage
+    weight = np.append(idf, np.float32(0))
+    random = rng.standard_normal((VOCABULARY, RANK), dtype=np.float32) * idf[:, None]
+    random = np.concatenate((random, np.zeros((1, RANK), np.float32)))
 
     def add(total, h, counts):
         ids = buckets(h)
-        doc, first, length = passages(counts, PASSAGE)
-        fit = (h[first] % U64(FIT_EVERY) == 0) if len(h) else np.zeros(0, bool)
-        doc, first, length = doc[fit], first[fit], length[fit]
-        for lo in range(0, len(doc), 1024):
-            at, inside = _grid(first[lo:lo + 1024], length[lo:lo + 1024], len(ids))
-            g = ids[at]
-            w = _weights(g, inside, idf)
-            z = np.matmul(w[:, None, :], random[g])[:, 0]
-            use = np.flatnonzero(w.ravel())
-            if not len(use):
-                continue
-            flat = g.ravel()[use].astype(np.uint16)
-            use = use[np.argsort(flat, kind="stable")]
-            fs = g.ravel()[use]
-            cuts = np.flatnonzero(np.concatenate(([True], fs[1:] != fs[:-1])))
-            rows = z[use // PASSAGE]
-            rows *= w.ravel()[use][:, None]
-            total[fs[cuts]] += np.add.reduceat(rows, cuts, axis=0)
+        _, first, length = passages(counts, PASSAGE)
+        for lo in range(0, len(first), 8192):
+            at, inside = _grid(first[lo:lo + 8192], length[lo:lo + 8192], len(ids))
+            g = np.ascontiguousarray(np.where(inside, ids[at], VOCABULARY).T)
+            # a weight is idf / norm: the sum first, then the norm once a passage and idf once a word
+            z, row = np.zeros((g.shape[1], RANK), np.float32), np.empty((g.shape[1], RANK), np.float32)
+            square = np.zeros(g.shape[1])
+            for words_at in g:
+                z += np.take(random, words_at, axis=0, out=row, mode="clip")
+                square += np.square(weight[words_at], dtype=np.float64)
+            z = np.ascontiguousarray((z / np.maximum(square, 1e-18)[:, None]).T)
+            flat = g.ravel()
+            for r in range(RANK):
+                total[:, r] += idf * np.bincount(flat, np.tile(z[r], PASSAGE), VOCABULARY + 1)[:VOCABULARY]
     y = _summed(docs, RANK, add)
     q, _ = np.linalg.qr(y)
     return q.astype(np.float32)
