@@ -285,3 +285,17 @@ def test_first_rows_by_hash_are_the_same_with_and_without_a_threshold(spark):
     for total in (None, 20_000, 1):  # with 1 the threshold is left out
         assert [r.id for r in first_by_hash(df, "id", 500, total).collect()] == want
     assert first_by_hash(df.limit(3), "id", 500).count() == 3 and first_by_hash(df.limit(0), "id", 5).count() == 0
+
+
+def test_learning_takes_every_candidate_in_shares(spark, monkeypatch):
+    rows = [(i, f"see /var/lib/{hashlib.md5(b'%d' % i).hexdigest()}/x{i}" if i % 2 else f"by ordinary_name_of_a_thing_{i} and") for i in range(4000)]
+    found = credentials.candidates(docs(spark, rows + rows[:50]))
+    assert Counter(r.label for r in found.collect()) == Counter({0: 2000, 1: 2000})  # more than the bound of each label before
+    monkeypatch.setattr(credentials, "SHARE", 2000)
+    net = credentials.train(docs(spark, rows))
+    assert net.step > 0
+    examples = credentials.generated(160, [], seed=78)
+    cut = [credentials.window(np.frombuffer(a + c + b, np.uint8), len(a), len(a) + min(len(c), credentials.SPAN)) for a, c, b, _ in examples]
+    p = net.probability(np.stack([c for c, _ in cut]), np.array([n for _, n in cut], dtype=np.float32)) >= net.threshold
+    y = np.array([e[3] for e in examples]) == 1
+    assert p[y].mean() > 0.8 and p[~y].mean() < 0.2

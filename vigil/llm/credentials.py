@@ -3,9 +3,10 @@
 A candidate is a run of at least ``LEAST`` characters ``[A-Za-z0-9+/_.=-]``.  The network (numpy)
 reads it in windows, so that all of a long run is seen, with ``BEFORE`` bytes before and
 ``AFTER`` bytes after: embedded bytes, one convolution, maxima and means inside the candidate and
-maxima before it, two dense layers.  It learns from labelled findings: candidates of a bounded
-sample of the corpus, labelled by the fixed rules, and seeded examples of published key formats
-and of look-alikes, set between the corpus candidates' surroundings.  Temperature and offset are
+maxima before it, two dense layers.  It learns from labelled findings: every distinct candidate of
+the corpus, labelled by the fixed rules, and seeded examples of published key formats
+and of look-alikes, set between surroundings of the corpus.  Tasks train on their shares, and the
+networks are averaged after each epoch.  Temperature and offset are
 calibrated on a part kept apart; the threshold is the largest that keeps ``RECALL`` of its
 labelled secrets.  Spans of the fixed rules always stay, the network adds those it finds besides.
 """
@@ -15,23 +16,24 @@ from __future__ import annotations
 import random
 import re
 import string
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import prepare, table, text_or_empty, utf8
+from vigil.llm.common import first_by_hash, prepare, scratch, table, text_or_empty, utf8, written
 
 #: bytes of a candidate at least; of a window of it, of the step to the next window, around it
 LEAST, SPAN, STEP, BEFORE, AFTER = 16, 64, 48, 32, 16
 WIDTH = BEFORE + SPAN + AFTER
-#: documents sampled for learning, candidates of each label taken from them, generated examples of each label
-SAMPLE_DOCUMENTS, SAMPLE_CANDIDATES, GENERATED = 20_000, 1_500, 1_500
+#: what all corpus candidates of a label weigh at most, generated examples of each label (weight 1 each)
+CORPUS_WEIGHT, GENERATED = 1_500, 1_500
+#: examples that a task trains on in an epoch; width of a bin of the logits for the calibration
+SHARE, BIN = 32_768, 1 / 64
 RECALL = 0.95
 EPOCHS, BATCH, SEED = 10, 128, 11
 
@@ -116,6 +118,8 @@ class Network:
                   "w2": (3 * self.FILTERS + 1, self.HIDDEN), "b2": (self.HIDDEN,), "w3": (self.HIDDEN,), "b3": (1,)}
         self.p = {k: (r.normal(0, (2 / s[0]) ** 0.5 if k != "e" else 0.5, s) if k[0] != "b" else np.zeros(s)).astype(np.float32)
                   for k, s in shapes.items()}
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+        self.step = 0
         self.temperature, self.offset, self.threshold = 1.0, 0.0, 0.5
 
     def _forward(self, codes: np.ndarray, size: np.ndarray) -> dict:
@@ -136,9 +140,9 @@ class Network:
         return {"cols": cols, "a": a, "own": own, "top": top, "before": before, "f": f, "h": h,
                 "logit": h @ p["w3"] + p["b3"][0], "codes": codes, "size": size}
 
-    def _gradients(self, s: dict, y: np.ndarray) -> dict:
+    def _gradients(self, s: dict, y: np.ndarray, weight: np.ndarray | float = 1.0) -> dict:
         p, n, m = self.p, len(y), self.FILTERS
-        d = ((1 / (1 + np.exp(-s["logit"])) - y) / n).astype(np.float32)
+        d = ((1 / (1 + np.exp(-s["logit"])) - y) * weight / n).astype(np.float32)
         g = {"w3": s["h"].T @ d, "b3": d.sum(keepdims=True)}
         dh = d[:, None] * p["w3"] * (s["h"] > 0)
         g["w2"], g["b2"] = s["f"].T @ dh, dh.sum(0)
@@ -163,27 +167,35 @@ class Network:
     def probability(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.logits(codes, size).astype(np.float64) / self.temperature + self.offset)))
 
-    def fit(self, codes: np.ndarray, size: np.ndarray, y: np.ndarray, held: np.ndarray) -> "Network":
-        r, step = np.random.default_rng(SEED), 0
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        own = np.flatnonzero(~held)
-        for _ in range(EPOCHS):
-            r.shuffle(own)
-            for i in range(0, len(own), BATCH):
-                part, step = own[i:i + BATCH], step + 1
-                g = self._gradients(self._forward(codes[part], size[part]), y[part])
-                for k, a in self.p.items():
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    a -= (3e-3 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
-        self._calibrate(self.logits(codes[held], size[held]).astype(np.float64), y[held])
-        p = self.probability(codes[held], size[held])
-        good = np.sort(p[y[held] == 1])
-        if len(good):
-            self.threshold = float(good[int((1 - RECALL) * len(good))])
+    def learn(self, codes: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """One step of Adam; weights are 1 on average."""
+        self.step += 1
+        g = self._gradients(self._forward(codes, size), y, weight)
+        for k, a in self.p.items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g[k] ** 2
+            a -= (3e-3 * (self.m[k] / (1 - 0.9 ** self.step)) / (np.sqrt(self.v[k] / (1 - 0.999 ** self.step)) + 1e-8)).astype(np.float32)
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([a.ravel().astype(np.float64) for part in (self.p, self.m, self.v) for a in part.values()])
+
+    def restore(self, state: np.ndarray, step: int) -> None:
+        at, self.step = 0, step
+        for part in (self.p, self.m, self.v):
+            for k, a in part.items():
+                part[k] = state[at:at + a.size].reshape(a.shape).astype(np.float32)
+                at += a.size
+
+    def calibrated(self, logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> "Network":
+        self._calibrate(logit, y, weight)
+        order = np.argsort(logit[y == 1], kind="stable")
+        if len(order):
+            good, held = logit[y == 1][order], np.cumsum(weight[y == 1][order])
+            least = good[min(np.searchsorted(held, (1 - RECALL) * held[-1], side="right"), len(good) - 1)]
+            self.threshold = float(1 / (1 + np.exp(-(least / self.temperature + self.offset))))
         return self
 
-    def _calibrate(self, logit: np.ndarray, y: np.ndarray) -> None:
+    def _calibrate(self, logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         """Newton steps for probability = sigmoid(logit / temperature + offset), lightly held."""
         if not len(y):
             return
@@ -191,7 +203,7 @@ class Network:
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             back = 0.1 * (w - [1.0, 0.0])
-            change = np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.1 * np.eye(2), x.T @ (p - y) + back)
+            change = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.1 * np.eye(2), x.T @ (weight * (p - y)) + back)
             w = w - change
             w[0] = max(w[0], 0.05)
             if np.abs(change).max() < 1e-9:
@@ -234,37 +246,84 @@ def generated(number: int, surroundings: list[tuple[bytes, bytes]], seed: int =
     return out
 
 
-def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_candidates: int = SAMPLE_CANDIDATES,
-          number: int = GENERATED) -> Network:
-    """The network learnt from at most ``sample_candidates`` candidates of each label out of about
-    ``sample_documents`` documents (chosen by hash) and ``number`` generated ones of each label."""
-    prepare(docs.sparkSession)
+EXAMPLE = "label int, near binary, at int, size int"
+
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """The distinct candidates of all texts: label by the fixed rules, bytes around, place and size in them."""
     def run(batches):
         for batch in batches:
             rows = []
             for text in texts(batch.column(0)):
                 spans = rule_spans(text)
                 for a, b in zip(text.starts, text.ends):
-                    near = text.raw[max(0, a - BEFORE):b + AFTER].tobytes() if b - a <= SPAN else text.raw[max(0, a - BEFORE):a + SPAN + AFTER].tobytes()
+                    near = text.raw[max(0, a - BEFORE):min(b, a + SPAN) + AFTER].tobytes()
                     rows.append((int(any(s < b and e > a for s, e, _ in spans)), near, int(min(BEFORE, a)), int(min(b - a, SPAN))))
             columns = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.int32(), pa.int32()))],
                                              names=["label", "near", "at", "size"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    share = int(1_000_000 * min(1.0, sample_documents / max(1, rows.count())))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).select("text")
-    found = chosen.mapInArrow(run, "label int, near binary, at int, size int").distinct()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("near"), "near", "at", "size")
-    found = found.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= sample_candidates).drop("_place")
-    known = sorted((r.label, bytes(r.near), r.at, r.size) for r in found.collect())
-    examples = [(near[:at], near[at:at + size], near[at + size:], label) for label, near, at, size in known]
-    plain = [(a, b) for a, _, b, label in examples if not label]
-    examples += generated(number, plain)
-    cut = [window(np.frombuffer(a + c + b, np.uint8), len(a), len(a) + min(len(c), SPAN)) for a, c, b, _ in examples]
-    codes, size = np.stack([c for c, _ in cut]), np.array([n for _, n in cut], dtype=np.float32)
-    held = np.array([zlib.crc32(b"calibrate" + a + c) % 4 == 0 for a, c, _, _ in examples])
-    return Network().fit(codes, size, np.array([e[3] for e in examples], dtype=np.float32), held)
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, EXAMPLE).distinct()
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, sizes, labels and weights of a batch of examples."""
+    label, near, at, size, weight = (c.to_pylist() for c in batch.columns)
+    codes = np.zeros((len(label), WIDTH), dtype=np.uint8)
+    for i, (raw, a, n) in enumerate(zip(near, at, size)):
+        codes[i] = window(np.frombuffer(raw, np.uint8), a, a + n)[0]
+    return codes, np.array(size, dtype=np.float32), np.array(label, dtype=np.float32), np.array(weight, dtype=np.float32)
+
+
+def train(docs: DataFrame, corpus_weight: int = CORPUS_WEIGHT, number: int = GENERATED) -> Network:
+    """The network learnt from every distinct candidate of ``docs`` and ``number`` generated ones of
+    each label.  The candidates of a label weigh ``corpus_weight`` together, or 1 each where they are fewer."""
+    spark = docs.sparkSession
+    prepare(spark)
+    with scratch(spark):
+        found = written(candidates(docs), "candidates")
+        held_by = {r.label: r["count"] for r in found.groupBy("label").count().collect()}
+        # generated examples stand in some of the surroundings that the corpus has
+        plain = first_by_hash(found.filter("label = 0"), "near", number, held_by.get(0, 0)).collect()
+        plain = sorted((bytes(r.near[:r.at]), bytes(r.near[r.at + r.size:])) for r in plain)
+        made = [(label, a + c[:SPAN] + b, len(a), min(len(c), SPAN), 1.0) for a, c, b, label in generated(number, plain)]
+        each = F.when(F.col("label") == 1, F.lit(min(1.0, corpus_weight / max(1, held_by.get(1, 0))))).otherwise(
+            F.lit(min(1.0, corpus_weight / max(1, held_by.get(0, 0)))))
+        rows = found.withColumn("weight", each).unionByName(spark.createDataFrame(made, EXAMPLE + ", weight double"))
+        rows = written(rows.withColumn("held", F.crc32(F.concat(F.lit("calibrate").cast("binary"), "near")) % 4 == 0), "examples")
+        total, mean = rows.filter("not held").agg(F.count("*"), F.avg("weight")).first()
+        model, shares = Network(), -(-total // SHARE)
+        for epoch in range(EPOCHS):
+            state, step = model.state(), model.step
+
+            def learn(batches):
+                own = Network()
+                own.restore(state, step)
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, BATCH):
+                        codes, size, y, weight = _arrays(batch.slice(lo, BATCH))
+                        own.learn(codes, size, y, weight / mean)
+                if own.step > step:
+                    yield pa.RecordBatch.from_arrays([pa.array([own.step - step], pa.int64()), pa.array([own.state().tobytes()], pa.binary())],
+                                                     names=["steps", "state"])
+            order = [F.xxhash64(F.lit(SEED), F.lit(epoch), "near", "at", "size"), "near", "at", "size", "label"]
+            dealt = rows.filter("not held").withColumn("_share", F.pmod(F.xxhash64("near", "at", "size"), F.lit(shares)))
+            dealt = dealt.repartition(shares, "_share").sortWithinPartitions(*order).select("label", "near", "at", "size", "weight")
+            parts = sorted((r.steps, bytes(r.state)) for r in dealt.mapInArrow(learn, "steps long, state binary").collect())  # one small row a share
+            steps = np.array([n for n, _ in parts], dtype=np.float64)
+            model.restore(sum(np.frombuffer(s) * n for n, s in parts) / steps.sum(), step + int(steps.max()))
+        trained = model
+
+        def score(batches):
+            for batch in batches:
+                codes, size, y, weight = _arrays(batch)
+                bins = np.rint(trained.logits(codes, size).astype(np.float64) / BIN).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(y.astype(np.int32)), pa.array(weight.astype(np.float64))],
+                                                 names=["bin", "label", "weight"])
+        apart = rows.filter("held").select("label", "near", "at", "size", "weight").mapInArrow(score, "bin long, label int, weight double")
+        # logits of the part kept apart, by bins: the number of rows follows from their range
+        bins = sorted(tuple(r) for r in apart.groupBy("bin", "label").agg(F.count("*").alias("n"), F.max("weight").alias("w")).collect())
+        table_ = np.array(bins, dtype=np.float64).reshape(-1, 4)
+        return model.calibrated(table_[:, 0] * BIN, table_[:, 1], table_[:, 2] * table_[:, 3])
 
 
 def _findings(text: Text, model: Network) -> list[tuple[str, int, int, float | None]]:
