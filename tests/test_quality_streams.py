@@ -226,3 +226,13 @@ def test_activity_rollup_stream_with_watermark(spark):
             .agg(F.max("snap_ts")).first()[0]
     closed = want.filter(F.col("window_end") <= F.lit(last - dt.timedelta(minutes=30)).cast("timestamp"))
     assert closed.count() > 0 and set(_sorted(closed.select(got.columns))) == set(_sorted(got))
+
+
+def test_duplicate_keys_are_dealt_by_the_size_of_the_files(spark, monkeypatch, tmp_path):
+    from vigil.operators import quality
+    spark.range(20_000).select((F.col("id") % 19_999).alias("k"), F.lit(None).cast("long").alias("j")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(quality, "TASK_BYTES", 2_000)
+    out = quality.duplicate_keys(df, ["k", "j"], "t")
+    assert out.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism * 4  # a fixed number before
+    assert [tuple(r) for r in out.collect()] == [("t", "0", 2)]
