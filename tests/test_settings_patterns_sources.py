@@ -115,6 +115,13 @@ def test_report_evaluates_its_policies_once(spark):
     assert "ReusedExchange" in plan
 
 
+def test_rows_and_counts_of_the_report_ask_for_the_same_columns(spark):
+    plan = rpt.policy_report(CheckContext(FleetInputs(spark, SMALL)))._jdf.queryExecution().optimizedPlan().toString()
+    made = [re.sub(r"#\d+L?", "", line[line.index("Project ["):]) for line in plan.split("\n") if "AS _bucket#" in line]
+    # other columns make another exchange, and a second evaluation of all policies
+    assert made and len(set(made)) == 1
+
+
 # ---------------------------------------------------------------- sources
 
 def test_raw_volume_inventory(spark):
