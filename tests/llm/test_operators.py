@@ -449,6 +449,20 @@ def test_decontamination_equals_a_check_of_every_passage(spark):
     assert found == want and len(want) >= 24
 
 
+def test_toxicity_learns_in_a_task_and_only_the_model_comes_to_the_driver(spark, monkeypatch):
+    chosen = random.Random(8)
+    rows = [(i, " ".join(chosen.choices(WORDS, k=30) + ["vile"] * (i % 3 if i % 4 == 0 else 0))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    want = toxicity.Toxicity(sorted(((i, t, int(i % 4 == 0)) for i, t in rows), key=lambda r: (zlib.crc32(b"%d" % r[0]), r)))
+
+    def refuse(*_):
+        raise AssertionError("learnt on the driver")
+    monkeypatch.setattr(toxicity.Toxicity, "__init__", refuse)
+    got = toxicity.train(frame(spark, rows), labels, F.lit(True))
+    some = [t for _, t in rows[:20]]
+    assert (got.score(some) == want.score(some)).all()
+
+
 # ------------------------------------------------------------------ 9
 
 def brute_lines(rows):

@@ -16,6 +16,7 @@ characters, the shared part at most ``SHARED_TEXTS`` ordinary ones of them and
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -231,8 +232,15 @@ def train(docs: DataFrame, labels: DataFrame, usable, train_rows: int = TRAIN_RO
     wanted = docs.sparkSession.createDataFrame(ids, "_id long, _label int")
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text"))
     rows = (own.filter(F.length("_text") <= TRAIN_CHARS).join(F.broadcast(wanted), "_id")  # at most train_rows ids
-               .select("_id", "_text", "_label").collect())
-    return Toxicity(sorted((tuple(r) for r in rows), key=lambda r: (zlib.crc32(b"%d" % r[0]), r)))
+               .select("_id", "_text", "_label"))
+    prepare(docs.sparkSession)
+
+    def run(batches):  # in one task, so that the driver gets the model and never the texts
+        own = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        model = Toxicity(sorted(own, key=lambda r: (zlib.crc32(b"%d" % r[0]), r)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    learned = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(learned[0].model) if learned else Toxicity([])
 
 
 def scored(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:
