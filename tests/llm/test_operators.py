@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigil.llm import (components, decontaminate, licenses, lines, minhash, mixing, neighbours, quality, repeats,
+from vigil.llm import (common, components, decontaminate, licenses, lines, minhash, mixing, neighbours, quality, repeats,
                        tokens, toxicity)
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
@@ -362,6 +363,18 @@ def test_a_group_of_near_copies_without_its_centre(spark):
     assert got(out, "doc_id", "n_shingles", "component_id", "kept") == brute_near(rows, 4)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, setting = blocks.getAllBlocks().size(), spark.conf.get(common._CLEANUP)
+    out = common.written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().repartition(7, "count"), "test")
+    for _ in range(50):  # files go in the background
+        if blocks.getAllBlocks().size() <= before:
+            break
+        time.sleep(0.2)
+    assert blocks.getAllBlocks().size() <= before
+    assert out.count() == 10 and spark.conf.get(common._CLEANUP) == setting
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2), (200, 201)]
     df = spark.createDataFrame(edges, "a long, b long")
