@@ -525,16 +525,34 @@ def test_line_dedup_beside_columns_of_its_own_names(spark):
     assert out.columns == df.columns and {(r.doc_id, r.text, r.removed) for r in out.collect()} == {(1, "one line\ntwo", 7), (2, "three", 7)}
 
 
-def test_lines_in_pieces_have_the_same_sets(monkeypatch):
-    import pyarrow as pa
+def test_lines_in_pieces_have_the_same_sets(spark, monkeypatch):
     some = ["abcd", "abcde", "é", "xé" * 90, prose(60), "a" * 200, prose(30), "ab", prose(5)]
-    whole = lines.signatures(pa.array(some), 144), lines._distinct(pa.array(some))
-    alone = [lines.signatures(pa.array([x]), 144)[0] for x in some]
+    df = spark.createDataFrame(list(enumerate(some)), "id long, norm string")
+
+    def made(of):
+        return [{tuple(r)[:2]: r for r in x.collect()} for x in (lines.signatures(of, 24, 6), lines._described(of))]
+    whole = made(df)
+    alone = [made(df.filter(F.col("id") == i)) for i in (1, 4)]
+    assert all(whole[k][key] == r for one in alone for k in (0, 1) for key, r in one[k].items())
     monkeypatch.setattr(lines, "PIECE", 64)
-    assert (lines.signatures(pa.array(some), 144) == whole[0]).all() and (lines._distinct(pa.array(some)) == whole[1]).all()
-    assert (whole[0] == np.array(alone)).all()
-    sizes = np.bincount((whole[1] >> np.uint64(52)).astype(int))
-    assert sizes.tolist() == [len({x[j:j + 5] for j in range(max(1, len(x) - 4))}) for x in some]
+    assert made(df) == whole
+    sizes = dict(sorted(whole[1]))
+    assert [sizes[i] for i in range(len(some))] == [len({x[j:j + 5] for j in range(max(1, len(x) - 4))}) for x in some]
+
+
+def test_line_dedup_runs_no_python_on_executors(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name, write=common.written):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, name)
+    for module in (lines, components, common):
+        monkeypatch.setattr(module, "written", seen)
+    line = prose(30)
+    out = lines.removed_lines(frame(spark, [(1, line), (2, line + " zz"), (3, line)]))
+    assert sorted(list(r.removed) for r in out.collect()) == [[0], [0]]
+    plans.append(out._jdf.queryExecution().toString())
+    assert len(plans) > 6 and not any(x in plan for plan in plans for x in ("Python", "Pandas", "InArrow"))
 
 
 def gone_lines(spark, rows):
