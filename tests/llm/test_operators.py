@@ -476,6 +476,27 @@ def test_toxicity_learns_in_a_task_and_only_the_model_comes_to_the_driver(spark,
     assert (got.score(some) == want.score(some)).all()
 
 
+def toxic_tables(spark, path, ordinary):
+    """documents and labels, every fourth document toxic, with null and empty texts on both sides."""
+    chosen = random.Random(3)
+    toxic = lambda: " ".join(chosen.choices(WORDS, k=30) + chosen.choices(["vilething", "nastyword", "uglyslur"], k=4))
+    rows = [(i, None if i % 25 == 1 else "" if i % 25 == 2 else toxic() if i % 4 == 0 else ordinary(chosen)) for i in range(300)]
+    rows += [(None, None), (None, ""), (300, " "), (301, None), (302, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return docs, rows
+
+
+def test_toxicity_stage_learns_from_and_keeps_null_and_empty_texts(spark, tmp_path):
+    docs, rows = toxic_tables(spark, tmp_path, lambda chosen: " ".join(chosen.choices(WORDS, k=60)))
+    out = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))
+    kept = got(out, "doc_id", "text")
+    assert out.columns == docs.columns and kept <= Counter(rows)
+    assert all(kept[d, t] == 1 for d, t in rows if not (t or "").strip())
+    assert sum(d % 4 == 0 for d, t in kept if t and t.strip()) < 10 < 200 < sum(d % 4 > 0 for d, t in kept if t)
+
+
 # ------------------------------------------------------------------ 9
 
 def brute_lines(rows):

@@ -181,8 +181,8 @@ class Distance:
         out = []
         for t in texts:
             pieces = windows(t)
-            diff = np.empty(len(pieces), dtype=np.int32)
-            for lo in range(0, len(pieces), 1024):
+            diff = np.zeros(len(pieces), dtype=np.int32)
+            for lo in range(0, len(pieces) if t else 0, 1024):  # zstandard refuses a call without bytes
                 part = pieces[lo:lo + 1024]
                 a, b = (c.multi_compress_to_buffer(part) for c in two)
                 diff[lo:lo + len(part)] = [len(a[i]) - len(b[i]) for i in range(len(part))]
