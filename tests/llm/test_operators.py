@@ -497,6 +497,15 @@ def test_toxicity_stage_learns_from_and_keeps_null_and_empty_texts(spark, tmp_pa
     assert sum(d % 4 == 0 for d, t in kept if t and t.strip()) < 10 < 200 < sum(d % 4 > 0 for d, t in kept if t)
 
 
+def test_op8_scores_null_and_empty_texts_and_learns_from_texts_that_are_alike(spark, tmp_path):
+    _, rows = toxic_tables(spark, tmp_path, lambda chosen: "hello world again")  # a trained dictionary of under 300 bytes
+    out = toxicity.op8_toxicity(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(d for d, _ in rows)
+    text = dict(rows[:300])
+    assert len({r.score for r in out if not text.get(r.doc_id)}) == 1
+    assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in out if text.get(r.doc_id))
+
+
 # ------------------------------------------------------------------ 9
 
 def brute_lines(rows):

@@ -38,6 +38,8 @@ LEVEL = 12
 #: ordinary texts and windows of them that the shared part is learnt from
 SHARED_TEXTS, SHARED_WINDOWS = 2000, 20_000
 TAIL = 4096
+#: bytes that zstandard's header of a trained dictionary (entropy tables) takes at most
+HEADER = 256
 #: bytes of a stem, and of a part of it that compression may find elsewhere
 MATCH = 5
 STEM = range(4, 13)
@@ -162,9 +164,11 @@ class Distance:
             tail, plain = b" " + w + tail, b" " + bytes(min(k, len(w))) + w[k:] + plain
         try:
             base, self.kind = zs.train_dictionary(DICTIONARY, samples, k=50, d=8, level=LEVEL).as_bytes(), zs.DICT_TYPE_FULLDICT
+            least = HEADER  # texts that are much alike give a dictionary shorter than the tail
         except zs.ZstdError:  # too few samples for entropy tables
             base, self.kind = b" ".join(samples)[-DICTIONARY:].rjust(TAIL + 8, b"\0"), zs.DICT_TYPE_RAWCONTENT
-        head = base[:len(base) - len(tail)]
+            least = 0
+        head = base[:max(len(base) - len(tail), least)]
         self.toxic, self.ordinary = head + tail, head + plain
 
     def _compressor(self, data: bytes):
